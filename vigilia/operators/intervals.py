@@ -37,19 +37,68 @@ def _carry(cells: DataFrame, key: list[str], value: str, name: str, order: Colum
     return cells.select(*key, "_cell", agg(value).over(_before(key, order)).alias(name))
 
 
+def _running(points: DataFrame, key: list[str], at: str, value: str, agg=F.max, inclusive: bool = False) -> DataFrame:
+    """Add ``_prev``: ``agg`` of ``value`` over the key's rows with a smaller (or, ``inclusive``, equal) ``at``.
+
+    ``points`` holds one row per (key, at) and a ``_cell`` column derived from ``at``.
+    """
+    cells = points.groupBy(*key, "_cell").agg(agg(value).alias("_m"))
+    carried = _carry(cells, key, "_m", "_carried", F.asc("_cell"), agg)
+    window = Window.partitionBy(*key, "_cell").orderBy(at).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = agg(value).over(window)
+    if agg is F.max:
+        both = F.greatest(local, F.col("_carried"))
+    else:
+        both = F.coalesce(local, F.lit(0)) + F.coalesce("_carried", F.lit(0))
+    return points.join(carried, [*key, "_cell"]).withColumn("_prev", both).drop("_carried")
+
+
 def _running_end(starts: DataFrame, key: list[str], ini: str, fim: str) -> DataFrame:
-    """Add ``_prev``: the latest end among rows of the key with a smaller start.
+    """Add ``_prev``: the latest end among rows of the key with a smaller start."""
+    return _running(starts, key, ini, fim)
+
 
-    ``starts`` holds one row per (key, start) and a ``_cell`` column derived from the start.
+def _lookup(values: DataFrame, asked: DataFrame, key: list[str], agg=F.max, inclusive: bool = False, cell: int = DAY) -> DataFrame:
+    """(key, _t) of ``asked`` with ``_prev``, the running ``agg`` of ``values`` (key, _t, _v) before ``_t``."""
+    neutral = asked.select(*key, "_t").withColumn("_v", F.lit(None).cast(values.schema["_v"].dataType))
+    points = values.select(*key, "_t", "_v").unionByName(neutral).groupBy(*key, "_t").agg(agg("_v").alias("_v"))
+    return _running(points.withColumn("_cell", _cell("_t", cell)), key, "_t", "_v", agg, inclusive).select(*key, "_t", "_prev")
+
+
+def overlaps_any(df: DataFrame, others: DataFrame, key: list[str], ini: str = "inicio", fim: str = "fim",
+                 name: str = "sobrepoe", cell: int = DAY) -> DataFrame:
+    """Flag rows that overlap at least one interval of ``others`` under the same key.
+
+    Some interval overlaps a row when the latest end among those that start before the row's end exceeds the
+    row's start: one running maximum, no pairs.
     """
-    cells = starts.groupBy(*key, "_cell").agg(F.max(fim).alias("_m"))
-    carried = _carry(cells, key, "_m", "_carried", F.asc("_cell"), F.max)
-    local = F.max(fim).over(_before([*key, "_cell"], ini))
-    return (
-        starts.join(carried, [*key, "_cell"])
-        .withColumn("_prev", F.greatest(local, F.col("_carried")))
-        .drop("_carried")
+    ends = others.select(*key, F.col(ini).alias("_t"), F.col(fim).alias("_v"))
+    before = _lookup(ends, df.select(*key, F.col(fim).alias("_t")), key, cell=cell)
+    return df.join(before.withColumnRenamed("_t", fim), [*key, fim], "left").select(
+        *df.columns, F.coalesce(F.col("_prev") > F.col(ini), F.lit(False)).alias(name)
+    )
+
+
+def overlaps_other(df: DataFrame, key: list[str], ini: str = "inicio", fim: str = "fim", name: str = "sobrepoe",
+                   cell: int = DAY) -> DataFrame:
+    """Flag rows that overlap another row of the same key (rows that end before they start included).
+
+    For a row with length: among intervals that do not run backwards, those that start before its end and do
+    not end by its start overlap it; two running counts give their number, the row itself included. Backward
+    intervals, and rows without length, which never meet themselves, are looked up.
+    """
+    length = F.col(fim) > F.col(ini)
+    rows, forward = df.where(length), df.where(F.col(fim) >= F.col(ini))
+    one = F.lit(1).cast("long").alias("_v")
+    started = _lookup(forward.select(*key, F.col(ini).alias("_t"), one), rows.select(*key, F.col(fim).alias("_t")), key, F.sum, cell=cell)
+    ended = _lookup(forward.select(*key, F.col(fim).alias("_t"), one), rows.select(*key, F.col(ini).alias("_t")), key, F.sum, True, cell)
+    counted = (
+        overlaps_any(rows, df.where(F.col(fim) < F.col(ini)), key, ini, fim, "_any", cell)
+        .join(started.select(*key, F.col("_t").alias(fim), F.col("_prev").alias("_started")), [*key, fim])
+        .join(ended.select(*key, F.col("_t").alias(ini), F.col("_prev").alias("_ended")), [*key, ini])
     )
+    flagged = counted.select(*df.columns, (F.col("_any") | (F.col("_started") - F.col("_ended") > 1)).alias(name))
+    return flagged.unionByName(overlaps_any(df.where(~length), df, key, ini, fim, name, cell))
 
 
 def _island_of_start(df: DataFrame, key: list[str], ini: str, fim: str, cell: int) -> DataFrame:
@@ -129,7 +178,7 @@ def _record_setters(df: DataFrame, key: list[str], ini: str, fim: str, order: st
 
 
 def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: str = "inicio", fim: str = "fim",
-                   cell: int = DAY) -> DataFrame:
+                   cell: int = DAY, backwards: bool = False) -> DataFrame:
     """Left-join to every row the best interval of another event that contains it.
 
     A container has another event number, starts no later, ends no earlier, and on an identical interval has
@@ -141,7 +190,7 @@ def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: s
     starts and ends, and the best container of a row is the lowest step that reaches its end: a look-up per
     (key, end) instead of a self-join. Only when that step belongs to the row's own event with another
     interval does the row need a search among other events; that exact search runs on those rows alone.
-    Rows need non-null key, times (end not before start), event and order.
+    Rows need non-null key, times, event and order; ``backwards`` admits rows that end before they start.
     """
     steps = _record_setters(df, key, ini, fim, order, event, cell)
     step = F.struct("_ri", "_rf", "_ro", "_re").alias("_step")
@@ -177,9 +226,13 @@ def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: s
         (F.col("_re") != F.col(event)) & (F.col("_rf") >= F.col(fim))
         & ((F.col("_ri") < F.col(ini)) | (F.col("_rf") > F.col(fim)) | (F.col("_ro") < F.col(order)))
     )
+    near = stab_join(blocked, partners, key, ini, "_ri", "_rf", cell)
+    if backwards:
+        # The container of a row that ends before it starts need not hold the row's start: no cell to share.
+        reverse = blocked.where(F.col(fim) < F.col(ini)).join(partners, key).where(F.col("_ri") <= F.col(ini))
+        near = near.where(F.col(fim) >= F.col(ini)).unionByName(reverse)
     searched = (
-        stab_join(blocked, partners, key, ini, "_ri", "_rf", cell)
-        .where(covers)
+        near.where(covers)
         .groupBy(*key, event, order, ini, fim)
         .agg(F.min(F.struct("_ri", (-microsecond_index("_rf")).alias("_d"), "_ro", "_re", "_rf")).alias("_alt"))
     )
@@ -192,9 +245,9 @@ def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: s
 
 
 def contained(df: DataFrame, key: list[str], event: str, order: str, ini: str = "inicio", fim: str = "fim",
-              cell: int = DAY) -> DataFrame:
+              cell: int = DAY, backwards: bool = False) -> DataFrame:
     """Add ``contido``: another event of the key covers the row (see ``best_container``)."""
-    return best_container(df, key, event, order, ini, fim, cell).withColumn(
+    return best_container(df, key, event, order, ini, fim, cell, backwards).withColumn(
         "contido", F.col("evento_contem").isNotNull()
     ).drop("evento_contem", "inicio_contem", "fim_contem")
 

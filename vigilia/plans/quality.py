@@ -10,7 +10,7 @@ from ..functions.text import (
     MAX_SEQ, blank_to_null, event_number, int_or, is_blank, num_br, record_key, text,
 )
 from ..functions.time import dmy_text, iso_text, minute_boundaries, parse_ts, plus_hours
-from ..operators.intervals import best_container, contained, overlap_pairs, trim_partial
+from ..operators.intervals import best_container, contained, overlap_pairs, overlaps_other, trim_partial
 from ..operators.relational import stack
 
 
@@ -89,8 +89,7 @@ def device_pairs(events: DataFrame) -> DataFrame:
 
 def overlapped_event_count(df: DataFrame) -> DataFrame:
     """Number of distinct events that overlap another event of their device."""
-    pairs = overlap_pairs(device_events(df), ["device"], "num_seq", ["num_seq"])
-    marked = pairs.select(F.explode(F.array("a_num_seq", "b_num_seq")).alias("num_seq")).distinct()
+    marked = overlaps_other(device_events(df), ["device"]).where("sobrepoe").select("num_seq").distinct()
     return marked.agg(F.count("*").alias("sobreposicao_interrupcao"))
 
 
@@ -233,14 +232,11 @@ def device_containment(df: DataFrame, anomes: str) -> DataFrame:
             F.coalesce(text("NUM_POSTO_UCI"), F.lit("")), F.coalesce(text("NUM_UC_UCI"), F.lit(""))
         ).alias("UC_AFETADAS"),
     )
-    # An event whose last end precedes its first start can be contained but must not raise the running end
-    # out of order, so it is matched through the same operator on its own span only when the span is regular.
-    regular = F.col("DATA_FIM") >= F.col("DATA_INICIO")
+    # Nothing here keeps an event whose last end precedes its first start, so the search allows for it.
     judged = contained(
-        events.where(regular).withColumn("_o", int_or("interrupcao", 0)), ["NUMERO_OPERACIONAL"], "interrupcao", "_o",
-        "DATA_INICIO", "DATA_FIM",
+        events.withColumn("_o", int_or("interrupcao", 0)), ["NUMERO_OPERACIONAL"], "interrupcao", "_o", "DATA_INICIO",
+        "DATA_FIM", backwards=True,
     ).drop("_o")
-    judged = judged.unionByName(_contained_backwards(events, regular))
     out = F.col("contido")
     return judged.select(
         F.lit(anomes).alias("anomes"), "NUMERO_OPERACIONAL", "ocorrencia", "interrupcao", "tipo_chave", "DATA_INICIO",
@@ -259,3 +255,335 @@ def containment_summary(analysis: DataFrame) -> DataFrame:
         F.count("*").alias("total_interrupcoes"), _count(F.col("acao_sugerida") == "MANTER").alias("manter"),
         _count(F.col("acao_sugerida") == "EXCLUIR").alias("excluir"),
     )
+
+
+# ------------------------------------------------------------------------------------- UC containment
+
+
+def _uc_rows(df: DataFrame) -> DataFrame:
+    return df.withColumns({
+        "_ini": _ini_uc(df), "_fim": _fim(df), "chave_registro": record_key(), "protocolo": protocol(),
+        "num_seq_intrp": blank_to_null("NUM_SEQ_INTRP"),
+    }).where(
+        (text("ESTADO_INTRP") == S.STATE_ELIGIBLE) & is_blank("NUM_MOTIVO_TRAT_DIF_UCI")
+        & blank_to_null("NUM_UC_UCI").isNotNull() & F.col("_ini").isNotNull() & F.col("_fim").isNotNull()
+    )
+
+
+def uc_containment(df: DataFrame, anomes: str, run_ts: str) -> DataFrame:
+    """Records to classify 91: contained in another event of the same UC and protocol, with hours and impact.
+
+    A missing event number sorts last among ties. Records without an event number take no part.
+    """
+    rows = _uc_rows(df).where((F.col("_fim") >= F.col("_ini")) & F.col("num_seq_intrp").isNotNull()).select(
+        "chave_registro", "num_seq_intrp", text("NUM_INTRP_UCI").alias("num_intrp_uci"),
+        text("NUM_POSTO_UCI").alias("num_posto_uci"), text("NUM_UC_UCI").alias("num_uc_uci"), "protocolo",
+        text("REGIONAL_ORIGEM").alias("regional_origem"), F.coalesce(num_br("KVA_INTRP"), F.lit(0.0)).alias("kva_intrp"),
+        F.col("_ini").alias("inicio"), F.col("_fim").alias("fim"), int_or("num_seq_intrp", MAX_SEQ).alias("_o"),
+    )
+    found = best_container(rows, ["num_uc_uci", "protocolo"], "num_seq_intrp", "_o").where(
+        F.col("evento_contem").isNotNull()
+    )
+    hours = F.col("duracao_minutos") / F.lit(60.0)
+    return found.withColumn("duracao_minutos", minute_boundaries("inicio", "fim")).select(
+        F.lit(anomes).alias("anomes"), "chave_registro", "num_seq_intrp", F.col("evento_contem").alias("num_seq_contem"),
+        "num_intrp_uci", "num_posto_uci", "num_uc_uci", "protocolo", "regional_origem",
+        iso_text("inicio").alias("data_inicio_uc"), iso_text("fim").alias("data_fim_uc"),
+        iso_text("inicio_contem").alias("data_inicio_contem"), iso_text("fim_contem").alias("data_fim_contem"),
+        "duracao_minutos", F.round(hours, 6).alias("horas_uc_reduzidas"), "kva_intrp",
+        F.round(hours * F.col("kva_intrp"), 6).alias("chi_reduzido_estimado"),
+        F.lit("NUM_MOTIVO_TRAT_DIF_UCI").alias("campo_sugerido"), F.lit(S.REASON_OVERLAP).alias("valor_sugerido"),
+        F.lit("CLASSIFICAR_91").alias("acao_sugerida"), F.lit("pendente").alias("status_pendencia"),
+        F.lit(S.MSG_UC_CONTAINED).alias("justificativa_sistema"), F.lit(run_ts).alias("criado_em"),
+    )
+
+
+def uc_containment_summary(analysis: DataFrame) -> DataFrame:
+    return analysis.agg(
+        F.count("*").alias("registros_classificar_91"), F.countDistinct("num_uc_uci").alias("ucs_afetadas"),
+        F.countDistinct("num_seq_intrp").alias("interrupcoes_afetadas"),
+        F.coalesce(F.sum("horas_uc_reduzidas"), F.lit(0.0)).alias("horas_uc_reduzidas"),
+        F.coalesce(F.sum("chi_reduzido_estimado"), F.lit(0.0)).alias("chi_reduzido_estimado"),
+    )
+
+
+def uc_trim(df: DataFrame, run_ts: str) -> DataFrame:
+    """Records that start inside an earlier record of the same UC and protocol and outlast it: start moves to
+    the predecessor's end."""
+    rows = _uc_rows(df).where(F.col("chave_registro").isNotNull()).select(
+        "chave_registro", "num_seq_intrp", blank_to_null("NUM_INTRP_UCI").alias("num_intrp_uci"),
+        blank_to_null("NUM_UC_UCI").alias("num_uc_uci"), text("NUM_POSTO_UCI").alias("num_posto_uci"),
+        F.col("protocolo").alias("protocolo_uc"), F.col("_ini").alias("inicio"), F.col("_fim").alias("fim"),
+        int_or("num_seq_intrp", MAX_SEQ).alias("_o"),
+    )
+    found = trim_partial(
+        rows, ["num_uc_uci", "protocolo_uc"], ["_o", F.coalesce("num_seq_intrp", F.lit("\uffff")), "num_intrp_uci"],
+        origin={"num_seq_intrp_origem": "num_seq_intrp", "num_intrp_uci_origem": "num_intrp_uci"},
+    )
+    end = iso_text("fim_origem")
+    return found.select(
+        F.lit("sobreposicao_uc_fase2_interseccao").alias("regra"), "chave_registro",
+        F.col("num_intrp_uci").alias("num_intrp_uci_alvo"), F.col("num_seq_intrp").alias("num_seq_intrp_alvo"),
+        "num_uc_uci", "num_posto_uci", "protocolo_uc", iso_text("inicio").alias("inicio_original"),
+        iso_text("fim").alias("fim_alvo"), "num_intrp_uci_origem", "num_seq_intrp_origem",
+        iso_text("inicio_origem").alias("inicio_origem"), end.alias("inicio_sugerido"), end.alias("fim_origem"),
+        "minutos_interseccao", F.lit("DTHR_INICIO_INTRP_UC").alias("campo_sugerido"), end.alias("valor_sugerido"),
+        F.lit("NUM_INTRP_INIC_MANOBRA_UCI").alias("campo_manobra_sugerido"),
+        F.col("num_seq_intrp_origem").alias("valor_manobra_sugerido"),
+        F.lit("AJUSTAR_INICIO_MANOBRA_UC").alias("acao_sugerida"), F.lit(S.MSG_UC_TRIM).alias("justificativa_sistema"),
+        F.lit("pendente").alias("status_pendencia"), F.lit(run_ts).alias("criado_em"),
+    )
+
+
+def uc_trim_summary(analysis: DataFrame) -> DataFrame:
+    return analysis.agg(
+        F.count("*").alias("total_ajustes"), F.countDistinct("num_uc_uci").alias("ucs_afetadas"),
+        F.countDistinct("num_seq_intrp_alvo").alias("interrupcoes_ajustadas"),
+        F.coalesce(F.sum("minutos_interseccao"), F.lit(0)).alias("minutos_interseccao"),
+    )
+
+
+# ------------------------------------------------------------------------------------------ treatment
+
+
+def treatment_flags(df: DataFrame, excluded_events: DataFrame) -> DataFrame:
+    """Add the three removal flags.
+
+    They keep SQL's three-valued logic: an unreadable time leaves the first flag null, and a row with a null
+    flag and no true one is neither treated nor logged.
+    """
+    marker = excluded_events.select(text("NUM_SEQ_INTRP").alias("_seq")).where(
+        F.col("_seq").isNotNull()
+    ).distinct().withColumn("_hit", F.lit(True))
+    rows = df.withColumn("_seq", text("NUM_SEQ_INTRP")).join(marker, "_seq", "left")
+    listed = F.when(F.col("_seq").isNotNull(), F.coalesce("_hit", F.lit(False)))
+    return rows.withColumns({
+        "flag_horario_negativo": _fim(df) < _ini(df),
+        "flag_sem_causa_componente": is_blank("COD_CAUSA_INTRP") | is_blank("COD_COMP_INTRP"),
+        "flag_sobreposicao_interrupcao": listed & (text("ESTADO_INTRP") == S.STATE_ELIGIBLE)
+        & is_blank("NUM_MOTIVO_TRAT_DIF_UCI"),
+    }).drop("_seq", "_hit")
+
+
+FLAGS = ["flag_horario_negativo", "flag_sem_causa_componente", "flag_sobreposicao_interrupcao"]
+
+
+def excluded_events(analysis: DataFrame) -> DataFrame:
+    return analysis.where(F.col("acao_sugerida") == "EXCLUIR").select(F.col("interrupcao").alias("NUM_SEQ_INTRP"))
+
+
+def treated(flagged: DataFrame) -> DataFrame:
+    keep = ~F.col(FLAGS[0]) & ~F.col(FLAGS[1]) & ~F.col(FLAGS[2])
+    return flagged.where(keep).drop(*FLAGS)
+
+
+def removal_log(flagged: DataFrame, anomes: str, run_ts: str) -> DataFrame:
+    """One row per (row, violated rule), in one pass over the flags."""
+    entry = lambda flag, rule, why: F.when(
+        F.col(flag), F.struct(F.lit(rule).alias("regra"), F.lit(why).alias("justificativa"))
+    )
+    entries = F.array_compact(F.array(
+        entry(FLAGS[0], "horario_negativo", S.MSG_REMOVED_NEGATIVE),
+        entry(FLAGS[1], "sem_causa_componente", S.MSG_REMOVED_CODES),
+        entry(FLAGS[2], "sobreposicao_interrupcao", S.MSG_REMOVED_OVERLAP),
+    ))
+    names = ["NUM_SEQ_INTRP", *S.RECORD_KEY, "REGIONAL_ORIGEM"]
+    return flagged.withColumn("_e", F.explode(entries)).select(
+        F.lit(anomes).alias("anomes"), F.lit(run_ts).alias("executado_em"), *[text(c).alias(c) for c in names],
+        F.col("_e.regra").alias("regra"), F.lit("remover_csv_iqs").alias("acao"),
+        F.col("_e.justificativa").alias("justificativa"),
+    )
+
+
+def treatment_counters(flagged: DataFrame) -> DataFrame:
+    """One row; ``removido_tempo_nulo`` counts the rows that leave without a log entry."""
+    f = [F.col(c) for c in FLAGS]
+    kept = F.coalesce(~f[0] & ~f[1] & ~f[2], F.lit(False))
+    logged = F.coalesce(f[0], F.lit(False)) | F.coalesce(f[1], F.lit(False)) | F.coalesce(f[2], F.lit(False))
+    return flagged.agg(
+        F.count("*").alias("total_original"), _count(f[0]).alias("removido_horario_negativo"),
+        _count(f[1]).alias("removido_sem_causa_componente"), _count(f[2]).alias("removido_sobreposicao_interrupcao"),
+        _count(~kept & ~logged).alias("removido_tempo_nulo"), _count(kept).alias("total_final"),
+    )
+
+
+# -------------------------------------------------------------------------- outliers, stage summary
+
+
+def duration_outliers(df: DataFrame, run_ts: str, limit_hours: float = 48.0) -> DataFrame:
+    """Events at least ``limit_hours`` long, with the largest value of each event attribute."""
+    have = set(df.columns)
+    rows = df.where(F.col("NUM_SEQ_INTRP").isNotNull()).withColumns({"_ini": _ini(df), "_fim": _fim(df)}).where(
+        F.col("_fim") >= F.col("_ini")
+    )
+    carried = [c for c in S.EVENT_COLUMNS if c != "NUM_SEQ_INTRP"]
+    events = rows.groupBy(text("NUM_SEQ_INTRP").alias("NUM_SEQ_INTRP")).agg(
+        *[(F.max(text(c)) if c in have else F.lit(None).cast("string")).alias(c) for c in carried],
+        F.min("_ini").alias("inicio_interrupcao_ts"), F.max("_fim").alias("fim_interrupcao_ts"),
+        F.countDistinct(blank_to_null("NUM_UC_UCI")).alias("qtd_ucs_afetadas"), F.count("*").alias("qtd_registros_uci"),
+    )
+    minutes = minute_boundaries("inicio_interrupcao_ts", "fim_interrupcao_ts")
+    hours = minutes / F.lit(60.0)
+    return events.where(minutes >= int(limit_hours * 60)).withColumns({
+        "duracao_horas": F.round(hours, 6),
+        "chi_estimado_horas_uc": F.round(hours * F.col("qtd_ucs_afetadas"), 6),
+        "regra": F.lit("outlier_duracao_interrupcao"), "acao_sugerida": F.lit("analise_manual"),
+        "justificativa_sistema": F.lit(S.MSG_OUTLIER.format(limit_hours)),
+        "status_pendencia": F.lit("pendente"), "gerado_em": F.lit(run_ts),
+    })
+
+
+def outlier_summary(outliers: DataFrame) -> DataFrame:
+    return outliers.agg(
+        F.count("*").alias("total_outliers"), F.coalesce(F.sum("qtd_ucs_afetadas"), F.lit(0)).alias("total_ucs_afetadas"),
+        F.coalesce(F.max("duracao_horas"), F.lit(0.0)).alias("duracao_max_horas"),
+        F.coalesce(F.sum("chi_estimado_horas_uc"), F.lit(0.0)).alias("chi_estimado_horas_uc"),
+    )
+
+
+def stage_summary(df: DataFrame, anomes: str, run_ts: str, source: str) -> DataFrame:
+    """One row of counts over a stage.
+
+    Negative time counts events, missing codes count rows, both as published. Rejected rows per activity
+    are a JSON object built from one row per activity.
+    """
+    has_status = "status_validacao" in df.columns
+    status = F.lower(F.trim(text("status_validacao"))) if has_status else F.lit(None).cast("string")
+    activity = text("atividade_validacao") if "atividade_validacao" in df.columns else F.lit(None).cast("string")
+    rows = df.withColumns({"_status": status, "_activity": F.coalesce(blank_to_null(activity), F.lit("Sem atividade"))})
+    base = rows.agg(
+        F.count("*").alias("total_registros"),
+        _count(is_blank("COD_CAUSA_INTRP") | is_blank("COD_COMP_INTRP")).alias("sem_causa_componente"),
+        _count(F.col("_status") == "rejeitado").alias("rejeitados"), _count(F.col("_status") == "validado").alias("validado"),
+    )
+    negative = negative_events(df).agg(F.count("*").alias("horario_negativo"))
+    device = overlapped_event_count(df)
+    uc = uc_contained(df).select("num_seq").distinct().agg(F.count("*").alias("sobreposicao_uc"))
+    per_activity = rows.where(F.col("_status") == "rejeitado").groupBy("_activity").agg(F.count("*").alias("n"))
+    as_json = per_activity.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_activity", "n"))))).alias(
+        "rejeitados_por_atividade_json"
+    ))
+    # Every side is a single row by construction (global aggregate), so joining them on a constant is safe.
+    parts = [p.withColumn("_one", F.lit(1)) for p in (negative, device, uc, as_json)]
+    out = base.withColumn("_one", F.lit(1))
+    for part in parts:
+        out = out.join(part, "_one")
+    pending = F.greatest(F.col("total_registros") - F.col("rejeitados") - F.col("validado"), F.lit(0))
+    return out.select(
+        F.lit(anomes).alias("anomes"), F.lit(run_ts).alias("gerado_em"), F.lit(source).alias("fonte"), "total_registros",
+        pending.alias("pendencias_totais"), "horario_negativo", "sobreposicao_interrupcao", "sobreposicao_uc",
+        "sem_causa_componente", "rejeitados", "validado", "rejeitados_por_atividade_json",
+    )
+
+
+# ------------------------------------------------------------------------------------------ listings
+
+
+def list_negative_events(df: DataFrame, duration_min: int | None = None, duration_max: int | None = None) -> DataFrame:
+    """Negative events with a suggested end (start plus three hours)."""
+    small = F.col("duracao_minutos") >= -180
+    return negative_events(df, duration_min, duration_max).select(
+        F.col("num_seq").alias("NUM_SEQ_INTRP"), F.col("num_oper_chv_intrp").alias("NUM_OPER_CHV_INTRP"),
+        "NUM_OCORRENCIA_ADMS", dmy_text("inicio").alias("DATA_HORA_INIC_INTRP"), dmy_text("fim").alias("DATA_HORA_FIM_INTRP"),
+        "duracao_minutos", "qtd_ucs_afetadas", F.col("regional_origem").alias("REGIONAL_ORIGEM"), "ANOMES_PROCESSAMENTO",
+        F.lit("DATA_HORA_FIM_INTRP").alias("CAMPO_SUGERIDO"), suggested_end("inicio").alias("VALOR_SUGERIDO"),
+        F.when(small, F.lit(S.MSG_SUGGEST_START)).otherwise(F.lit(S.MSG_MANUAL)).alias("SUGESTAO"),
+    )
+
+
+def list_negative_rows(df: DataFrame) -> DataFrame:
+    """Negative rows with a suggested end (end plus three hours)."""
+    rows = df.withColumns({"inicio": _ini(df), "fim": _fim(df)})
+    rows = rows.withColumn("duracao_minutos", minute_boundaries("inicio", "fim")).where("duracao_minutos < 0")
+    small = F.col("duracao_minutos") >= -180
+    return rows.select(
+        "ANOMES_PROCESSAMENTO", "REGIONAL_ORIGEM", *S.RECORD_KEY, "DATA_HORA_INIC_INTRP", "DATA_HORA_FIM_INTRP",
+        "duracao_minutos", suggested_end("fim").alias("valor_sugerido"), F.lit("DATA_HORA_FIM_INTRP").alias("campo_sugerido"),
+        F.when(small, F.lit(S.MSG_SUGGEST_END)).otherwise(F.lit(S.MSG_MANUAL)).alias("sugestao"),
+    )
+
+
+def list_device_pairs(df: DataFrame) -> DataFrame:
+    """Overlapping events of a device: the event to reject next to the one it overlaps."""
+    return device_pairs(device_events(df)).select(
+        F.col("device").alias("NUM_OPER_CHV_INTRP"), F.col("num_seq").alias("NUM_SEQ_INTRP"),
+        F.col("num_seq_sobreposta").alias("NUM_SEQ_INTRP_SOBREPOSTA"), dmy_text("inicio").alias("DATA_HORA_INIC_INTRP"),
+        dmy_text("fim").alias("DATA_HORA_FIM_INTRP"), dmy_text("inicio_sobreposta").alias("DATA_HORA_INIC_SOBREPOSTA"),
+        dmy_text("fim_sobreposta").alias("DATA_HORA_FIM_SOBREPOSTA"), "qtd_ucs_afetadas",
+        F.lit("sugerir_rejeitar").alias("ACAO_SUGERIDA"), F.lit(S.REASON_OVERLAP).alias("NUM_MOTIVO_TRAT_DIF_UCI_SUGERIDO"),
+        F.lit(S.MSG_DEVICE_PAIR).alias("SUGESTAO"),
+    )
+
+
+def _second_of_pair(pairs: DataFrame, first_end: Column, shift: str, short: str, field: str) -> list[Column]:
+    long = F.col("segunda_duracao_longa")
+    return [
+        F.when(long, F.lit(field)).otherwise(F.lit("NUM_MOTIVO_TRAT_DIF_UCI")).alias("campo_sugerido"),
+        F.when(long, first_end).otherwise(F.lit(S.REASON_OVERLAP)).alias("valor_sugerido"),
+        F.when(long, F.lit(shift)).otherwise(F.lit(short)).alias("sugestao"),
+        F.when(long, F.col("num_intrp_primeira")).alias("NUM_INTRP_INIC_MANOBRA_UCI_sugerido"),
+    ]
+
+
+def _oriented(pairs: DataFrame, names: dict[str, tuple[str, str]]) -> list[Column]:
+    """``{output: (side, column)}`` with side 1 the lower event number (ties: the earlier row)."""
+    a_first = F.col("a__seq") <= F.col("b__seq")
+    out = []
+    for name, (side, column) in names.items():
+        one, two = (f"a_{column}", f"b_{column}") if side == "1" else (f"b_{column}", f"a_{column}")
+        out.append(F.when(a_first, F.col(one)).otherwise(F.col(two)).alias(name))
+    return out
+
+
+def list_feeder_device_pairs(df: DataFrame) -> DataFrame:
+    """Overlapping events on the same feeder and device, with the correction of the second.
+
+    Rows of one event with the same times are one interval here, with their number in ``linhas_primeira`` and
+    ``linhas_segunda``: listing each UC of one event against each UC of the other would square the largest
+    outage and say the same thing each time.
+    """
+    rows = df.withColumns({"inicio": _ini(df), "fim": _fim(df), "_seq": int_or("NUM_SEQ_INTRP")})
+    rows = rows.where(blank_to_null("NUM_OPER_CHV_INTRP").isNotNull() & F.col("_seq").isNotNull())
+    events = rows.groupBy(
+        "ALIM_INTRP_PIN", "NUM_OPER_CHV_INTRP", "_seq", "NUM_SEQ_INTRP", "NUM_INTRP_UCI", "inicio", "fim",
+        "DATA_HORA_INIC_INTRP", "DATA_HORA_FIM_INTRP", "duracao_longa",
+    ).agg(F.count("*").alias("linhas")).withColumn("_id", F.concat_ws("|", "NUM_SEQ_INTRP", "NUM_INTRP_UCI", iso_text("inicio"), iso_text("fim")))
+    pairs = overlap_pairs(
+        events, ["ALIM_INTRP_PIN", "NUM_OPER_CHV_INTRP"], "_id",
+        ["_seq", "NUM_SEQ_INTRP", "NUM_INTRP_UCI", "DATA_HORA_INIC_INTRP", "DATA_HORA_FIM_INTRP", "duracao_longa", "linhas"],
+    ).where(F.col("a__seq") != F.col("b__seq"))
+    out = pairs.select("ALIM_INTRP_PIN", "NUM_OPER_CHV_INTRP", *_oriented(pairs, {
+        "num_seq_primeira": ("1", "NUM_SEQ_INTRP"), "num_seq_segunda": ("2", "NUM_SEQ_INTRP"),
+        "num_intrp_primeira": ("1", "NUM_INTRP_UCI"), "num_intrp_segunda": ("2", "NUM_INTRP_UCI"),
+        "fim_primeira": ("1", "DATA_HORA_FIM_INTRP"), "inicio_segunda_atual": ("2", "DATA_HORA_INIC_INTRP"),
+        "segunda_duracao_longa": ("2", "duracao_longa"), "linhas_primeira": ("1", "linhas"), "linhas_segunda": ("2", "linhas"),
+    }))
+    return out.select("*", *_second_of_pair(out, F.col("fim_primeira"), S.MSG_SHIFT_EVENT, S.MSG_SHORT_EVENT, "DATA_HORA_INIC_INTRP"))
+
+
+def list_uc_pairs(df: DataFrame) -> DataFrame:
+    """Overlapping records of the same UC and post, with the correction of the second."""
+    rows = df.withColumns({"inicio": _ini_uc(df), "fim": _fim(df), "_seq": int_or("NUM_SEQ_INTRP", MAX_SEQ)})
+    pairs = overlap_pairs(
+        rows, ["NUM_UC_UCI", "NUM_POSTO_UCI"], "NUM_INTRP_UCI",
+        ["_seq", "NUM_SEQ_INTRP", "DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP", "duracao_longa"],
+    )
+    out = pairs.select("NUM_UC_UCI", "NUM_POSTO_UCI", *_oriented(pairs, {
+        "num_seq_primeira": ("1", "NUM_SEQ_INTRP"), "num_seq_segunda": ("2", "NUM_SEQ_INTRP"),
+        "num_intrp_primeira": ("1", "NUM_INTRP_UCI"), "num_intrp_segunda": ("2", "NUM_INTRP_UCI"),
+        "fim_primeira": ("1", "DATA_HORA_FIM_INTRP"), "inicio_segunda_atual": ("2", "DTHR_INICIO_INTRP_UC"),
+        "segunda_duracao_longa": ("2", "duracao_longa"),
+    }))
+    return out.select("*", *_second_of_pair(out, F.col("fim_primeira"), S.MSG_SHIFT_UC, S.MSG_SHORT_UC, "DTHR_INICIO_INTRP_UC"))
+
+
+def list_missing_codes(df: DataFrame) -> DataFrame:
+    """Rows without cause or component, with the field to fill."""
+    cause, comp = is_blank("COD_CAUSA_INTRP"), is_blank("COD_COMP_INTRP")
+    return df.where(cause | comp).select(
+        "ANOMES_PROCESSAMENTO", "REGIONAL_ORIGEM", *S.RECORD_KEY, "NUM_OCORRENCIA_ADMS", "DESC_INTRP", "TIPO_EQP_INTRP",
+        "NUM_OPER_CHV_INTRP", "COD_CAUSA_INTRP", "COD_COMP_INTRP",
+        F.when(cause & comp, F.lit("COD_CAUSA_INTRP,COD_COMP_INTRP")).when(cause, F.lit("COD_CAUSA_INTRP"))
+        .otherwise(F.lit("COD_COMP_INTRP")).alias("campo_sugerido"),
+        F.lit(S.MSG_REVIEW_CODES).alias("sugestao"),
+    )

@@ -298,16 +298,15 @@ CSV_SEPARATOR = "|"
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in EXPORT_LAYOUT])
 
 CSV_LOG_SCHEMA = T.StructType([
-    T.StructField("caminho", T.StringType()),
-    T.StructField("arquivo", T.StringType()),
-    T.StructField("tamanho_bytes", T.LongType()),
-    T.StructField("modificado_em", T.TimestampType()),
+    T.StructField("arquivo_path", T.StringType()),
+    T.StructField("arquivo_nome", T.StringType()),
+    T.StructField("arquivo_tamanho_bytes", T.LongType()),
+    T.StructField("arquivo_modificado_em", T.TimestampType()),
     T.StructField("anomes", T.StringType()),
-    T.StructField("regional", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("linhas", T.LongType()),
-    T.StructField("mensagem", T.StringType()),
     T.StructField("processado_em", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("linhas_lidas", T.LongType()),
+    T.StructField("mensagem_erro", T.StringType()),
 ])
 
 STEP_LOG_SCHEMA = T.StructType([
@@ -320,21 +319,16 @@ STEP_LOG_SCHEMA = T.StructType([
     T.StructField("registrado_em", T.StringType()),
 ])
 
-DECISION_SCHEMA = T.StructType([
-    T.StructField("id_decisao", T.StringType()),
-    T.StructField("anomes", T.StringType()),
-    T.StructField("regra", T.StringType()),
-    T.StructField("chave_registro", T.StringType()),
-    T.StructField("acao", T.StringType()),
-    T.StructField("status_validacao", T.StringType()),
-    T.StructField("validado", T.BooleanType()),
-    T.StructField("justificativa", T.StringType()),
-    T.StructField("usuario", T.StringType()),
-    T.StructField("perfil", T.StringType()),
-    T.StructField("ip", T.StringType()),
-    T.StructField("pc", T.StringType()),
-    T.StructField("data_hora", T.StringType()),
-])
+# Decision -> validation status it sets, roles whose change requests apply at once.
+DECISIONS = {
+    "validar": ("aplicado", True, "validado"),
+    "rejeitar": ("aplicado", False, "rejeitado"),
+    "ignorar_regra": ("aplicado", False, "ignorado"),
+    "aprovar_alteracao": ("aprovado", False, "em_analise"),
+    "rejeitar_alteracao": ("rejeitado", False, "em_analise"),
+}
+BATCH_DECISIONS = ["validar", "rejeitar", "ignorar_regra"]
+APPLYING_ROLES = ["admin", "gestor"]
 
 ISSUE_COLUMNS = [
     "regra", "gravidade", "grao", "chave_evento", "chave_registro", "num_seq_intrp", "num_intrp_uci",
