@@ -183,18 +183,21 @@ def before_after(levels: DataFrame, run_ts: str) -> DataFrame:
     )
 
 
+def choose_denominator(billed_counts: DataFrame | None, consumer_counts: DataFrame | None) -> tuple[DataFrame | None, str]:
+    """The first usable official source and its label: billed counts, then consumer counts, then none."""
+    for frame, label in ((billed_counts, S.DENOMINATOR_BILLED), (consumer_counts, S.DENOMINATOR_CONSUMERS)):
+        if frame is not None and all(find_column(frame, a) for a in S.ALIASES["denominators"].values()):
+            return frame, label
+    return None, S.DENOMINATOR_DISTINCT
+
+
 def continuity_indicators(before: DataFrame, after: DataFrame, anomes: str, run_ts: str, billed: DataFrame | None = None,
                           billed_counts: DataFrame | None = None, consumer_counts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All indicator tables of a month. Billed counts are preferred over consumer counts as denominator."""
+    """All indicator tables of a month as lazy frames (``plans.trail`` stores ``indicadores_uc`` in between)."""
     base = billed_filter(scenario_base(before, after, anomes), billed)
-    official, source = None, S.DENOMINATOR_DISTINCT
-    for frame, label in ((billed_counts, S.DENOMINATOR_BILLED), (consumer_counts, S.DENOMINATOR_CONSUMERS)):
-        if frame is not None and all(find_column(frame, a) for a in S.ALIASES["denominators"].values()):
-            official, source = frame, label
-            break
+    official, source = choose_denominator(billed_counts, consumer_counts)
     uc = uc_indicators(base, run_ts, source)
-    dens = denominators(base, official)
-    levels = aggregate_levels(uc, dens, run_ts)
+    levels = aggregate_levels(uc, denominators(base, official), run_ts)
     return {"indicadores_uc": uc, "indicadores_agregado": levels, "indicadores_comparativo": before_after(levels, run_ts)}
 
 
