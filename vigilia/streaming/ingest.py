@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -13,8 +13,12 @@ from ..sources.files import with_file_columns
 from ..sources.sinks import append_rows
 
 
-def file_stream(spark: SparkSession, folder: str, schema: StructType = S.RAW_SCHEMA, max_files: int = 100) -> DataFrame:
-    """Rows of files as they arrive: all text, blanks as null, month and region from the file name."""
+def file_stream(spark: SparkSession, folder: str, schema: StructType = S.RAW_SCHEMA, max_files: int = 100,
+                month: Column | None = None) -> DataFrame:
+    """Rows of files as they arrive: all text, blanks as null, month and region from the file name.
+
+    ``month`` replaces the month of the file name where the rows state it themselves.
+    """
     rows = spark.readStream.schema(schema).options(
         sep=S.CSV_SEPARATOR, header=True, maxFilesPerTrigger=max_files, recursiveFileLookup=True
     ).csv(folder)
@@ -22,11 +26,13 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType = S.RAW_SCH
         *[F.nullif(F.col(f.name), F.lit(" ")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in schema],
         F.col("_metadata.file_path").alias("arquivo_path"),
     )
-    return with_file_columns(clean).drop("arquivo_path", "snapshot_ts")
+    tagged = with_file_columns(clean).drop("arquivo_path", "arquivo_nome", "snapshot_ts")
+    return tagged if month is None else tagged.withColumn("anomes", month)
 
 
 def load_arriving(spark: SparkSession, folder: str, table: str, checkpoint: str, key: list[str] | None = None,
-                  schema: StructType = S.RAW_SCHEMA, max_files: int = 100) -> StreamingQuery:
+                  schema: StructType = S.RAW_SCHEMA, max_files: int = 100, month: Column | None = None,
+                  tiebreak: list[str] | None = None) -> StreamingQuery:
     """Append rows with a new record key to ``table`` (by month) until the files present are read.
 
     The checkpoint remembers which files were read; the table itself is the memory of keys, so no state grows
@@ -36,10 +42,10 @@ def load_arriving(spark: SparkSession, folder: str, table: str, checkpoint: str,
     key = key or S.RECORD_KEY
 
     def add(batch: DataFrame, _: int) -> None:
-        fresh = new_rows(batch, table_or_none(batch.sparkSession, table), key)
+        fresh = new_rows(batch, table_or_none(batch.sparkSession, table), key, tiebreak)
         append_rows(fresh, table)
 
     return (
-        file_stream(spark, folder, schema, max_files).writeStream.foreachBatch(add)
+        file_stream(spark, folder, schema, max_files, month).writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
