@@ -87,7 +87,7 @@ def before_after(t):
 def _ev_rows(t):
     """Event-stream intervals as scenario rows: five regions, contained events removed afterwards."""
     from ..operators.intervals import contained
-    rows = contained(B.ev(t), ["uc"], "seq", "seq").withColumn("cenario", F.explode(F.when(
+    rows = contained(B.ev(t), ["uc"], "seq", "seq", once=True).withColumn("cenario", F.explode(F.when(
         F.col("contido"), F.array(F.lit("antes"))).otherwise(F.array(F.lit("antes"), F.lit("depois")))))
     regions = F.array(*[F.lit(r) for r in S.REGIONS])
     return rows.select(

@@ -28,7 +28,7 @@ _COVER = """FROM ev a JOIN ev b ON a.uc = b.uc AND a.seq <> b.seq AND b.inicio <
 SELECT seq, uc, seq IN (SELECT a.seq {_COVER}) AS contido FROM ev""")
 def contained(t):
     """JN-05: rows another event of the UC covers."""
-    return I.contained(B.ev(t), ["uc"], "seq", "seq").select("seq", "uc", "contido")
+    return I.contained(B.ev(t), ["uc"], "seq", "seq", once=True).select("seq", "uc", "contido")
 
 
 @query("best_container", B.with_(B.EV) + f"""
@@ -37,7 +37,7 @@ SELECT seq, evento_contem, inicio_contem, fim_contem FROM (
          row_number() OVER (PARTITION BY a.seq ORDER BY b.inicio, b.fim DESC, b.seq) AS rn {_COVER}) WHERE rn = 1""")
 def best_container(t):
     """JN-06, WIN-06: earliest, longest container of each contained row."""
-    return I.best_container(B.ev(t), ["uc"], "seq", "seq").where("evento_contem IS NOT NULL").select(
+    return I.best_container(B.ev(t), ["uc"], "seq", "seq", once=True).where("evento_contem IS NOT NULL").select(
         "seq", "evento_contem", iso_text("inicio_contem").alias("inicio_contem"), iso_text("fim_contem").alias("fim_contem"))
 
 

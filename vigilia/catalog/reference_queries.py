@@ -265,7 +265,7 @@ cr AS (
 
 @query("consistency_by_region", B.with_(B.RAW, B.UNI, B.OFFICIAL, _CONS) + """
 SELECT o AS arquivo_origem, c AS classificacao, ci, round(chi, 4) AS chi, ci_longa, round(chi_longa, 4) AS chi_longa_s, q AS mercado_faturado,
-       CASE WHEN q > 0 THEN round(ci_longa / q, 6) ELSE 0 END AS fec, CASE WHEN q > 0 THEN round(chi_longa / q, 6) ELSE 0 END AS dec FROM cr""")
+       CASE WHEN q > 0 THEN round(ci_longa / q, 8) ELSE 0 END AS fec, CASE WHEN q > 0 THEN round(chi_longa / q, 8) ELSE 0 END AS dec FROM cr""")
 def consistency_by_region(t):
     """PIP-23, AGG-20/21, WIN-08/09, Q12: CI, CHI, FEC, DEC by region and class, gross and company rows."""
     rows = B.uni(t)
@@ -283,4 +283,4 @@ def consistency_by_region(t):
         F.max(B.FIM).alias("dt_fim"), F.max("TIPO_PROTOC_JUSTIF_INTRP").alias("protocolo_evento"))
     off = B.official(t).where("REGIONAL_TOTAL <> 'COPEL'").select(F.col("REGIONAL_TOTAL").alias("regional"), F.col("UC_faturada").alias("uc_faturada"))
     out = I.consistency_by_region(affected, events, t.part.select(F.col("p_partkey").cast("string").alias("num_uc"), region.alias("regional")), off, "202402")
-    return out.withColumns({"chi": F.round("chi", 4), "chi_longa_s": F.round("chi_longa_s", 4), "fec": F.round("fec", 6), "dec": F.round("dec", 6)}).drop("yyyymm")
+    return out.withColumns({"chi": F.round("chi", 4), "chi_longa_s": F.round("chi_longa_s", 4), "fec": F.round("fec", 8), "dec": F.round("dec", 8)}).drop("yyyymm")

@@ -1,16 +1,20 @@
 """Interval operators: merge, containment, trimming, overlap pairs.
 
-All of them work per key (a UC, a device) on a start and an end column. A key may hold a large share of all
-rows, so nothing here ranks or lists a whole key in one task:
-
-* Running facts ("latest end so far") only need one row per distinct start of a key, which partial
-  aggregation produces before the exchange. They are then computed per (key, cell), a cell being a stretch of
-  the calendar, and carried over from cell to cell through a summary of one row per (key, cell). A cell's
-  group is bounded by the number of distinct instants in a cell, the carry by the number of cells.
+All of them work per key (a UC, a device) on a start and an end column. How many rows the largest key holds is
+counted first (key column only, partial counts). While that fits a task comfortably, running facts such as "latest
+end so far" are one window over the key: one exchange, one sort. Past ``HOT_ROWS`` a key is never ranked or listed
+in one task:
+
+* Running facts only need one row per distinct start of a key, which partial aggregation produces before the
+  exchange. They are then computed per (key, cell), a cell being a stretch of the calendar, and carried over from
+  cell to cell through a summary of one row per (key, cell). A cell's group is bounded by the number of distinct
+  instants in a cell, the carry by the number of cells.
 * Look-ups of a partner go through the running facts (containment) or through a grid join on (key, cell)
   whose one side is reduced to one row per (key, end) first (trimming).
-* Overlap pairs, whose result is the pairs themselves, use the grid join: a start is a point in one cell, an
-  interval covers a few cells, and only pairs that share a cell are compared.
+* Overlap pairs, whose result is the pairs themselves, always use the grid join: a start is a point in one cell,
+  an interval covers a few cells, and only pairs that share a cell are compared.
+
+``hot`` skips the count: ``True`` forces the split form, ``False`` the single window.
 """
 
 from __future__ import annotations
@@ -22,6 +26,33 @@ from ..functions.text import MAX_SEQ
 from ..functions.time import microsecond_index, minute_boundaries, second_index
 
 DAY = 86400
+# Rows of one key that one task may sort in a window.
+HOT_ROWS = 2_000_000
+
+
+def is_hot(key: list[str], *frames: DataFrame) -> bool:
+    """Whether some key holds more than ``HOT_ROWS`` rows over all frames; one number reaches the driver."""
+    keys = [f.select(*key) for f in frames]
+    rows = keys[0]
+    for other in keys[1:]:
+        rows = rows.unionByName(other)
+    largest = rows.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 0) > HOT_ROWS
+
+
+def _sweep(rows: DataFrame, events: DataFrame, key: list[str], at: str, name: str, agg=F.max, inclusive: bool = False) -> DataFrame:
+    """Add to each row ``agg`` of the events of its key with ``_t`` below (``inclusive``: up to) the row's ``at``.
+
+    ``events``: key, ``_t``, ``_v``. Rows and events share one sort; which of them comes first at the same instant
+    decides whether the bound counts.
+    """
+    first, second = (0, 1) if inclusive else (1, 0)
+    payload = F.struct(*[F.col(c) for c in rows.columns]).alias("_row")
+    asked = rows.select(*key, F.col(at).alias("_t"), F.lit(second).alias("_k"), payload)
+    given = events.select(*key, "_t", F.lit(first).alias("_k"), "_v")
+    both = asked.unionByName(given, allowMissingColumns=True)
+    value = agg("_v").over(_before(key, "_t", "_k"))
+    return both.withColumn("_p", value).where(F.col("_row").isNotNull()).select("_row.*", F.col("_p").alias(name))
 
 
 def _cell(ts, width: int) -> Column:
@@ -66,13 +97,16 @@ def _lookup(values: DataFrame, asked: DataFrame, key: list[str], agg=F.max, incl
 
 
 def overlaps_any(df: DataFrame, others: DataFrame, key: list[str], ini: str = "inicio", fim: str = "fim",
-                 name: str = "sobrepoe", cell: int = DAY) -> DataFrame:
+                 name: str = "sobrepoe", cell: int = DAY, hot: bool | None = None) -> DataFrame:
     """Flag rows that overlap at least one interval of ``others`` under the same key.
 
     Some interval overlaps a row when the latest end among those that start before the row's end exceeds the
     row's start: one running maximum, no pairs.
     """
     ends = others.select(*key, F.col(ini).alias("_t"), F.col(fim).alias("_v"))
+    if not (is_hot(key, df, others) if hot is None else hot):
+        flag = F.coalesce(F.col("_prev") > F.col(ini), F.lit(False)).alias(name)
+        return _sweep(df, ends, key, fim, "_prev").select(*df.columns, flag)
     before = _lookup(ends, df.select(*key, F.col(fim).alias("_t")), key, cell=cell)
     return df.join(before.withColumnRenamed("_t", fim), [*key, fim], "left").select(
         *df.columns, F.coalesce(F.col("_prev") > F.col(ini), F.lit(False)).alias(name)
@@ -80,29 +114,45 @@ def overlaps_any(df: DataFrame, others: DataFrame, key: list[str], ini: str = "i
 
 
 def overlaps_other(df: DataFrame, key: list[str], ini: str = "inicio", fim: str = "fim", name: str = "sobrepoe",
-                   cell: int = DAY) -> DataFrame:
+                   cell: int = DAY, hot: bool | None = None) -> DataFrame:
     """Flag rows that overlap another row of the same key (rows that end before they start included).
 
     For a row with length: among intervals that do not run backwards, those that start before its end and do
     not end by its start overlap it; two running counts give their number, the row itself included. Backward
     intervals, and rows without length, which never meet themselves, are looked up.
     """
+    hot = is_hot(key, df) if hot is None else hot
     length = F.col(fim) > F.col(ini)
     rows, forward = df.where(length), df.where(F.col(fim) >= F.col(ini))
     one = F.lit(1).cast("long").alias("_v")
-    started = _lookup(forward.select(*key, F.col(ini).alias("_t"), one), rows.select(*key, F.col(fim).alias("_t")), key, F.sum, cell=cell)
-    ended = _lookup(forward.select(*key, F.col(fim).alias("_t"), one), rows.select(*key, F.col(ini).alias("_t")), key, F.sum, True, cell)
-    counted = (
-        overlaps_any(rows, df.where(F.col(fim) < F.col(ini)), key, ini, fim, "_any", cell)
-        .join(started.select(*key, F.col("_t").alias(fim), F.col("_prev").alias("_started")), [*key, fim])
-        .join(ended.select(*key, F.col("_t").alias(ini), F.col("_prev").alias("_ended")), [*key, ini])
+    starts, ends = forward.select(*key, F.col(ini).alias("_t"), one), forward.select(*key, F.col(fim).alias("_t"), one)
+    counted = overlaps_any(rows, df.where(F.col(fim) < F.col(ini)), key, ini, fim, "_any", cell, hot)
+    if hot:
+        started = _lookup(starts, rows.select(*key, F.col(fim).alias("_t")), key, F.sum, cell=cell)
+        ended = _lookup(ends, rows.select(*key, F.col(ini).alias("_t")), key, F.sum, True, cell)
+        counted = counted.join(started.select(*key, F.col("_t").alias(fim), F.col("_prev").alias("_started")), [*key, fim]).join(
+            ended.select(*key, F.col("_t").alias(ini), F.col("_prev").alias("_ended")), [*key, ini])
+    else:
+        counted = _sweep(_sweep(counted, starts, key, fim, "_started", F.sum), ends, key, ini, "_ended", F.sum, True)
+    more = F.coalesce("_started", F.lit(0)) - F.coalesce("_ended", F.lit(0)) > 1
+    flagged = counted.select(*df.columns, (F.col("_any") | more).alias(name))
+    return flagged.unionByName(overlaps_any(df.where(~length), df, key, ini, fim, name, cell, hot))
+
+
+def _label_islands(rows: DataFrame, key: list[str], ini: str, fim: str, cell: int, hot: bool) -> DataFrame:
+    """Add ``_ilha``, the start of the merged period a row belongs to."""
+    if hot:
+        return rows.join(_island_of_start(rows, key, ini, fim, cell), [*key, ini])
+    order = Window.partitionBy(*key).orderBy(ini)
+    prev = F.max(fim).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = rows.withColumn("_prev", prev).withColumn(
+        "_open", F.when(F.col("_prev").isNull() | (F.col(ini) > F.col("_prev")), F.col(ini))
     )
-    flagged = counted.select(*df.columns, (F.col("_any") | (F.col("_started") - F.col("_ended") > 1)).alias(name))
-    return flagged.unionByName(overlaps_any(df.where(~length), df, key, ini, fim, name, cell))
+    return opened.withColumn("_ilha", F.max("_open").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_prev", "_open")
 
 
 def _island_of_start(df: DataFrame, key: list[str], ini: str, fim: str, cell: int) -> DataFrame:
-    """(key, start) -> ``_ilha``, the start of the merged period the start belongs to."""
+    """(key, start) -> ``_ilha``, for keys too large to be one group."""
     starts = (
         df.groupBy(*key, ini).agg(F.max(fim).alias("_end")).withColumn("_cell", _cell(ini, cell))
     )
@@ -118,7 +168,7 @@ def _island_of_start(df: DataFrame, key: list[str], ini: str, fim: str, cell: in
 
 
 def islands(df: DataFrame, key: list[str], ini: str = "inicio", fim: str = "fim", flags: tuple = (),
-            per: tuple = (), cell: int = DAY) -> DataFrame:
+            per: tuple = (), cell: int = DAY, hot: bool | None = None) -> DataFrame:
     """Merge overlapping or touching intervals of a key into periods.
 
     Returns ``key, per, ilha, <ini>, <fim>, flags, linhas``: ``ilha`` is the period's first start, a flag is true
@@ -127,12 +177,14 @@ def islands(df: DataFrame, key: list[str], ini: str = "inicio", fim: str = "fim"
     is one row. Rows with a missing time or an end before the start do not count.
     """
     rows = df.where(F.col(ini).isNotNull() & F.col(fim).isNotNull() & (F.col(fim) >= F.col(ini)))
-    pieces = rows.groupBy(*key, *per, ini).agg(
-        F.max(fim).alias(fim), *[F.max(f).alias(f) for f in flags], F.count("*").alias("linhas")
-    )
-    island = _island_of_start(pieces, key, ini, fim, cell)
+    hot = is_hot(key, rows) if hot is None else hot
+    pieces = rows.withColumn("linhas", F.lit(1).cast("long"))
+    if hot:
+        pieces = rows.groupBy(*key, *per, ini).agg(
+            F.max(fim).alias(fim), *[F.max(f).alias(f) for f in flags], F.count("*").alias("linhas")
+        )
     return (
-        pieces.join(island, [*key, ini])
+        _label_islands(pieces, key, ini, fim, cell, hot)
         .groupBy(*key, *per, F.col("_ilha").alias("ilha"))
         .agg(
             F.min(ini).alias(ini), F.max(fim).alias(fim), *[F.max(f).alias(f) for f in flags],
@@ -142,15 +194,15 @@ def islands(df: DataFrame, key: list[str], ini: str = "inicio", fim: str = "fim"
 
 
 def temporal_blocks(df: DataFrame, context: list[str], seq: str, ini: str = "inicio", fim: str = "fim",
-                    cell: int = DAY) -> DataFrame:
+                    cell: int = DAY, hot: bool | None = None) -> DataFrame:
     """Label rows with their block of overlapping or touching intervals within the same context.
 
     Adds ``bloco`` (first start), ``lider`` (lowest event of the block), ``inicio_bloco``, ``fim_bloco``,
     ``eventos_bloco`` and ``status_bloco`` (``LIDER`` or ``DUPLICADA``).
     """
     rows = df.where(F.col(ini).isNotNull() & F.col(fim).isNotNull() & (F.col(fim) >= F.col(ini)))
-    island = _island_of_start(rows, context, ini, fim, cell)
-    labelled = rows.join(island, [*context, ini]).withColumnRenamed("_ilha", "bloco")
+    hot = is_hot(context, rows) if hot is None else hot
+    labelled = _label_islands(rows, context, ini, fim, cell, hot).withColumnRenamed("_ilha", "bloco")
     blocks = labelled.groupBy(*context, "bloco").agg(
         F.min(seq).alias("lider"), F.min(ini).alias("inicio_bloco"), F.max(fim).alias("fim_bloco"),
         F.countDistinct(seq).alias("eventos_bloco"),
@@ -178,7 +230,7 @@ def _record_setters(df: DataFrame, key: list[str], ini: str, fim: str, order: st
 
 
 def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: str = "inicio", fim: str = "fim",
-                   cell: int = DAY, backwards: bool = False) -> DataFrame:
+                   cell: int = DAY, backwards: bool = False, once: bool = False, hot: bool | None = None) -> DataFrame:
     """Left-join to every row the best interval of another event that contains it.
 
     A container has another event number, starts no later, ends no earlier, and on an identical interval has
@@ -190,8 +242,40 @@ def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: s
     starts and ends, and the best container of a row is the lowest step that reaches its end: a look-up per
     (key, end) instead of a self-join. Only when that step belongs to the row's own event with another
     interval does the row need a search among other events; that exact search runs on those rows alone.
-    Rows need non-null key, times, event and order; ``backwards`` admits rows that end before they start.
+    Rows need non-null key, times, event and order; ``backwards`` admits rows that end before they start, ``once``
+    says that an event has one row per key, which makes that search unnecessary.
     """
+    ident = list(dict.fromkeys([*key, event, order, ini, fim]))
+    hot = is_hot(key, df) if hot is None else hot
+    stepped = _lowest_step_split(df, key, event, order, ini, fim, cell) if hot else _lowest_step(df, key, event, order, ini, fim)
+    other = F.col("_step._re") != F.col(event)
+    same_span = (F.col("_step._ri") == F.col(ini)) & (F.col("_step._rf") == F.col(fim))
+    found = other & (~same_span | (F.col("_step._ro") < F.col(order)))
+    own = ~other & ~same_span
+    if once:
+        own, rows = F.lit(False), stepped.withColumn("_alt", F.lit(None).cast(stepped.schema["_step"].dataType))
+    else:
+        rows = _search_others(df, stepped.where(own), key, event, order, ini, fim, ident, cell, backwards, stepped)
+    pick = lambda field: F.when(found, F.col(f"_step.{field}")).when(own, F.col(f"_alt.{field}"))
+    return rows.select(
+        *df.columns, pick("_re").alias("evento_contem"), pick("_ri").alias("inicio_contem"), pick("_rf").alias("fim_contem"),
+    )
+
+
+def _lowest_step(df: DataFrame, key: list[str], event: str, order: str, ini: str, fim: str) -> DataFrame:
+    """Add ``_step``, the lowest record row that reaches the row's end: two sorts within one exchange."""
+    before = _before(key, F.asc(ini), F.desc(fim), F.asc(order))
+    marked = df.withColumn("_prev", F.max(fim).over(before))
+    record = F.col("_prev").isNull() | (F.col(fim) > F.col("_prev"))
+    step = F.struct(F.col(ini).alias("_ri"), F.col(fim).alias("_rf"), F.col(order).alias("_ro"), F.col(event).alias("_re"))
+    above = Window.partitionBy(*key).orderBy(F.desc(fim), F.desc("_is")).rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("_is", record).withColumn(
+        "_step", F.last(F.when(F.col("_is"), step), ignorenulls=True).over(above)
+    ).drop("_prev", "_is")
+
+
+def _lowest_step_split(df: DataFrame, key: list[str], event: str, order: str, ini: str, fim: str, cell: int) -> DataFrame:
+    """The same for keys too large to be one group."""
     steps = _record_setters(df, key, ini, fim, order, event, cell)
     step = F.struct("_ri", "_rf", "_ro", "_re").alias("_step")
     ends = (
@@ -212,13 +296,12 @@ def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: s
             F.coalesce(F.last("_step", ignorenulls=True).over(from_above), F.col("_carried")).alias("_step"),
         )
     )
-    rows = df.join(lowest, [*key, fim]).select(*df.columns, "_step")
-    other = F.col("_step._re") != F.col(event)
-    same_span = (F.col("_step._ri") == F.col(ini)) & (F.col("_step._rf") == F.col(fim))
-    found = other & (~same_span | (F.col("_step._ro") < F.col(order)))
-    own = ~other & ~same_span
+    return df.join(lowest, [*key, fim]).select(*df.columns, "_step")
 
-    blocked = rows.where(own).select(*key, event, order, ini, fim).distinct()
+
+def _search_others(df, blocked_rows, key, event, order, ini, fim, ident, cell, backwards, stepped) -> DataFrame:
+    """Add ``_alt`` to ``stepped``: the best container among other events, for the blocked rows."""
+    blocked = blocked_rows.select(*ident).distinct()
     partners = df.join(blocked.select(*key).distinct(), key, "left_semi").select(
         *key, F.col(event).alias("_re"), F.col(order).alias("_ro"), F.col(ini).alias("_ri"), F.col(fim).alias("_rf")
     )
@@ -233,21 +316,16 @@ def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: s
         near = near.where(F.col(fim) >= F.col(ini)).unionByName(reverse)
     searched = (
         near.where(covers)
-        .groupBy(*key, event, order, ini, fim)
+        .groupBy(*ident)
         .agg(F.min(F.struct("_ri", (-microsecond_index("_rf")).alias("_d"), "_ro", "_re", "_rf")).alias("_alt"))
     )
-    rows = rows.join(searched, [*key, event, order, ini, fim], "left")
-    pick = lambda step, alt: F.when(found, F.col(f"_step.{step}")).when(own, F.col(f"_alt.{alt}"))
-    return rows.select(
-        *df.columns, pick("_re", "_re").alias("evento_contem"), pick("_ri", "_ri").alias("inicio_contem"),
-        pick("_rf", "_rf").alias("fim_contem"),
-    )
+    return stepped.join(searched, ident, "left")
 
 
 def contained(df: DataFrame, key: list[str], event: str, order: str, ini: str = "inicio", fim: str = "fim",
-              cell: int = DAY, backwards: bool = False) -> DataFrame:
+              cell: int = DAY, backwards: bool = False, once: bool = False, hot: bool | None = None) -> DataFrame:
     """Add ``contido``: another event of the key covers the row (see ``best_container``)."""
-    return best_container(df, key, event, order, ini, fim, cell, backwards).withColumn(
+    return best_container(df, key, event, order, ini, fim, cell, backwards, once, hot).withColumn(
         "contido", F.col("evento_contem").isNotNull()
     ).drop("evento_contem", "inicio_contem", "fim_contem")
 
