@@ -93,17 +93,19 @@ def _dmy(c):
     return f"try_strptime(trim({c}), '%d/%m/%Y %H:%M:%S')"
 
 
+_EV_TIES = ["NUM_SEQ_INTRP", "KVA_INTRP", "CONS_INTRP", "COD_AREA_ELET_INTRP", "DESC_INTRP"]
+_UC_TIES = ["DATA_HORA_FIM_INTRP", "DTHR_INICIO_INTRP_UC", "PID_POSTO_PIN", "COD_AREA_ELET_INTRP", "NUM_MOTIVO_TRAT_DIF_UCI"]
+
+
 def _ties(cols):
-    return ", ".join(f"{c} NULLS LAST" for c in sorted(cols))
+    return ", ".join(f"{c} NULLS LAST" for c in cols)
 
 
-_EVCOLS = S.EVENT_COLUMNS
-_UCCOLS = [*S.UC_COLUMNS, "TIPO_PROTOC_JUSTIF_INTRP"]
 _CONSOL = f"""snap AS (SELECT *, {_STAMP} AS snapshot_ts, coalesce(REGIONAL_ORIGEM, 'XXX') AS arquivo_origem FROM raw),
 ce AS (SELECT * EXCLUDE rn FROM (SELECT *, CASE WHEN nullif(trim(PID), '') IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY PID ORDER BY snapshot_ts DESC NULLS LAST,
-    arquivo_csv DESC NULLS LAST, {_ties(_EVCOLS)}) END AS rn FROM snap) WHERE rn = 1),
+    arquivo_csv DESC NULLS LAST, {_ties(_EV_TIES)}) END AS rn FROM snap) WHERE rn = 1),
 cu AS (SELECT * EXCLUDE rn FROM (SELECT *, CASE WHEN NUM_POSTO_UCI IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY {KEYS} ORDER BY snapshot_ts DESC NULLS LAST,
-    arquivo_csv DESC NULLS LAST, {_ties(set(_UCCOLS))}) END AS rn FROM snap) WHERE rn = 1)"""
+    arquivo_csv DESC NULLS LAST, {_ties(_UC_TIES)}) END AS rn FROM snap) WHERE rn = 1)"""
 
 
 def snapshots(t):
@@ -120,7 +122,7 @@ SELECT nullif(trim(PID), '') AS pid, NUM_SEQ_INTRP AS seq, round(c * s / 3600.0,
 WHERE s >= 0 AND c >= 0 AND strftime({_dmy('DATA_HORA_INIC_INTRP')}, '%Y%m') = '202402'""")
 def consolidate_events(t):
     """PIP-27, WIN-07, FLT-12, PRJ-24, SRC-13: newest snapshot per event, valid events of the month."""
-    return ingest.consolidate(snapshots(t), 2024, 2)["eventos"].select(
+    return ingest.consolidate(snapshots(t), 2024, 2, _EV_TIES, _UC_TIES)["eventos"].select(
         F.col("PID").alias("pid"), F.col("NUM_SEQ_INTRP").alias("seq"), F.round("CHI", 4).alias("chi"), F.round("duracao_horas", 6).alias("duracao_horas"), "arquivo_csv")
 
 
@@ -129,7 +131,7 @@ SELECT {KEYS}, arquivo_csv, strftime({_dmy('DTHR_INICIO_INTRP_UC')}, {FMT}) AS i
 WHERE {_dmy('DATA_HORA_FIM_INTRP')} >= {_dmy('DTHR_INICIO_INTRP_UC')} AND strftime({_dmy('DTHR_INICIO_INTRP_UC')}, '%Y%m') = '202402'""")
 def consolidate_ucs(t):
     """PIP-27: newest snapshot per record key, rows without a key kept."""
-    return ingest.consolidate(snapshots(t), 2024, 2)["ucs"].select(*S.RECORD_KEY, "arquivo_csv", iso_text("DTHR_INICIO_INTRP_UC").alias("inicio"))
+    return ingest.consolidate(snapshots(t), 2024, 2, _EV_TIES, _UC_TIES)["ucs"].select(*S.RECORD_KEY, "arquivo_csv", iso_text("DTHR_INICIO_INTRP_UC").alias("inicio"))
 
 
 @query("manifest", B.with_(B.RAW, _CONSOL) + """
@@ -269,5 +271,5 @@ UNION ALL SELECT 'indicadores', count(DISTINCT (nivel, regional_origem, cod_conj
 def run_trail(t):
     """PIP-32: all default steps of a month as one application; rows of each stage."""
     root = work_path(t.spark, "trail")
-    done = trail.run_trail(t.spark, B.raw(t), root, "202402", B.RUN_TS, targets=B.targets(t), vrc=B.vrcs(t), billed=B.billed(t), billed_counts=B.official(t))
+    done = trail.run_trail(t.spark, B.raw(t), root, "202402", B.RUN_TS, tiebreak=B.TIEBREAK, targets=B.targets(t), vrc=B.vrcs(t), billed=B.billed(t), billed_counts=B.official(t))
     return stack(*[df.agg(F.count("*").alias("linhas")).select(F.lit(step).alias("etapa"), "linhas") for step, df in done.items()])

@@ -10,29 +10,31 @@ ISO = "yyyy-M-d H:m:s"
 DMY_MINUTE = "d/M/yyyy H:m"
 ISO_MINUTE = "yyyy-M-d H:m"
 
-# What a plain cast accepts: a full ISO date with optional time, fraction included. Bare years do not count.
-_NATIVE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?$"
+# The text each format fits, and what a plain cast takes besides: a full ISO date with optional time and fraction.
+_FITS = {
+    DMY: r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}",
+    ISO: r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}",
+    DMY_MINUTE: r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}",
+    ISO_MINUTE: r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}",
+}
+_NATIVE = r"\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,6})?)?)?"
 
 
 def parse_ts(col, formats=(DMY, ISO), native: bool = True) -> Column:
-    """Text to timestamp without zone by the first format that fits, else null.
+    """Text to timestamp without zone by whichever format fits, else null.
 
-    Each format is tried only on text that holds its date separator, so a value costs one parse rather
-    than one failed parse per format. The formats are disjoint by separator and by number of colons, which
-    makes the order in which a caller lists them irrelevant for the result.
+    The formats are disjoint, so their order does not matter. Text that fits one is brought into ISO order and
+    cast, which costs a fraction of parsing by pattern; text that fits none is never tried.
     """
     text = F.trim(F.col(col) if isinstance(col, str) else col)
-    tries = []
-    for fmt in formats:
-        separator = "/" if "/" in fmt else "-"
-        seconds = fmt.endswith(":s")
-        fits = text.contains(separator) & (
-            text.rlike(r":\d{1,2}:\d{1,2}$") if seconds else text.rlike(r"^[^:]*:\d{1,2}$")
-        )
-        tries.append(F.when(fits, F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")))
-    if native:
-        tries.append(F.when(text.rlike(_NATIVE), text.try_cast("timestamp_ntz")))
-    return F.coalesce(*tries)
+    fits = "^(?:" + "|".join([*(_FITS[f] for f in formats), *([_NATIVE] if native else [])]) + ")$"
+    tail = F.substring_index(text, "/", -1)
+    iso = F.concat(
+        F.substring(tail, 1, 4), F.lit("-"), F.substring_index(F.substring_index(text, "/", 2), "/", -1), F.lit("-"),
+        F.substring_index(text, "/", 1), F.substr(tail, F.lit(5)),
+    )
+    plain = F.when(text.contains("/"), iso).otherwise(text)
+    return F.when(text.rlike(fits), plain.try_cast("timestamp_ntz"))
 
 
 def minute_index(ts) -> Column:

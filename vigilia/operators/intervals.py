@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MAX_SEQ
 from ..functions.time import microsecond_index, minute_boundaries, second_index
+from ..session import materialize
 
 DAY = 86400
 # Rows of one key that one task may sort in a window.
@@ -253,9 +254,14 @@ def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: s
     found = other & (~same_span | (F.col("_step._ro") < F.col(order)))
     own = ~other & ~same_span
     if once:
-        own, rows = F.lit(False), stepped.withColumn("_alt", F.lit(None).cast(stepped.schema["_step"].dataType))
+        own, rows = F.lit(False), stepped.withColumn("_alt", F.col("_step"))
     else:
-        rows = _search_others(df, stepped.where(own), key, event, order, ini, fim, ident, cell, backwards, stepped)
+        # Stored once: whether any row needs the search is known before it is planned, and mostly none does.
+        stepped = materialize(stepped, "contidos")
+        if stepped.where(own).isEmpty():
+            own, rows = F.lit(False), stepped.withColumn("_alt", F.col("_step"))
+        else:
+            rows = _search_others(stepped.select(*df.columns), stepped.where(own), key, event, order, ini, fim, ident, cell, backwards, stepped)
     pick = lambda field: F.when(found, F.col(f"_step.{field}")).when(own, F.col(f"_alt.{field}"))
     return rows.select(
         *df.columns, pick("_re").alias("evento_contem"), pick("_ri").alias("inicio_contem"), pick("_rf").alias("fim_contem"),

@@ -65,15 +65,20 @@ def first_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(rank)).where("_rn = 1").drop("_rn")
 
 
-def dedup_by_key(df: DataFrame, key: list[str], order: list, tiebreak: list[str] | None = None) -> DataFrame:
-    """``first_per_key`` with a total order: remaining columns, by name, break ties."""
-    if tiebreak is None:
-        named = {c for c in order if isinstance(c, str)}
-        tiebreak = sorted(set(df.columns) - set(key) - named)
-    return first_per_key(df, key, list(order) + list(tiebreak))
+def dedup_by_key(df: DataFrame, key: list[str], order: list, tiebreak: list | None = None) -> DataFrame:
+    """``first_per_key`` with a total order: ``tiebreak`` columns, else a hash of all remaining ones.
+
+    A hash keeps the sort key short; listing fifty columns there makes the comparison too large to compile.
+    """
+    if tiebreak is not None:
+        return first_per_key(df, key, [*order, *tiebreak])
+    named = {c for c in order if isinstance(c, str)}
+    rest = sorted(set(df.columns) - set(key) - named)
+    hashed = df.withColumn("_h", F.xxhash64(*rest) if rest else F.lit(0))
+    return first_per_key(hashed, key, [*order, "_h"]).drop("_h")
 
 
-def dedup_keep_incomplete(df: DataFrame, key: list[str], order: list, tiebreak: list[str] | None = None) -> DataFrame:
+def dedup_keep_incomplete(df: DataFrame, key: list[str], order: list, tiebreak: list | None = None) -> DataFrame:
     """Dedup rows with a full key; rows where a key part is blank all stay."""
     complete = F.lit(True)
     for c in key:

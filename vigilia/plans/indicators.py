@@ -14,6 +14,7 @@ from ..functions.text import (
 from ..functions.time import elapsed_minutes, minute_boundaries, parse_ts
 from ..operators.intervals import islands
 from ..operators.relational import backfill, dedup_keep_incomplete, find_column, first_per_key, resolve, stack
+from ..session import materialize
 
 TS_COLUMNS = {
     "DATA_HORA_INIC_INTRP_TS": "timestamp_ntz", "DATA_HORA_FIM_INTRP_TS": "timestamp_ntz",
@@ -236,7 +237,7 @@ def classify_uc_rows(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def dedup_uc_rows(rows: DataFrame, tiebreak: list[str] | None = None) -> DataFrame:
+def dedup_uc_rows(rows: DataFrame, tiebreak: list | None = None) -> DataFrame:
     """Newest row per record key, the manoeuvre's event number standing in for the own one; rows without a
     full key all stay."""
     key = S.RECORD_KEY
@@ -249,12 +250,15 @@ def dedup_uc_rows(rows: DataFrame, tiebreak: list[str] | None = None) -> DataFra
     return dedup_keep_incomplete(rows, key, order, tiebreak)
 
 
-def merged_periods(rows: DataFrame, by_origin: bool = True, tiebreak: list[str] | None = None) -> DataFrame:
-    """Periods without supply per UC (and origin): overlapping or touching rows merged, flags carried over."""
-    typed = rows.withColumns({
-        "DTHR_INICIO_INTRP_UC": parse_ts("DTHR_INICIO_INTRP_UC"), "DATA_HORA_FIM_INTRP": parse_ts("DATA_HORA_FIM_INTRP"),
-    }) if dict(rows.dtypes)["DATA_HORA_FIM_INTRP"] == "string" else rows
-    one = dedup_uc_rows(typed, tiebreak)
+def typed_uc_rows(rows: DataFrame) -> DataFrame:
+    """Times parsed where they are still text."""
+    kinds = dict(rows.dtypes)
+    return rows.withColumns({c: parse_ts(c) for c in ("DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP") if kinds[c] == "string"})
+
+
+def merged_periods(one: DataFrame, by_origin: bool = True) -> DataFrame:
+    """Periods without supply per UC (and origin) from rows without repeated keys: overlapping or touching rows
+    merged, flags carried over."""
     key = (["arquivo_origem"] if by_origin else []) + ["NUM_UC_UCI"]
     merged = islands(one, key, "DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP", flags=("is_expurgo", "is_area_i"))
     if not by_origin:
@@ -306,16 +310,20 @@ def rates(metrics: DataFrame) -> DataFrame:
 
 
 def assess_ci_chi(events: DataFrame, uc_rows: DataFrame, billed: DataFrame, consumers: DataFrame,
-                  tiebreak: list[str] | None = None) -> dict[str, DataFrame]:
+                  tiebreak: list | None = None) -> dict[str, DataFrame]:
     """CI/CHI summary by origin and class plus the company rows, whose periods are merged over all origins.
 
     ``consumers``: one row per region (``regional, consumidores, mes``).
     """
     events = classify_events(with_origin(events))
-    rows = classify_uc_rows(with_origin(uc_rows))
+    rows = dedup_uc_rows(classify_uc_rows(typed_uc_rows(with_origin(uc_rows))), tiebreak)
     wanted = billed_list(billed)
-    per_origin = merged_periods(rows, True, tiebreak).join(wanted, "NUM_UC_UCI", "left_semi")
-    overall = merged_periods(rows, False, tiebreak).join(wanted, "NUM_UC_UCI", "left_semi")
+    # Merging per UC and then keeping billed UCs equals keeping them first, and merges less. The rows are stored
+    # because two merges, each with its own key, read them.
+    rows = materialize(rows.select(
+        "arquivo_origem", "NUM_UC_UCI", "DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP", "is_expurgo", "is_area_i"
+    ).join(wanted, "NUM_UC_UCI", "left_semi"), "ci-chi")
+    per_origin, overall = merged_periods(rows, True), merged_periods(rows, False)
 
     def distinct_events(keys):
         return events.groupBy(*keys).agg(
@@ -379,7 +387,7 @@ def consistency_by_region(affected: DataFrame, events: DataFrame, uc_region: Dat
         three_way_class("motivo", F.coalesce("protocolo", "protocolo_evento", F.lit("0"))).alias("classificacao"),
     ).where(F.col("classificacao") != "Ignorar")
     order = [F.desc_nulls_last("dt_fim"), F.asc_nulls_last("dt_ini"), F.asc("classificacao"), F.asc("arquivo_origem")]
-    one = first_per_key(rows, ["num_intrp_key", "num_posto", "num_uc"], order)
+    one = materialize(first_per_key(rows, ["num_intrp_key", "num_posto", "num_uc"], order), "consistencia")
     periods = islands(one, ["arquivo_origem", "num_uc"], "dt_ini", "dt_fim", per=("classificacao",))
     minutes = elapsed_minutes("dt_ini", "dt_fim")
     long, hours = minutes >= 3, minutes / F.lit(60.0)

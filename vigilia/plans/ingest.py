@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.text import blank_to_null, num_br
 from ..functions.time import DMY, parse_ts, second_index
-from ..operators.relational import backfill, dedup_by_key, dedup_keep_incomplete, first_per_key, require
+from ..operators.relational import backfill, dedup_by_key, dedup_keep_incomplete, require
 from ..sources import files as src
 from ..sources.sinks import append_log, append_rows
 
@@ -74,7 +74,7 @@ def ingest(spark: SparkSession, folder: str, table: str, log_path: str, run_ts:
     return src.read_log_rows(spark, log_path, run_ts)
 
 
-def consolidate(raw: DataFrame, year: int, month: int, tiebreak: list[str] | None = None) -> dict[str, DataFrame]:
+def consolidate(raw: DataFrame, year: int, month: int, event_ties: list | None = None, uc_ties: list | None = None) -> dict[str, DataFrame]:
     """Event table and UC table of a month from all its snapshots.
 
     ``raw`` carries ``arquivo_origem`` (region), ``snapshot_ts`` and ``arquivo_csv``. Newest snapshot per event
@@ -94,8 +94,7 @@ def consolidate(raw: DataFrame, year: int, month: int, tiebreak: list[str] | Non
     events = raw.select(*event_columns, *tags)
     if "PID" in event_columns:
         has_pid = blank_to_null("PID").isNotNull()
-        order = [*newest, *[F.asc_nulls_last(c) for c in (tiebreak or sorted(event_columns))]]
-        events = first_per_key(events.where(has_pid), ["PID"], order).unionByName(events.where(~has_pid))
+        events = dedup_by_key(events.where(has_pid), ["PID"], newest, event_ties).unionByName(events.where(~has_pid))
     events = events.withColumns({
         "DATA_HORA_INIC_INTRP": parse_ts("DATA_HORA_INIC_INTRP", (DMY,), native=False),
         "DATA_HORA_FIM_INTRP": parse_ts("DATA_HORA_FIM_INTRP", (DMY,), native=False),
@@ -106,7 +105,7 @@ def consolidate(raw: DataFrame, year: int, month: int, tiebreak: list[str] | Non
     events = events.withColumn("duracao_horas", hours).withColumn("CHI", F.col("CONS_INTRP") * F.col("duracao_horas")).where(
         (F.col("DATA_HORA_FIM_INTRP") >= F.col("DATA_HORA_INIC_INTRP")) & (F.col("CONS_INTRP") >= 0) & in_month("DATA_HORA_INIC_INTRP")
     )
-    ucs = dedup_keep_incomplete(raw.select(*uc_columns, *tags), S.RECORD_KEY, newest, tiebreak or sorted(uc_columns))
+    ucs = dedup_keep_incomplete(raw.select(*uc_columns, *tags), S.RECORD_KEY, newest, uc_ties)
     ucs = backfill(ucs, {"COD_AREA_ELET_INTRP": "string"}).withColumns({
         "NUM_UC_UCI": F.trim("NUM_UC_UCI"),
         "DTHR_INICIO_INTRP_UC": parse_ts("DTHR_INICIO_INTRP_UC", (DMY,), native=False),

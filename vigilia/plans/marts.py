@@ -10,9 +10,11 @@ from ..functions.text import blank_to_null, int_or, is_blank, record_key, record
 from ..functions.time import (
     DMY, DMY_MINUTE, ISO, ISO_MINUTE, elapsed_minutes, minute_boundaries, month_bounds, parse_ts,
 )
+from ..operators.intervals import contained
 from ..operators.relational import (
     backfill, dedup_by_key, find_column, first_per_key, require, stack, with_latest,
 )
+from ..session import materialize
 
 TIMES = {
     "DATA_HORA_INIC_INTRP": "DATA_HORA_INIC_INTRP_TS",
@@ -148,8 +150,7 @@ def close_month_load(raw: DataFrame, anomes: str, tiebreak: list[str] | None = N
     if key:
         slots = [f"_k_{c}" for c in key]
         rows = rows.withColumns({s: F.coalesce(c, F.lit("")) for s, c in zip(slots, map(F.col, key))})
-        order = tiebreak if tiebreak is not None else sorted(set(rows.columns) - {"arquivo_origem", *slots})
-        rows = first_per_key(rows, slots, ["arquivo_origem", *order]).drop(*slots)
+        rows = dedup_by_key(rows, slots, ["arquivo_origem"], tiebreak).drop(*slots)
     return rows.withColumns({
         "ANOMES_PROCESSAMENTO": F.lit(anomes),
         "REGIONAL_ORIGEM": region_from_file("arquivo_origem"),
@@ -211,8 +212,6 @@ def treated_from_history(history: DataFrame, anomes: str) -> DataFrame:
     Month window, layout mapping, newest load per key, no negative duration, both codes present, and no event
     that another event of the same device contains.
     """
-    from ..operators.intervals import contained
-
     first, after = month_bounds(anomes)
     start, end = S.HISTORY_LAYOUT["DATA_HORA_INIC_INTRP"], S.HISTORY_LAYOUT["DATA_HORA_FIM_INTRP"]
     inside = history.where(
@@ -230,9 +229,8 @@ def treated_from_history(history: DataFrame, anomes: str) -> DataFrame:
         & blank_to_null("NUM_OPER_CHV_INTRP").isNotNull() & F.col("NUM_SEQ_INTRP").isNotNull()
         & ini.isNotNull() & fim.isNotNull()
     ).select("NUM_OPER_CHV_INTRP", "NUM_SEQ_INTRP", ini.alias("inicio"), fim.alias("fim")).distinct()
-    events = events.withColumn(
-        "_o", int_or(F.regexp_replace("NUM_SEQ_INTRP", "[^0-9]", ""), 0)
-    )
+    # A few narrow rows per event, read several times below: stored once instead of deduplicating again each time.
+    events = materialize(events.withColumn("_o", int_or(F.regexp_replace("NUM_SEQ_INTRP", "[^0-9]", ""), 0)), "eventos")
     excluded = contained(events, ["NUM_OPER_CHV_INTRP"], "NUM_SEQ_INTRP", "_o").where("contido").select(
         "NUM_SEQ_INTRP"
     ).distinct()

@@ -12,6 +12,7 @@ from ..functions.text import (
 from ..functions.time import dmy_text, iso_text, minute_boundaries, parse_ts, plus_hours
 from ..operators.intervals import best_container, contained, overlap_pairs, overlaps_other, trim_partial
 from ..operators.relational import stack
+from ..session import materialize
 
 
 def _ini(df: DataFrame) -> Column:
@@ -232,6 +233,8 @@ def device_containment(df: DataFrame, anomes: str) -> DataFrame:
             F.coalesce(text("NUM_POSTO_UCI"), F.lit("")), F.coalesce(text("NUM_UC_UCI"), F.lit(""))
         ).alias("UC_AFETADAS"),
     )
+    # One narrow row per event, read several times below: stored once instead of grouping all rows again.
+    events = materialize(events, "eventos")
     # Nothing here keeps an event whose last end precedes its first start, so the search allows for it.
     judged = contained(
         events.withColumn("_o", int_or("interrupcao", 0)), ["NUMERO_OPERACIONAL"], "interrupcao", "_o", "DATA_INICIO",

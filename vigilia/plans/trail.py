@@ -40,9 +40,9 @@ class Trail:
 
     def run(self, months: DataFrame, targets: DataFrame, vrc: DataFrame | None = None, billed: DataFrame | None = None,
             billed_counts: DataFrame | None = None, consumer_counts: DataFrame | None = None, steps: list[str] | None = None,
-            drop_cancelled: bool = True) -> dict[str, DataFrame]:
+            drop_cancelled: bool = True, tiebreak: list | None = None) -> dict[str, DataFrame]:
         work = {
-            "uniao": lambda: self.save("uniao", marts.build_union(months)),
+            "uniao": lambda: self.save("uniao", marts.build_union(months, tiebreak)),
             "apuracao": lambda: self.save(
                 "apuracao", marts.assess_month(self.read("uniao"), self.anomes, self.run_ts, drop_cancelled=drop_cancelled)),
             "pendencias": lambda: self.save("pendencias", quality.issue_queue(self.read("apuracao"), self.run_ts)),
