@@ -11,6 +11,7 @@ from .. import schema as S
 from ..functions.text import blank_to_null, num_br
 from ..functions.time import DMY, parse_ts, second_index
 from ..operators.relational import backfill, dedup_by_key, dedup_keep_incomplete, require
+from ..session import materialize
 from ..sources import files as src
 from ..sources.sinks import append_log, append_rows
 
@@ -53,7 +54,8 @@ def ingest(spark: SparkSession, folder: str, table: str, log_path: str, run_ts:
     paths = [r.arquivo_path for r in todo.select("arquivo_path").toLocalIterator()]
     if not paths:
         return spark.createDataFrame([], S.CSV_LOG_SCHEMA)
-    rows = src.read_outage_files(spark, paths)
+    # Staged once: the text is parsed a single time for rows, bad lines and counts.
+    rows = materialize(src.read_outage_files(spark, paths), "staged")
     bad = src.bad_rows(rows)
     good = src.good_rows(rows).drop("snapshot_ts")
     existing = table_or_none(spark, table)
