@@ -79,11 +79,20 @@ def dedup_by_key(df: DataFrame, key: list[str], order: list, tiebreak: list | No
 
 
 def dedup_keep_incomplete(df: DataFrame, key: list[str], order: list, tiebreak: list | None = None) -> DataFrame:
-    """Dedup rows with a full key; rows where a key part is blank all stay."""
+    """Dedup rows with a full key; rows where a key part is blank all stay.
+
+    One pass: an incomplete row gets a number of its own as a further key part, which also spreads such rows
+    evenly however many there are.
+    """
     complete = F.lit(True)
     for c in key:
         complete = complete & blank_to_null(c).isNotNull()
-    return dedup_by_key(df.where(complete), key, order, tiebreak).unionByName(df.where(~complete))
+    if tiebreak is None:
+        named = {c for c in order if isinstance(c, str)}
+        rest = sorted(set(df.columns) - set(key) - named)
+        df, tiebreak = df.withColumn("_h", F.xxhash64(*rest) if rest else F.lit(0)), ["_h"]
+    alone = df.withColumn("_alone", F.when(~complete, F.monotonically_increasing_id()))
+    return first_per_key(alone, [*key, "_alone"], [*order, *tiebreak]).drop("_alone", "_h")
 
 
 def top_n(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:

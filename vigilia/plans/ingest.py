@@ -29,8 +29,11 @@ def new_rows(staged: DataFrame, existing: DataFrame | None, key: list[str] | Non
     one = dedup_by_key(require(staged, key), key, [], tiebreak)
     if existing is None:
         return one
-    months = existing.join(one.select("anomes").distinct(), "anomes", "left_semi")
-    known = months.select(*key)
+    # The months at hand are a few values; as literals they prune the table's partitions at planning time.
+    months = [r[0] for r in staged.select("anomes").distinct().toLocalIterator()]
+    here = F.col("anomes").cast("string").isin([m for m in months if m is not None])
+    known = existing.where(here | F.col("anomes").isNull() if None in months else here)
+    known = known.withColumn("anomes", F.col("anomes").cast("string")).select(*key)
     return one.join(known, _null_safe(one, known, key), "left_anti")
 
 
@@ -95,8 +98,7 @@ def consolidate(raw: DataFrame, year: int, month: int, event_ties: list | None =
 
     events = raw.select(*event_columns, *tags)
     if "PID" in event_columns:
-        has_pid = blank_to_null("PID").isNotNull()
-        events = dedup_by_key(events.where(has_pid), ["PID"], newest, event_ties).unionByName(events.where(~has_pid))
+        events = dedup_keep_incomplete(events, ["PID"], newest, event_ties)
     events = events.withColumns({
         "DATA_HORA_INIC_INTRP": parse_ts("DATA_HORA_INIC_INTRP", (DMY,), native=False),
         "DATA_HORA_FIM_INTRP": parse_ts("DATA_HORA_FIM_INTRP", (DMY,), native=False),

@@ -132,7 +132,7 @@ def with_file_columns(rows: DataFrame) -> DataFrame:
     name = file_name(F.col("arquivo_path"))
     return rows.withColumns({
         "arquivo_nome": name, "snapshot_ts": F.regexp_extract(name, S.OUTAGE_FILE_PATTERN, 1),
-        "anomes": F.substring(F.regexp_extract(name, S.OUTAGE_FILE_PATTERN, 1), 1, 6),
+        "anomes": F.nullif(F.substring(F.regexp_extract(name, S.OUTAGE_FILE_PATTERN, 1), 1, 6), F.lit("")),
         "REGIONAL_ORIGEM": F.nullif(F.upper(F.regexp_extract(name, S.OUTAGE_FILE_PATTERN, 2)), F.lit("")),
     })
 

@@ -42,8 +42,9 @@ def load_arriving(spark: SparkSession, folder: str, table: str, checkpoint: str,
     key = key or S.RECORD_KEY
 
     def add(batch: DataFrame, _: int) -> None:
-        fresh = new_rows(batch, table_or_none(batch.sparkSession, table), key, tiebreak)
-        append_rows(fresh, table)
+        batch.persist()  # read for its months, then for its rows
+        append_rows(new_rows(batch, table_or_none(batch.sparkSession, table), key, tiebreak), table)
+        batch.unpersist()
 
     return (
         file_stream(spark, folder, schema, max_files, month).writeStream.foreachBatch(add)
