@@ -107,7 +107,7 @@ _UCS = """ucs AS (
   SELECT p_partkey, 'K' || (p_partkey % 12) AS cea, CASE WHEN p_size % 2 = 0 THEN 'U' ELSE 'R' END AS ur,
          CASE WHEN p_size % 3 = 0 THEN 'A' ELSE 'B' END AS grupo,
          CASE p_size % 5 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '3a' WHEN 3 THEN '4' ELSE 'S' END AS nivel
-  FROM part WHERE p_partkey % 7 <> 0)"""
+  FROM part WHERE p_size <> 7)"""
 
 
 def _ucs(t):
@@ -116,7 +116,7 @@ def _ucs(t):
         F.col("p_partkey").alias("ISN_UC"), F.concat(F.lit("K"), (F.col("p_partkey") % 12).cast("string")).alias("cea"),
         F.when(s % 2 == 0, F.lit("U")).otherwise(F.lit("R")).alias("urb_rur"), F.when(s % 3 == 0, F.lit("A")).otherwise(F.lit("B")).alias("grupo"),
         F.element_at(F.array(*[F.lit(x) for x in ("1", "2", "3a", "4", "S")]), s % 5 + 1).alias("nivel"),
-        F.when(F.col("p_partkey") % 7 == 0, F.lit("DS")).when(F.col("p_partkey") % 7 == 1, F.lit("CR")).otherwise(F.lit("LG")).alias("situacao"),
+        F.when(s == 7, F.lit("DS")).when(s % 7 == 1, F.lit("CR")).otherwise(F.lit("LG")).alias("situacao"),
         F.when(s % 6 != 0, F.col("p_retailprice")).alias("vrc"))
 
 

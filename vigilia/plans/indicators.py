@@ -325,8 +325,11 @@ def assess_ci_chi(events: DataFrame, uc_rows: DataFrame, billed: DataFrame, cons
     ).join(wanted, "NUM_UC_UCI", "left_semi"), "ci-chi")
     per_origin, overall = merged_periods(rows, True), merged_periods(rows, False)
 
+    # One row per (origin, class, occurrence, event) before anything is counted distinct, for both levels.
+    named = events.groupBy("arquivo_origem", "classificacao", "NUM_OCORRENCIA_ADMS", "PID").agg(F.lit(1).alias("_1"))
+
     def distinct_events(keys):
-        return events.groupBy(*keys).agg(
+        return named.groupBy(*keys).agg(
             _n_unique("NUM_OCORRENCIA_ADMS").alias("qtd_ocorrencias_distintas"), _n_unique("PID").alias("qtd_interrupcoes_distintas")
         )
 
