@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
+from ..session import materialize
 
 
 def _order(columns) -> list[Column]:
@@ -34,6 +35,11 @@ def find_column(df: DataFrame, candidates: list[str]) -> str | None:
     return next((present[c.upper()] for c in candidates if c.upper() in present), None)
 
 
+def first_available(sources: dict[str, DataFrame | None]) -> tuple[str | None, DataFrame | None]:
+    """The first source that exists, with its name, to be carried along as a literal column."""
+    return next(((name, df) for name, df in sources.items() if df is not None), (None, None))
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     """Fail with the list of missing columns."""
     missing = sorted(set(columns) - set(df.columns))
@@ -138,18 +144,19 @@ def mode_per_group(df: DataFrame, group: list[str], value: str, name: str | None
 
 
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float],
-                    bins: int = 4096, passes: int = 2) -> DataFrame:
+                    bins: int = 4096, passes: int = 2, most: int = 1_000_000) -> DataFrame:
     """Interpolated exact quantiles per group, without holding a group in one task.
 
     Values are counted first (partial counts before the exchange). Every quantile needs the values at two
     ranks; each pass cuts the value range that holds a rank into ``bins`` equal parts, counts the parts,
-    and keeps the part the rank falls in. What is left around a rank after the passes is a sliver of the
-    range, ranked with a window per (group, rank).
+    and keeps the part the rank falls in. Passes go on until at most ``most`` distinct values are left around any
+    rank; those are ranked with a window per (group, rank).
     """
-    counts = (
+    counts = materialize(
         df.where(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_n"))
+        .agg(F.count("*").alias("_n")),
+        "valores",
     )
     totals = counts.groupBy(*group).agg(
         F.sum("_n").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
@@ -169,14 +176,14 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
         )
     )
     ident = [*group, "_p", "_side"]
-    for _ in range(passes):
+    for step in range(10):
         width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
         part = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(
             F.lit(0)
         ).cast("long")
         inside = targets.join(counts, group).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         parts = inside.withColumn("_part", part).groupBy(*ident, "_part").agg(
-            F.sum("_n").alias("_in"), F.min("_v").alias("_plo"), F.max("_v").alias("_phi"),
+            F.sum("_n").alias("_in"), F.count("*").alias("_values"), F.min("_v").alias("_plo"), F.max("_v").alias("_phi"),
             F.first("_pos").alias("_pos"), F.first("_rank").alias("_rank"), F.first("_below").alias("_below"),
         )
         w = Window.partitionBy(*ident).orderBy("_part")
@@ -184,8 +191,15 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
         hit = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_in"))
         targets = parts.where(hit).select(
             *ident, "_pos", "_rank", F.col("_plo").alias("_lo"), F.col("_phi").alias("_hi"),
-            (F.col("_upto") - F.col("_in")).alias("_below"),
+            (F.col("_upto") - F.col("_in")).alias("_below"), "_values",
         )
+        if step + 1 >= passes:
+            targets = materialize(targets, "quantis")
+            if (targets.agg(F.max("_values")).first()[0] or 0) <= most:
+                break
+            targets = targets.drop("_values")
+        else:
+            targets = targets.drop("_values")
     inside = targets.join(counts, group).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
     w = Window.partitionBy(*ident).orderBy("_v")
     ranked = inside.withColumn("_upto", F.sum("_n").over(w) + F.col("_below"))

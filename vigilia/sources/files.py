@@ -163,8 +163,9 @@ def read_closing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, properties: dict | None = None, partition: dict | None = None) -> DataFrame:
-    """Extract through JDBC, all columns as text under upper-case names.
+def read_jdbc(spark: SparkSession, url: str, query: str, properties: dict | None = None, partition: dict | None = None,
+              rename=str.upper) -> DataFrame:
+    """Extract through JDBC, all columns as text under upper-case names (``rename=str.lower`` for the component dimension).
 
     ``partition``: ``partitionColumn, lowerBound, upperBound, numPartitions`` split the read; then ``query`` goes in as a
     derived table, which the option set requires.
@@ -175,7 +176,7 @@ def read_jdbc(spark: SparkSession, url: str, query: str, properties: dict | None
     else:
         reader = reader.option("query", query)
     rows = reader.load()
-    return rows.select(*[F.col(c).cast("string").alias(c.upper()) for c in rows.columns])
+    return rows.select(*[F.col(c).cast("string").alias(rename(c)) for c in rows.columns])
 
 
 def month_params(anomes: str) -> dict:
