@@ -39,10 +39,15 @@ def normalise_targets(targets: DataFrame) -> DataFrame:
     )
 
 
-def normalise_vrc(vrc: DataFrame) -> DataFrame:
-    """One reference row per UC, the one with the highest value (partial maxima before the exchange)."""
+def normalise_vrc(vrc: DataFrame, per_column: bool = False) -> DataFrame:
+    """One reference row per UC, the one with the highest value (partial maxima before the exchange); with
+    ``per_column`` the largest value of each column, as the earlier form has it."""
     rows = resolve(vrc, S.ALIASES["vrc"], required=("uc",))
     texts = ["conjunto_aneel", "urb_rur", "grupo_tensao", "nivel_tensao"]
+    if per_column:
+        return rows.groupBy(text("uc").alias("uc")).agg(
+            F.max(num_br("vrc")).alias("vrc"), *[F.max(text(c)).alias(f"vrc_{c}") for c in texts]
+        )
     best = F.max(F.struct(
         num_br("vrc").alias("vrc"), *[text(c).alias(c) for c in texts]
     )).alias("_b")
@@ -88,7 +93,7 @@ def compensation(ind: DataFrame, targets: DataFrame, anomes: str, run_ts: str, v
 def compensation_excess(ind: DataFrame, targets: DataFrame, run_ts: str, vrc: DataFrame | None = None) -> DataFrame:
     """The earlier form: shows the excess over each target; a target of 0 or none pays nothing; without any
     reference value the components are null and the total is 0."""
-    side = normalise_vrc(vrc if vrc is not None else empty_vrc(ind.sparkSession))
+    side = normalise_vrc(vrc if vrc is not None else empty_vrc(ind.sparkSession), per_column=True)
     base = ind.withColumn("uc", text("num_uc_uci")).join(normalise_targets(targets), "uc", "left").join(side, "uc", "left")
     base = base.withColumns({
         "valor_referencia_ressarcimento": F.coalesce("vrc", "valor_meta"),

@@ -11,7 +11,7 @@ from .. import schema as S
 from ..functions.text import (
     area_one, blank_to_null, is_blank, long_or_short, net_class, protocol_excludes, region, text, three_way_class,
 )
-from ..functions.time import elapsed_minutes, minute_boundaries, parse_ts
+from ..functions.time import elapsed_minutes, minute_boundaries, month_bounds, parse_ts
 from ..operators.intervals import islands
 from ..operators.relational import backfill, dedup_keep_incomplete, find_column, first_per_key, resolve, stack
 from ..session import materialize
@@ -26,7 +26,7 @@ GROUP = ["cenario", "anomes", "regional_origem", "cod_conjunto_aneel", "num_post
 def scenario_base(before: DataFrame, after: DataFrame, anomes: str) -> DataFrame:
     """Both scenarios stacked by name, with region, set, typed times and the minutes of each row."""
     rows = stack(before.withColumn("cenario", F.lit("antes")), after.withColumn("cenario", F.lit("depois")))
-    rows = backfill(rows, TS_COLUMNS).where(blank_to_null("NUM_UC_UCI").isNotNull())
+    rows = backfill(rows, TS_COLUMNS).where(F.nullif(text("NUM_UC_UCI"), F.lit("")).isNotNull())
     start = F.coalesce("DTHR_INICIO_INTRP_UC_TS", "DATA_HORA_INIC_INTRP_TS", parse_ts("DTHR_INICIO_INTRP_UC", native=False),
                        parse_ts("DATA_HORA_INIC_INTRP", native=False))
     end = F.coalesce("DATA_HORA_FIM_INTRP_TS", parse_ts("DATA_HORA_FIM_INTRP", native=False))
@@ -378,7 +378,8 @@ def consistency_by_region(affected: DataFrame, events: DataFrame, uc_region: Dat
     """
     uc_region = uc_region.where(F.col("regional") != "SCD")
     official = official.where(F.col("regional") != "SCD")
-    month = affected.where(F.date_format("dt_ini", "yyyyMM") == anomes)
+    first, after = month_bounds(anomes)
+    month = affected.where((F.col("dt_ini") >= first) & (F.col("dt_ini") < after))
     billed = month.where(F.col("faturado") == "S").select("num_uc").distinct()
     rows = (
         month.join(billed, "num_uc", "left_semi").join(uc_region, "num_uc").join(events, "num_evento", "left")
@@ -387,7 +388,7 @@ def consistency_by_region(affected: DataFrame, events: DataFrame, uc_region: Dat
         F.col("regional").alias("arquivo_origem"), F.trim("num_uc").alias("num_uc"),
         F.trim("num_posto").alias("num_posto"), "dt_ini", "dt_fim",
         F.coalesce(blank_to_null("num_manobra"), F.trim("num_evento")).alias("num_intrp_key"),
-        three_way_class("motivo", F.coalesce("protocolo", "protocolo_evento", F.lit("0"))).alias("classificacao"),
+        three_way_class("motivo", F.coalesce(F.nullif("protocolo", F.lit("")), F.nullif("protocolo_evento", F.lit("")), F.lit("0"))).alias("classificacao"),
     ).where(F.col("classificacao") != "Ignorar")
     order = [F.desc_nulls_last("dt_fim"), F.asc_nulls_last("dt_ini"), F.asc("classificacao"), F.asc("arquivo_origem")]
     one = materialize(first_per_key(rows, ["num_intrp_key", "num_posto", "num_uc"], order), "consistencia")

@@ -38,12 +38,18 @@ def protocol(col: str = "TIPO_PROTOC_JUSTIF_UCI") -> Column:
 # ----------------------------------------------------------------------------------- event roll-ups
 
 
-def negative_events(df: DataFrame, duration_min: int | None = None, duration_max: int | None = None) -> DataFrame:
-    """Events that end before they start, one row each, with the number of rows behind them."""
+def negative_events(df: DataFrame, duration_min: int | None = None, duration_max: int | None = None,
+                    whole_minutes: bool = False) -> DataFrame:
+    """Events that end before they start, one row each, with the number of rows behind them.
+
+    ``whole_minutes`` asks for at least one minute mark in between, as the listings do; the queue does not.
+    """
     rows = df.withColumns({"_ini": _ini(df), "_fim": _fim(df), "num_seq": event_number(df)})
     rows = rows.withColumn("_min", minute_boundaries("_ini", "_fim")).where(
         (F.col("_fim") < F.col("_ini")) & F.col("num_seq").isNotNull()
     )
+    if whole_minutes:
+        rows = rows.where(F.col("_min") < 0)
     if duration_min is not None:
         rows = rows.where(F.col("_min") >= duration_min)
     if duration_max is not None:
@@ -263,10 +269,10 @@ def containment_summary(analysis: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------------------- UC containment
 
 
-def _uc_rows(df: DataFrame) -> DataFrame:
+def _uc_rows(df: DataFrame, seq: Column) -> DataFrame:
     return df.withColumns({
         "_ini": _ini_uc(df), "_fim": _fim(df), "chave_registro": record_key(), "protocolo": protocol(),
-        "num_seq_intrp": blank_to_null("NUM_SEQ_INTRP"),
+        "num_seq_intrp": seq,
     }).where(
         (text("ESTADO_INTRP") == S.STATE_ELIGIBLE) & is_blank("NUM_MOTIVO_TRAT_DIF_UCI")
         & blank_to_null("NUM_UC_UCI").isNotNull() & F.col("_ini").isNotNull() & F.col("_fim").isNotNull()
@@ -278,7 +284,7 @@ def uc_containment(df: DataFrame, anomes: str, run_ts: str) -> DataFrame:
 
     A missing event number sorts last among ties. Records without an event number take no part.
     """
-    rows = _uc_rows(df).where((F.col("_fim") >= F.col("_ini")) & F.col("num_seq_intrp").isNotNull()).select(
+    rows = _uc_rows(df, text("NUM_SEQ_INTRP")).where((F.col("_fim") >= F.col("_ini")) & F.col("num_seq_intrp").isNotNull()).select(
         "chave_registro", "num_seq_intrp", text("NUM_INTRP_UCI").alias("num_intrp_uci"),
         text("NUM_POSTO_UCI").alias("num_posto_uci"), text("NUM_UC_UCI").alias("num_uc_uci"), "protocolo",
         text("REGIONAL_ORIGEM").alias("regional_origem"), F.coalesce(num_br("KVA_INTRP"), F.lit(0.0)).alias("kva_intrp"),
@@ -313,7 +319,7 @@ def uc_containment_summary(analysis: DataFrame) -> DataFrame:
 def uc_trim(df: DataFrame, run_ts: str) -> DataFrame:
     """Records that start inside an earlier record of the same UC and protocol and outlast it: start moves to
     the predecessor's end."""
-    rows = _uc_rows(df).where(F.col("chave_registro").isNotNull()).select(
+    rows = _uc_rows(df, blank_to_null("NUM_SEQ_INTRP")).where(F.col("chave_registro").isNotNull()).select(
         "chave_registro", "num_seq_intrp", blank_to_null("NUM_INTRP_UCI").alias("num_intrp_uci"),
         blank_to_null("NUM_UC_UCI").alias("num_uc_uci"), text("NUM_POSTO_UCI").alias("num_posto_uci"),
         F.col("protocolo").alias("protocolo_uc"), F.col("_ini").alias("inicio"), F.col("_fim").alias("fim"),
@@ -485,7 +491,7 @@ def stage_summary(df: DataFrame, anomes: str, run_ts: str, source: str) -> DataF
 def list_negative_events(df: DataFrame, duration_min: int | None = None, duration_max: int | None = None) -> DataFrame:
     """Negative events with a suggested end (start plus three hours)."""
     small = F.col("duracao_minutos") >= -180
-    return negative_events(df, duration_min, duration_max).select(
+    return negative_events(df, duration_min, duration_max, whole_minutes=True).select(
         F.col("num_seq").alias("NUM_SEQ_INTRP"), F.col("num_oper_chv_intrp").alias("NUM_OPER_CHV_INTRP"),
         "NUM_OCORRENCIA_ADMS", dmy_text("inicio").alias("DATA_HORA_INIC_INTRP"), dmy_text("fim").alias("DATA_HORA_FIM_INTRP"),
         "duracao_minutos", "qtd_ucs_afetadas", F.col("regional_origem").alias("REGIONAL_ORIGEM"), "ANOMES_PROCESSAMENTO",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.text import text
+from ..functions.time import month_bounds
 from ..operators.intervals import contained
 from ..operators.relational import stack
 
@@ -84,7 +85,8 @@ def billed_uc_extract(history: DataFrame, anomes: str) -> DataFrame:
     region = F.lit(S.COMPANY)
     for letter, name in S.REGION_BY_LETTER.items():
         region = F.when(F.col("letra") == letter, F.lit(name)).otherwise(region)
-    return history.where((F.date_format("dt_ini", "yyyyMM") == anomes) & (F.col("acessante") == "N")).select(
+    first, after = month_bounds(anomes)
+    return history.where((F.col("dt_ini") >= first) & (F.col("dt_ini") < after) & (F.col("acessante") == "N")).select(
         "uc", "faturado", region.alias("regional")
     ).distinct()
 
@@ -104,8 +106,9 @@ def device_containment_history(events: DataFrame, affected: DataFrame, anomes: s
     protocolo``; ``affected``: ``interrupcao, protocolo_uc, uc``. Affected rows are counted per (event, protocol)
     before they meet the events, so an outage with very many UCs joins as one row.
     """
+    first, after = month_bounds(anomes)
     rows = events.where(
-        (F.date_format("inicio", "yyyyMM") == anomes) & (F.col("tipo_eqp") == "C") & F.col("device").isNotNull()
+        (F.col("inicio") >= first) & (F.col("inicio") < after) & (F.col("tipo_eqp") == "C") & F.col("device").isNotNull()
         & F.col("fim").isNotNull()
     )
     judged = contained(rows, ["device"], "interrupcao", "interrupcao", backwards=True)

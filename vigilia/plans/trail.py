@@ -83,10 +83,11 @@ class Trail:
     def _treat(self) -> DataFrame:
         flagged = quality.treatment_flags(
             self.read("apuracao"), quality.excluded_events(self.read("sobreposicao_interrupcao")))
-        flags = self.save("tratamento_flags", flagged)
-        self.save("log_tratamento", quality.removal_log(flags, self.anomes, self.run_ts))
-        self.save("tratamento_contadores", quality.treatment_counters(flags))
-        return self.save("tratado", quality.treated(flags))
+        # The flags are a scan and a join with a short list; log and counters read a few columns of it, so flagging
+        # again costs less than storing every row a second time.
+        self.save("log_tratamento", quality.removal_log(flagged, self.anomes, self.run_ts))
+        self.save("tratamento_contadores", quality.treatment_counters(flagged))
+        return self.save("tratado", quality.treated(flagged))
 
     def _indicators(self, billed, billed_counts, consumer_counts) -> DataFrame:
         before, after = self.read("apuracao"), self.read("tratado")
