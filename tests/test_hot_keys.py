@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from tests.harness import compare, connect
 from vigilia.operators import intervals
 
-NAMES = ["contained", "best_container", "islands", "islands_global", "islands_per_class", "temporal_blocks", "overlapped_events", "protocol_mixing",
+NAMES = ["contained", "best_container", "trim_partial", "uc_trim", "islands", "islands_global", "islands_per_class", "temporal_blocks", "overlapped_events", "protocol_mixing",
          "short_beside_long", "device_containment", "uc_containment", "treated_from_history", "ci_chi_summary", "consistency_by_region", "stage_summary"]
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 

@@ -53,10 +53,13 @@ def test_container_of_rows_that_run_backwards(spark, hot):
         assert r.contido == (container(rows, (r.k, r.ev, r.inicio, r.fim, r.id)) is not None)
 
 
+@pytest.mark.parametrize("hot", MODES)
 @pytest.mark.parametrize("seed,n,keys,span,events", CASES)
-def test_trim_partial(spark, seed, n, keys, span, events):
-    rows, df = make(spark, seed, n, keys, span, events)
-    got = {r.id: (r.o_id, r.fim_origem) for r in I.trim_partial(df, ["k"], ["id"], origin={"o_id": "id"}).collect()}
+def test_trim_partial(spark, monkeypatch, seed, n, keys, span, events, hot):
+    rows, df = make(spark, seed, n, keys, span, events, hot_key=True)
+    find = I._last_ends
+    monkeypatch.setattr(I, "_last_ends", lambda *a: find(*a, depth=3))
+    got = {r.id: (r.o_id, r.fim_origem) for r in I.trim_partial(df, ["k"], ["id"], origin={"o_id": "id"}, hot=hot).collect()}
     for k, _, s, f, i in rows:
         found = [(-b[3].timestamp(), b[2], b[4], b[3]) for b in rows if b[0] == k and b[2] < s < b[3] < f]
         assert got.get(i) == ((min(found)[2], min(found)[3]) if found else None)

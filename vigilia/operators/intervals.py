@@ -378,7 +378,7 @@ def stab_join(points: DataFrame, spans: DataFrame, key: list[str], at: str, ini:
 
 
 def trim_partial(df: DataFrame, key: list[str], seq_order: list, ini: str = "inicio", fim: str = "fim",
-                 origin: dict | None = None, cell: int = 3600) -> DataFrame:
+                 origin: dict | None = None, cell: int = 3600, hot: bool | None = None) -> DataFrame:
     """Rows that start inside an earlier interval of the key and end after it, with that predecessor.
 
     A predecessor starts before the row, ends after the row's start and before the row's end; the best one
@@ -387,7 +387,8 @@ def trim_partial(df: DataFrame, key: list[str], seq_order: list, ini: str = "ini
     least one minute mark are returned.
 
     Per (key, end) the predecessor can only be the one that starts first, so partial aggregation reduces
-    the candidates to one per distinct end before they meet the distinct (start, end) pairs of the key.
+    the candidates to one per distinct end before they meet the distinct (start, end) pairs of the key. With a hot
+    key, the few ends just before a row's end are looked at first; only rows they do not settle join the rest.
     """
     origin = origin or {}
     rows = df.where(F.col(ini).isNotNull() & F.col(fim).isNotNull() & (F.col(fim) > F.col(ini)))
@@ -398,13 +399,18 @@ def trim_partial(df: DataFrame, key: list[str], seq_order: list, ini: str = "ini
     )
     ends = rows.groupBy(*key, F.col(fim).alias("_pf")).agg(F.min(best).alias("_p")).withColumn("_ps", F.col("_p._s"))
     spans = rows.select(*key, F.col(ini).alias("_bi"), F.col(fim).alias("_bf")).distinct()
+    settled = None
+    if is_hot(key, rows) if hot is None else hot:
+        near = materialize(_last_ends(spans, ends, key, cell), "trim")
+        settled, spans = near.where(F.col("_w").isNotNull()).drop("_open"), near.where("_open").select(*spans.columns)
     hits = stab_join(spans, ends, key, "_bi", "_ps", "_pf", cell).where(
         (F.col("_ps") < F.col("_bi")) & (F.col("_pf") > F.col("_bi")) & (F.col("_pf") < F.col("_bf"))
     )
+    winners = hits.groupBy(*key, "_bi", "_bf").agg(F.max_by(F.struct("_pf", "_p"), "_pf").alias("_w"))
+    if settled is not None:
+        winners = winners.unionByName(settled)
     chosen = (
-        hits.groupBy(*key, "_bi", "_bf")
-        .agg(F.max_by(F.struct("_pf", "_p"), "_pf").alias("_w"))
-        .select(
+        winners.select(
             *key, F.col("_bi").alias(ini), F.col("_bf").alias(fim),
             *[F.col(f"_w._p._x_{n}").alias(n) for n in origin],
             F.col("_w._p._s").alias("inicio_origem"), F.col("_w._pf").alias("fim_origem"),
@@ -416,6 +422,28 @@ def trim_partial(df: DataFrame, key: list[str], seq_order: list, ini: str = "ini
     return rows.join(chosen, [*key, ini, fim]).select(*df.columns, *names)
 
 
+def _last_ends(spans: DataFrame, ends: DataFrame, key: list[str], cell: int, depth: int = 16) -> DataFrame:
+    """Add ``_w``, the predecessor found among the last ``depth`` ends before a row's end within that end's cell, and
+    ``_open``, whether the row needs a further search.
+
+    Ends are looked at from the latest back, so the first that fits is the answer; an end that does not lie inside
+    the row any more says there is none.
+    """
+    recent = Window.partitionBy(*key, "_c").orderBy("_pf").rowsBetween(1 - depth, 0)
+    listed = ends.withColumn("_c", _cell("_pf", cell)).select(
+        *key, "_c", F.col("_pf").alias("_t"), F.collect_list(F.struct("_pf", "_ps", "_p")).over(recent).alias("_v")
+    )
+    asked = spans.withColumn("_c", _cell("_bf", cell))
+    near = _sweep(asked, listed, [*key, "_c"], "_bf", "_near", lambda c: F.last(c, ignorenulls=True))
+    fits = F.array_max(F.filter("_near", lambda x: (x["_ps"] < F.col("_bi")) & (x["_pf"] > F.col("_bi"))))
+    passed = F.exists("_near", lambda x: x["_pf"] <= F.col("_bi"))
+    whole = (_cell("_bi", cell) == F.col("_c")) & (F.coalesce(F.size("_near"), F.lit(0)) < depth)
+    return near.withColumn("_fits", fits).select(
+        *spans.columns, F.when(F.col("_fits").isNotNull(), F.struct("_fits._pf", "_fits._p")).alias("_w"),
+        (F.col("_fits").isNull() & ~F.coalesce(passed, F.lit(False)) & ~whole).alias("_open"),
+    )
+
+
 def overlap_pairs(df: DataFrame, key: list[str], ident: str, columns: list[str], ini: str = "inicio",
                   fim: str = "fim", cell: int = 3600) -> DataFrame:
     """Every unordered pair of a key with ``a.ini < b.fim and b.ini < a.fim``, once.
