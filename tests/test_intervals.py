@@ -140,3 +140,17 @@ def test_absurd_interval_stays_a_handful_of_rows(spark):
     rows = [(1, 1, dt.datetime(1970, 1, 1), dt.datetime(2090, 1, 1), 0), (1, 2, BASE, BASE + dt.timedelta(minutes=5), 1)]
     df = spark.createDataFrame(rows, "k int, ev long, inicio timestamp_ntz, fim timestamp_ntz, id long")
     assert I.overlap_pairs(df, ["k"], "id", []).count() == 1
+
+
+@pytest.mark.parametrize("hot", MODES)
+def test_rows_without_a_key(spark, hot):
+    """They form periods of their own but contain and overlap nothing, as equality on the key has it."""
+    t = lambda m: BASE + dt.timedelta(minutes=m)
+    df = spark.createDataFrame([(None, 1, t(0), t(9)), (None, 2, t(1), t(2)), (1, 3, t(0), t(9)), (1, 4, t(1), t(2))],
+                               "k int, ev long, inicio timestamp_ntz, fim timestamp_ntz")
+    flags = lambda d, c: sorted((r.ev, r[c]) for r in d.collect())
+    assert flags(I.contained(df, ["k"], "ev", "ev", hot=hot), "contido") == [(1, False), (2, False), (3, False), (4, True)]
+    assert flags(I.overlaps_other(df, ["k"], hot=hot), "sobrepoe") == [(1, False), (2, False), (3, True), (4, True)]
+    assert flags(I.overlaps_any(df, df.where("ev % 2 = 0"), ["k"], hot=hot), "sobrepoe") == [(1, False), (2, False), (3, True), (4, True)]
+    assert sorted((r.k or 0, r.linhas) for r in I.islands(df, ["k"], hot=hot).collect()) == [(0, 2), (1, 2)]
+    assert I.temporal_blocks(df, ["k"], "ev", hot=hot).where("status_bloco = 'LIDER'").count() == 2

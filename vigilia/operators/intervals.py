@@ -19,6 +19,8 @@ in one task:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,18 @@ def _cell(ts, width: int) -> Column:
     return F.floor(second_index(ts) / F.lit(width))
 
 
+def _keyed(key: list[str]) -> Column:
+    """Whether a row has a full key; one without matches no other row."""
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+
+
+def _join_same(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """Inner join on columns of the same name, nulls equal, as grouping has it."""
+    marked = right.withColumnsRenamed({c: f"_r_{c}" for c in columns})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in columns])
+    return left.join(marked, same).drop(*[f"_r_{c}" for c in columns])
+
+
 def _before(keys: list[str], *order) -> Window:
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -82,7 +96,7 @@ def _running(points: DataFrame, key: list[str], at: str, value: str, agg=F.max,
         both = F.greatest(local, F.col("_carried"))
     else:
         both = F.coalesce(local, F.lit(0)) + F.coalesce("_carried", F.lit(0))
-    return points.join(carried, [*key, "_cell"]).withColumn("_prev", both).drop("_carried")
+    return _join_same(points, carried, [*key, "_cell"]).withColumn("_prev", both).drop("_carried")
 
 
 def _running_end(starts: DataFrame, key: list[str], ini: str, fim: str) -> DataFrame:
@@ -106,7 +120,7 @@ def overlaps_any(df: DataFrame, others: DataFrame, key: list[str], ini: str = "i
     """
     ends = others.select(*key, F.col(ini).alias("_t"), F.col(fim).alias("_v"))
     if not (is_hot(key, df, others) if hot is None else hot):
-        flag = F.coalesce(F.col("_prev") > F.col(ini), F.lit(False)).alias(name)
+        flag = F.coalesce((F.col("_prev") > F.col(ini)) & _keyed(key), F.lit(False)).alias(name)
         return _sweep(df, ends, key, fim, "_prev").select(*df.columns, flag)
     before = _lookup(ends, df.select(*key, F.col(fim).alias("_t")), key, cell=cell)
     return df.join(before.withColumnRenamed("_t", fim), [*key, fim], "left").select(
@@ -131,11 +145,11 @@ def overlaps_other(df: DataFrame, key: list[str], ini: str = "inicio", fim: str
     if hot:
         started = _lookup(starts, rows.select(*key, F.col(fim).alias("_t")), key, F.sum, cell=cell)
         ended = _lookup(ends, rows.select(*key, F.col(ini).alias("_t")), key, F.sum, True, cell)
-        counted = counted.join(started.select(*key, F.col("_t").alias(fim), F.col("_prev").alias("_started")), [*key, fim]).join(
-            ended.select(*key, F.col("_t").alias(ini), F.col("_prev").alias("_ended")), [*key, ini])
+        counted = counted.join(started.select(*key, F.col("_t").alias(fim), F.col("_prev").alias("_started")), [*key, fim], "left").join(
+            ended.select(*key, F.col("_t").alias(ini), F.col("_prev").alias("_ended")), [*key, ini], "left")
     else:
         counted = _sweep(_sweep(counted, starts, key, fim, "_started", F.sum), ends, key, ini, "_ended", F.sum, True)
-    more = F.coalesce("_started", F.lit(0)) - F.coalesce("_ended", F.lit(0)) > 1
+    more = (F.coalesce("_started", F.lit(0)) - F.coalesce("_ended", F.lit(0)) > 1) & _keyed(key)
     flagged = counted.select(*df.columns, (F.col("_any") | more).alias(name))
     return flagged.unionByName(overlaps_any(df.where(~length), df, key, ini, fim, name, cell, hot))
 
@@ -143,7 +157,7 @@ def overlaps_other(df: DataFrame, key: list[str], ini: str = "inicio", fim: str
 def _label_islands(rows: DataFrame, key: list[str], ini: str, fim: str, cell: int, hot: bool) -> DataFrame:
     """Add ``_ilha``, the start of the merged period a row belongs to."""
     if hot:
-        return rows.join(_island_of_start(rows, key, ini, fim, cell), [*key, ini])
+        return _join_same(rows, _island_of_start(rows, key, ini, fim, cell), [*key, ini])
     order = Window.partitionBy(*key).orderBy(ini)
     prev = F.max(fim).over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = rows.withColumn("_prev", prev).withColumn(
@@ -163,7 +177,7 @@ def _island_of_start(df: DataFrame, key: list[str], ini: str, fim: str, cell: in
     cells = marked.groupBy(*key, "_cell").agg(F.max("_open").alias("_m"))
     carried = _carry(cells, key, "_m", "_carried", F.asc("_cell"), F.max)
     so_far = Window.partitionBy(*key, "_cell").orderBy(ini).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.join(carried, [*key, "_cell"]).select(
+    return _join_same(marked, carried, [*key, "_cell"]).select(
         *key, ini, F.coalesce(F.max("_open").over(so_far), F.col("_carried")).alias("_ilha")
     )
 
@@ -208,7 +222,7 @@ def temporal_blocks(df: DataFrame, context: list[str], seq: str, ini: str = "ini
         F.min(seq).alias("lider"), F.min(ini).alias("inicio_bloco"), F.max(fim).alias("fim_bloco"),
         F.countDistinct(seq).alias("eventos_bloco"),
     )
-    return labelled.join(blocks, [*context, "bloco"]).withColumn(
+    return _join_same(labelled, blocks, [*context, "bloco"]).withColumn(
         "status_bloco", F.when(F.col(seq) == F.col("lider"), F.lit("LIDER")).otherwise(F.lit("DUPLICADA"))
     )
 
@@ -243,7 +257,7 @@ def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: s
     starts and ends, and the best container of a row is the lowest step that reaches its end: a look-up per
     (key, end) instead of a self-join. Only when that step belongs to the row's own event with another
     interval does the row need a search among other events; that exact search runs on those rows alone.
-    Rows need non-null key, times, event and order; ``backwards`` admits rows that end before they start, ``once``
+    A row without a full key is contained in nothing. Rows need times, event and order; ``backwards`` admits rows that end before they start, ``once``
     says that an event has one row per key, which makes that search unnecessary.
     """
     ident = list(dict.fromkeys([*key, event, order, ini, fim]))
@@ -251,8 +265,8 @@ def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: s
     stepped = _lowest_step_split(df, key, event, order, ini, fim, cell) if hot else _lowest_step(df, key, event, order, ini, fim)
     other = F.col("_step._re") != F.col(event)
     same_span = (F.col("_step._ri") == F.col(ini)) & (F.col("_step._rf") == F.col(fim))
-    found = other & (~same_span | (F.col("_step._ro") < F.col(order)))
-    own = ~other & ~same_span
+    found = other & (~same_span | (F.col("_step._ro") < F.col(order))) & _keyed(key)
+    own = ~other & ~same_span & _keyed(key)
     if once:
         own, rows = F.lit(False), stepped.withColumn("_alt", F.col("_step"))
     else:
@@ -302,7 +316,7 @@ def _lowest_step_split(df: DataFrame, key: list[str], event: str, order: str, in
             F.coalesce(F.last("_step", ignorenulls=True).over(from_above), F.col("_carried")).alias("_step"),
         )
     )
-    return df.join(lowest, [*key, fim]).select(*df.columns, "_step")
+    return df.join(lowest, [*key, fim], "left").select(*df.columns, "_step")
 
 
 def _search_others(df, blocked_rows, key, event, order, ini, fim, ident, cell, backwards, stepped) -> DataFrame:
