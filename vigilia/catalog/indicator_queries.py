@@ -174,9 +174,7 @@ def ci_chi_summary(t):
     wanted = B.billed(t).where("faturado = 'S'").select("uc")
     out = I.assess_ci_chi(B.uni(t).select("SIGLA_REGIONAL", "TIPO_PROTOC_JUSTIF_INTRP", "NUM_OCORRENCIA_ADMS", "PID"), rows, wanted, cons,
                           tiebreak=[F.desc_nulls_last("DTHR_INICIO_INTRP_UC")])
-    parts = stack(
-        out["resumo"].join(out["empresa"].select("arquivo_origem", "classificacao", "CI", "consumidores", F.lit(1).alias("_c")),
-                           ["arquivo_origem", "classificacao", "CI", "consumidores"], "left").withColumn("empresa", F.col("_c").isNotNull()))
+    parts = stack(out["origem"].withColumn("empresa", F.lit(False)), out["empresa"].withColumn("empresa", F.lit(True)))
     rounded = _round(_round(parts, 4, "CHI"), 6, "FEC", "DEC", "FM_dec", "FECi", "DECi")
     return rounded.select(
         "empresa", "arquivo_origem", "classificacao", "CI", "CHI", "qtd_intrp_longas", "qtd_intrp_curtas", "qtd_ocorrencias_distintas",

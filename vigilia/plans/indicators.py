@@ -347,7 +347,7 @@ def assess_ci_chi(events: DataFrame, uc_rows: DataFrame, billed: DataFrame, cons
         ci_chi(overall).join(distinct_events(["classificacao"]), "classificacao", "left").withColumns(filled)
         .join(total, "arquivo_origem", "left")
     )
-    return {"resumo": stack(by_origin, company), "empresa": company}
+    return {"resumo": stack(by_origin, company), "origem": by_origin, "empresa": company}
 
 
 def area_rank(col: str = "arquivo_origem") -> Column:
