@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +25,8 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory: str = "12g") -> SparkSession:
-    """A session for tests and benches on one machine."""
+def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory: str = "12g", folder: str | None = None) -> SparkSession:
+    """A session for tests and benches on one machine; ``folder`` takes its intermediate tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("vigilia")
@@ -35,6 +34,8 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
     )
+    if folder:
+        builder = builder.config("spark.checkpoint.dir", folder).config("spark.sql.warehouse.dir", f"{folder}/warehouse")
     for name, value in ENGINE_CONF.items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
@@ -43,15 +44,13 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; only a local master may fall back to a temporary one."""
+    """Folder named by ``spark.checkpoint.dir``; where a local master leaves it unset, one below the session's warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="vigilia-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
