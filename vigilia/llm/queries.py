@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module of this package; each has ``query`` and may have ``ORACLE_SQL``.
 MODULES = {
+    "op8_skip_chain_pii": "personal_data",
     "op7_html_text": "html_text",
     "op1_toxicity": "toxicity",
     "op5_word_table": "word_table",
