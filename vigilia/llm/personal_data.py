@@ -39,7 +39,7 @@ NONE = 0
 LEAST_DIGITS, SURE, ROUNDS, STILL, DAMPING = 7, 0.9, 100, 1e-6, 0.5
 #: Prior counts: of a shape's labels, of agreeing and differing neighbours by a skip edge; bound of a chain potential.
 PRIOR = np.array([2.0, *[0.05] * len(KINDS)])
-AGREE, DIFFER, CHAIN_PRIOR, CHAIN_BOUND = 50.0, 0.1, 5.0, 1.0
+AGREE, DIFFER, CHAIN_PRIOR, CHAIN_BOUND = 50.0, 0.02, 5.0, 0.5
 MOST_GROUPS = 6
 SCHEMA = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
@@ -109,8 +109,8 @@ def shape_of(surface: str) -> str:
     if not surface.lstrip("+(")[:1].isdigit() or "@" in surface:
         return "address" if "@" in surface and "." in surface.partition("@")[2] else "spelled"
     parts = surface.split(".")
-    if len(parts) == 4 and all(p.isdigit() for p in parts):
-        return "quad" if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in parts) else "no quad"
+    if len(parts) == 4 and all(p.isdigit() and len(p.lstrip("0")) < 4 for p in parts):
+        return "quad" if all(int(p) < 256 for p in parts) else "no quad"
     if surface[0] == "+":  # the country code is left out, so that a number without it has the same shape
         surface = surface[1:].lstrip("0123456789").lstrip(" .-") or surface
     groups = GROUPS.findall(surface)
