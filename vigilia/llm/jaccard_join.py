@@ -332,7 +332,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         links = links.unionByName(light_links(sets, boundary))
     roots = components(links)
     rows = sets.drop("small").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least_id"))
+    # Stored, so that the join below deals its rows out anew and a component of many rows can be split.
+    first = materialize(rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least_id")), "component-ids")
     return rows.join(first, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
 
 
