@@ -1,36 +1,35 @@
-"""Registered interval queries again with every key treated as too large for one task."""
+"""One key with half of the rows: the plan ranks no key in one task and its cost follows the rows."""
 
-import pytest
-
-import __spark_entry__ as entry
-from tests.harness import compare, connect
-from vigilia.operators import intervals
-
-NAMES = ["contained", "best_container", "trim_partial", "uc_trim", "islands", "islands_global", "islands_per_class", "temporal_blocks", "overlapped_events", "protocol_mixing",
-         "short_beside_long", "device_containment", "uc_containment", "treated_from_history", "ci_chi_summary", "consistency_by_region", "stage_summary"]
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+import time
 
+from pyspark.sql import functions as F
 
-@pytest.fixture
-def all_hot(monkeypatch):
-    monkeypatch.setattr(intervals, "HOT_ROWS", 0)
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_split_form(spark, sf_dir, all_hot, name):
-    assert compare(QUERIES[name](spark, sf_dir), connect(sf_dir), SQL[name]) == []
+from vigilia.operators import intervals
 
 
-def test_result_does_not_depend_on_a_hot_key(spark):
-    """Half of the rows under one key: the same answer, and no window over that key alone."""
-    from pyspark.sql import functions as F
-    df = spark.range(20000).select(
-        F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 500).alias("k"), F.col("id").alias("seq"),
+def events(spark, n, hot):
+    key = F.when(F.lit(hot) | (F.col("id") % 2 == 0), F.lit(0)).otherwise(F.col("id") % 500)
+    df = spark.range(n).select(
+        key.alias("k"), F.col("id").alias("seq"),
         F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(pmod(xxhash64(id), 864000) AS INT))").alias("inicio"))
-    df = df.withColumn("fim", F.expr("inicio + make_dt_interval(0, 0, 0, CAST(pmod(xxhash64(seq, 3), 900) AS INT))"))
-    facts = [F.count("*"), F.sum("linhas"), F.sum(F.hash("inicio", "fim"))]
-    plain, split = (I.agg(*facts).first() for I in (intervals.islands(df, ["k"], hot=h) for h in (False, True)))
-    assert plain == split
-    plan = intervals.islands(df, ["k"], hot=True)._jdf.queryExecution().optimizedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [" in line]
-    assert windows and all("_cell" in line for line in windows)
+    return df.withColumn("fim", F.expr("inicio + make_dt_interval(0, 0, 0, CAST(1 + pmod(xxhash64(seq, 3), 90000) AS INT))"))
+
+
+def test_windows_are_over_cells(spark):
+    df = events(spark, 20000, False)
+    for out in (intervals.islands(df, ["k"]), intervals.temporal_blocks(df, ["k"], "seq"), intervals.overlaps_any(df, df.where("seq % 3 = 0"), ["k"])):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        keyed = [line for line in plan.splitlines() if "Window [" in line]
+        # Over the key alone only the carry runs, which has one row for each cell.
+        assert keyed and all("_cell" in line for line in keyed)
+
+
+def test_trimming_is_linear_in_a_key(spark):
+    """Heavy overlap under one key: ten times the rows must not take a hundred times as long."""
+    took = []
+    for n in (3_000, 30_000):
+        began = time.time()
+        out = intervals.trim_partial(events(spark, n, True), ["k"], ["seq"])
+        out.write.format("noop").mode("overwrite").save()
+        took.append(time.time() - began)
+    assert took[1] < 20 * took[0]

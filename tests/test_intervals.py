@@ -1,4 +1,4 @@
-"""Interval operators against brute force, in the single-window and in the split form."""
+"""Interval operators against brute force."""
 
 import datetime as dt
 import random
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from vigilia.operators import intervals as I
 
 BASE = dt.datetime(2024, 1, 1)
-MODES = [False, True]
 
 
 def make(spark, seed, n, keys, span, events=None, lengths=(0, 1, 5, 30, 60, 120, 400, 3000), hot_key=False):
@@ -33,11 +32,10 @@ def container(rows, row):
 CASES = [(1, 150, 3, 4000, None), (2, 150, 3, 300, 30), (3, 120, 2, 60, 8), (4, 200, 4, 9000, 40)]
 
 
-@pytest.mark.parametrize("hot", MODES)
 @pytest.mark.parametrize("seed,n,keys,span,events", CASES)
-def test_best_container(spark, seed, n, keys, span, events, hot):
+def test_best_container(spark, seed, n, keys, span, events):
     rows, df = make(spark, seed, n, keys, span, events, hot_key=True)
-    out = I.best_container(df.withColumn("o", F.col("ev")), ["k"], "ev", "o", hot=hot).collect()
+    out = I.best_container(df.withColumn("o", F.col("ev")), ["k"], "ev", "o").collect()
     got = {r.id: (r.inicio_contem, r.evento_contem, r.fim_contem) for r in out}
     assert len(out) == len(rows)
     for row in rows:
@@ -45,21 +43,20 @@ def test_best_container(spark, seed, n, keys, span, events, hot):
         assert got[row[4]] == ((None, None, None) if want is None else (want[0], want[2], want[3])), row
 
 
-@pytest.mark.parametrize("hot", MODES)
-def test_container_of_rows_that_run_backwards(spark, hot):
+def test_container_of_rows_that_run_backwards(spark):
     rows, df = make(spark, 5, 150, 3, 500, 25, lengths=(-120, -30, 0, 10, 200))
-    out = I.contained(df, ["k"], "ev", "ev", backwards=True, hot=hot).collect()
+    out = I.contained(df, ["k"], "ev", "ev", backwards=True).collect()
     for r in out:
         assert r.contido == (container(rows, (r.k, r.ev, r.inicio, r.fim, r.id)) is not None)
 
 
-@pytest.mark.parametrize("hot", MODES)
 @pytest.mark.parametrize("seed,n,keys,span,events", CASES)
-def test_trim_partial(spark, monkeypatch, seed, n, keys, span, events, hot):
+@pytest.mark.parametrize("cell,step", [(3600, 64), (60, 2), (600, 4)])
+def test_trim_partial(spark, monkeypatch, seed, n, keys, span, events, cell, step):
+    """Small cells and steps make searches climb to the top of the tree and down again."""
     rows, df = make(spark, seed, n, keys, span, events, hot_key=True)
-    find = I._last_ends
-    monkeypatch.setattr(I, "_last_ends", lambda *a: find(*a, depth=3))
-    got = {r.id: (r.o_id, r.fim_origem) for r in I.trim_partial(df, ["k"], ["id"], origin={"o_id": "id"}, hot=hot).collect()}
+    monkeypatch.setattr(I, "TREE_STEP", step)
+    got = {r.id: (r.o_id, r.fim_origem) for r in I.trim_partial(df, ["k"], ["id"], origin={"o_id": "id"}, cell=cell).collect()}
     for k, _, s, f, i in rows:
         found = [(-b[3].timestamp(), b[2], b[4], b[3]) for b in rows if b[0] == k and b[2] < s < b[3] < f]
         assert got.get(i) == ((min(found)[2], min(found)[3]) if found else None)
@@ -77,11 +74,10 @@ def test_overlap_pairs(spark, seed, n, keys, span, events):
     assert got == want
 
 
-@pytest.mark.parametrize("hot", MODES)
 @pytest.mark.parametrize("seed,n,keys,span,events", CASES)
-def test_islands(spark, seed, n, keys, span, events, hot):
+def test_islands(spark, seed, n, keys, span, events):
     rows, df = make(spark, seed, n, keys, span, events, lengths=(-30, 0, 5, 60, 400, 3000), hot_key=True)
-    got = sorted((r.k, r.inicio, r.fim, r.linhas) for r in I.islands(df, ["k"], hot=hot).collect())
+    got = sorted((r.k, r.inicio, r.fim, r.linhas) for r in I.islands(df, ["k"]).collect())
     want, open_ = [], None
     for k, _, s, f, _ in sorted((r for r in rows if r[3] >= r[2]), key=lambda r: (r[0], r[2], r[3])):
         if open_ and open_[0] == k and s <= open_[2]:
@@ -95,45 +91,49 @@ def test_islands(spark, seed, n, keys, span, events, hot):
         assert a[0] != b[0] or a[2] < b[1]
 
 
-@pytest.mark.parametrize("hot", MODES)
-def test_islands_per_class_span_classes(spark, hot):
+def test_islands_per_class_span_classes(spark):
     t = lambda m: BASE + dt.timedelta(minutes=m)
     df = spark.createDataFrame(
         [("u", "L", t(0), t(10)), ("u", "E", t(5), t(20)), ("u", "L", t(18), t(30)), ("u", "L", t(31), t(32))],
         "uc string, c string, inicio timestamp_ntz, fim timestamp_ntz")
-    got = sorted((r.c, r.inicio, r.fim, r.linhas) for r in I.islands(df, ["uc"], per=("c",), hot=hot).collect())
+    got = sorted((r.c, r.inicio, r.fim, r.linhas) for r in I.islands(df, ["uc"], per=("c",)).collect())
     assert got == [("E", t(5), t(20), 1), ("L", t(0), t(30), 2), ("L", t(31), t(32), 1)]
 
 
-@pytest.mark.parametrize("hot", MODES)
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_overlap_flags(spark, seed, hot):
+def test_overlap_flags(spark, seed):
     rows, df = make(spark, seed, 150, 5, 400 if seed % 2 else 4000, lengths=(-60, -5, 0, 0, 1, 5, 30, 300))
     hit = lambda a, b: b[4] != a[4] and b[0] == a[0] and a[2] < b[3] and b[2] < a[3]
-    for r in I.overlaps_other(df, ["k"], hot=hot).collect():
+    for r in I.overlaps_other(df, ["k"]).collect():
         assert r.sobrepoe == any(hit((r.k, r.ev, r.inicio, r.fim, r.id), b) for b in rows), r
     even, odd = df.where("id % 2 = 0"), df.where("id % 2 = 1")
-    for r in I.overlaps_any(even, odd, ["k"], hot=hot).collect():
+    for r in I.overlaps_any(even, odd, ["k"]).collect():
         assert r.sobrepoe == any(hit((r.k, r.ev, r.inicio, r.fim, r.id), b) for b in rows if b[4] % 2)
 
 
-@pytest.mark.parametrize("hot", MODES)
-def test_temporal_blocks(spark, hot):
+def test_temporal_blocks(spark):
     _, df = make(spark, 7, 120, 3, 600)
-    out = I.temporal_blocks(df, ["k"], "id", hot=hot)
+    out = I.temporal_blocks(df, ["k"], "id")
     leaders = out.where("status_bloco = 'LIDER'").groupBy("k", "bloco").count().collect()
     assert all(r["count"] == 1 for r in leaders)
-    assert len(leaders) == I.islands(df, ["k"], hot=hot).count()
+    assert len(leaders) == I.islands(df, ["k"]).count()
     assert out.where("inicio < inicio_bloco OR fim > fim_bloco").count() == 0
 
 
-def test_largest_key_decides_the_form(spark, monkeypatch):
-    _, df = make(spark, 8, 60, 1, 400)
-    assert not I.is_hot(["k"], df)
-    monkeypatch.setattr(I, "HOT_ROWS", 10)
-    assert I.is_hot(["k"], df)
-    split = I.islands(df, ["k"])
-    assert "_cell" in split._jdf.queryExecution().optimizedPlan().toString()
+def test_tied_containers_have_one_answer(spark):
+    """Equal intervals with equal numbers: the lowest event contains the row, whatever the order of the input."""
+    t = lambda m: BASE + dt.timedelta(minutes=m)
+    rows = [(1, "B", 7, t(0), t(60)), (1, "A", 7, t(0), t(60)), (1, "C", 9, t(10), t(20))]
+    for given in (rows, rows[::-1], rows[1:] + rows[:1]):
+        df = spark.createDataFrame(given, "k int, ev string, o long, inicio timestamp_ntz, fim timestamp_ntz")
+        found = {r.ev: r.evento_contem for r in I.best_container(df, ["k"], "ev", "o").collect()}
+        assert found == {"A": None, "B": None, "C": "A"}
+
+
+def test_pairs_of_rows_without_an_id(spark):
+    rows = [(1, None, BASE, BASE + dt.timedelta(minutes=5)), (1, 2, BASE, BASE + dt.timedelta(minutes=9)), (1, None, BASE, BASE + dt.timedelta(minutes=7))]
+    df = spark.createDataFrame(rows, "k int, id long, inicio timestamp_ntz, fim timestamp_ntz")
+    assert I.overlap_pairs(df, ["k"], "id", []).count() == 3
 
 
 def test_absurd_interval_stays_a_handful_of_rows(spark):
@@ -142,15 +142,14 @@ def test_absurd_interval_stays_a_handful_of_rows(spark):
     assert I.overlap_pairs(df, ["k"], "id", []).count() == 1
 
 
-@pytest.mark.parametrize("hot", MODES)
-def test_rows_without_a_key(spark, hot):
+def test_rows_without_a_key(spark):
     """They form periods of their own but contain and overlap nothing, as equality on the key has it."""
     t = lambda m: BASE + dt.timedelta(minutes=m)
     df = spark.createDataFrame([(None, 1, t(0), t(9)), (None, 2, t(1), t(2)), (1, 3, t(0), t(9)), (1, 4, t(1), t(2))],
                                "k int, ev long, inicio timestamp_ntz, fim timestamp_ntz")
     flags = lambda d, c: sorted((r.ev, r[c]) for r in d.collect())
-    assert flags(I.contained(df, ["k"], "ev", "ev", hot=hot), "contido") == [(1, False), (2, False), (3, False), (4, True)]
-    assert flags(I.overlaps_other(df, ["k"], hot=hot), "sobrepoe") == [(1, False), (2, False), (3, True), (4, True)]
-    assert flags(I.overlaps_any(df, df.where("ev % 2 = 0"), ["k"], hot=hot), "sobrepoe") == [(1, False), (2, False), (3, True), (4, True)]
-    assert sorted((r.k or 0, r.linhas) for r in I.islands(df, ["k"], hot=hot).collect()) == [(0, 2), (1, 2)]
-    assert I.temporal_blocks(df, ["k"], "ev", hot=hot).where("status_bloco = 'LIDER'").count() == 2
+    assert flags(I.contained(df, ["k"], "ev", "ev"), "contido") == [(1, False), (2, False), (3, False), (4, True)]
+    assert flags(I.overlaps_other(df, ["k"]), "sobrepoe") == [(1, False), (2, False), (3, True), (4, True)]
+    assert flags(I.overlaps_any(df, df.where("ev % 2 = 0"), ["k"]), "sobrepoe") == [(1, False), (2, False), (3, True), (4, True)]
+    assert sorted((r.k or 0, r.linhas) for r in I.islands(df, ["k"]).collect()) == [(0, 2), (1, 2)]
+    assert I.temporal_blocks(df, ["k"], "ev").where("status_bloco = 'LIDER'").count() == 2

@@ -1,20 +1,16 @@
 """Interval operators: merge, containment, trimming, overlap pairs.
 
-All of them work per key (a UC, a device) on a start and an end column. How many rows the largest key holds is
-counted first (key column only, partial counts). While that fits a task comfortably, running facts such as "latest
-end so far" are one window over the key: one exchange, one sort. Past ``HOT_ROWS`` a key is never ranked or listed
-in one task:
-
-* Running facts only need one row per distinct start of a key, which partial aggregation produces before the
-  exchange. They are then computed per (key, cell), a cell being a stretch of the calendar, and carried over from
-  cell to cell through a summary of one row per (key, cell). A cell's group is bounded by the number of distinct
-  instants in a cell, the carry by the number of cells.
-* Look-ups of a partner go through the running facts (containment) or through a grid join on (key, cell)
-  whose one side is reduced to one row per (key, end) first (trimming).
-* Overlap pairs, whose result is the pairs themselves, always use the grid join: a start is a point in one cell,
-  an interval covers a few cells, and only pairs that share a cell are compared.
+All of them work per key (a UC, a device) on a start and an end column, with one plan for keys of any size; a key is never
+ranked or listed in one task:
 
-``hot`` skips the count: ``True`` forces the split form, ``False`` the single window.
+* Running facts such as "latest end so far" need one row per distinct start of a key, which partial aggregation
+  produces before the exchange. They are computed per (key, cell), a cell being a stretch of the calendar, and carried over
+  from cell to cell through a summary of one row per (key, cell). A cell's group is bounded by the number of distinct
+  instants in a cell, the carry by the number of cells.
+* Look-ups of a partner go through the running facts (containment) or up and down a tree of cells that knows the
+  earliest start behind each (trimming); both return one row for each row that asks.
+* Overlap pairs, whose result is the pairs themselves, use a grid join: a start is a point in one cell, an
+  interval covers a few cells of the width that suits its length, and only pairs that share a cell are compared.
 """
 
 from __future__ import annotations
@@ -29,34 +25,10 @@ from ..functions.time import microsecond_index, minute_boundaries, second_index
 from ..session import materialize
 
 DAY = 86400
-# Rows of one key that one task may sort in a window.
-HOT_ROWS = 2_000_000
-
-
-def is_hot(key: list[str], *frames: DataFrame) -> bool:
-    """Whether some key holds more than ``HOT_ROWS`` rows over all frames; one number reaches the driver."""
-    keys = [f.select(*key) for f in frames]
-    rows = keys[0]
-    for other in keys[1:]:
-        rows = rows.unionByName(other)
-    largest = rows.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    return (largest or 0) > HOT_ROWS
-
-
-def _sweep(rows: DataFrame, events: DataFrame, key: list[str], at: str, name: str, agg=F.max, inclusive: bool = False) -> DataFrame:
-    """Add to each row ``agg`` of the events of its key with ``_t`` below (``inclusive``: up to) the row's ``at``.
-
-    ``events``: key, ``_t``, ``_v``. Rows and events share one sort; which of them comes first at the same instant
-    decides whether the bound counts.
-    """
-    first, second = (0, 1) if inclusive else (1, 0)
-    payload = F.struct(*[F.col(c) for c in rows.columns]).alias("_row")
-    asked = rows.select(*key, F.col(at).alias("_t"), F.lit(second).alias("_k"), payload)
-    given = events.select(*key, "_t", F.lit(first).alias("_k"), "_v")
-    both = asked.unionByName(given, allowMissingColumns=True)
-    value = agg("_v").over(_before(key, "_t", "_k"))
-    return both.withColumn("_p", value).where(F.col("_row").isNotNull()).select("_row.*", F.col("_p").alias(name))
-
+# Widths of the grid join: each grid is so many times as coarse as the one before.
+GRIDS, GRID_STEP = 5, 16
+# Levels of the tree of cells, the ends themselves and the top included, and children of a cell.
+TREE_LEVELS, TREE_STEP = 5, 64
 
 def _cell(ts, width: int) -> Column:
     return F.floor(second_index(ts) / F.lit(width))
@@ -112,16 +84,13 @@ def _lookup(values: DataFrame, asked: DataFrame, key: list[str], agg=F.max, incl
 
 
 def overlaps_any(df: DataFrame, others: DataFrame, key: list[str], ini: str = "inicio", fim: str = "fim",
-                 name: str = "sobrepoe", cell: int = DAY, hot: bool | None = None) -> DataFrame:
+                 name: str = "sobrepoe", cell: int = DAY) -> DataFrame:
     """Flag rows that overlap at least one interval of ``others`` under the same key.
 
     Some interval overlaps a row when the latest end among those that start before the row's end exceeds the
     row's start: one running maximum, no pairs.
     """
     ends = others.select(*key, F.col(ini).alias("_t"), F.col(fim).alias("_v"))
-    if not (is_hot(key, df, others) if hot is None else hot):
-        flag = F.coalesce((F.col("_prev") > F.col(ini)) & _keyed(key), F.lit(False)).alias(name)
-        return _sweep(df, ends, key, fim, "_prev").select(*df.columns, flag)
     before = _lookup(ends, df.select(*key, F.col(fim).alias("_t")), key, cell=cell)
     return df.join(before.withColumnRenamed("_t", fim), [*key, fim], "left").select(
         *df.columns, F.coalesce(F.col("_prev") > F.col(ini), F.lit(False)).alias(name)
@@ -129,45 +98,30 @@ def overlaps_any(df: DataFrame, others: DataFrame, key: list[str], ini: str = "i
 
 
 def overlaps_other(df: DataFrame, key: list[str], ini: str = "inicio", fim: str = "fim", name: str = "sobrepoe",
-                   cell: int = DAY, hot: bool | None = None) -> DataFrame:
+                   cell: int = DAY) -> DataFrame:
     """Flag rows that overlap another row of the same key (rows that end before they start included).
 
     For a row with length: among intervals that do not run backwards, those that start before its end and do
     not end by its start overlap it; two running counts give their number, the row itself included. Backward
     intervals, and rows without length, which never meet themselves, are looked up.
     """
-    hot = is_hot(key, df) if hot is None else hot
+    df = materialize(df, "intervalos")  # read for rows, starts, ends and both look-ups
     length = F.col(fim) > F.col(ini)
     rows, forward = df.where(length), df.where(F.col(fim) >= F.col(ini))
     one = F.lit(1).cast("long").alias("_v")
     starts, ends = forward.select(*key, F.col(ini).alias("_t"), one), forward.select(*key, F.col(fim).alias("_t"), one)
-    counted = overlaps_any(rows, df.where(F.col(fim) < F.col(ini)), key, ini, fim, "_any", cell, hot)
-    if hot:
-        started = _lookup(starts, rows.select(*key, F.col(fim).alias("_t")), key, F.sum, cell=cell)
-        ended = _lookup(ends, rows.select(*key, F.col(ini).alias("_t")), key, F.sum, True, cell)
-        counted = counted.join(started.select(*key, F.col("_t").alias(fim), F.col("_prev").alias("_started")), [*key, fim], "left").join(
-            ended.select(*key, F.col("_t").alias(ini), F.col("_prev").alias("_ended")), [*key, ini], "left")
-    else:
-        counted = _sweep(_sweep(counted, starts, key, fim, "_started", F.sum), ends, key, ini, "_ended", F.sum, True)
+    counted = overlaps_any(rows, df.where(F.col(fim) < F.col(ini)), key, ini, fim, "_any", cell)
+    started = _lookup(starts, rows.select(*key, F.col(fim).alias("_t")), key, F.sum, cell=cell)
+    ended = _lookup(ends, rows.select(*key, F.col(ini).alias("_t")), key, F.sum, True, cell)
+    counted = counted.join(started.select(*key, F.col("_t").alias(fim), F.col("_prev").alias("_started")), [*key, fim], "left").join(
+        ended.select(*key, F.col("_t").alias(ini), F.col("_prev").alias("_ended")), [*key, ini], "left")
     more = (F.coalesce("_started", F.lit(0)) - F.coalesce("_ended", F.lit(0)) > 1) & _keyed(key)
     flagged = counted.select(*df.columns, (F.col("_any") | more).alias(name))
-    return flagged.unionByName(overlaps_any(df.where(~length), df, key, ini, fim, name, cell, hot))
-
-
-def _label_islands(rows: DataFrame, key: list[str], ini: str, fim: str, cell: int, hot: bool) -> DataFrame:
-    """Add ``_ilha``, the start of the merged period a row belongs to."""
-    if hot:
-        return _join_same(rows, _island_of_start(rows, key, ini, fim, cell), [*key, ini])
-    order = Window.partitionBy(*key).orderBy(ini)
-    prev = F.max(fim).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = rows.withColumn("_prev", prev).withColumn(
-        "_open", F.when(F.col("_prev").isNull() | (F.col(ini) > F.col("_prev")), F.col(ini))
-    )
-    return opened.withColumn("_ilha", F.max("_open").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_prev", "_open")
+    return flagged.unionByName(overlaps_any(df.where(~length), df, key, ini, fim, name, cell))
 
 
 def _island_of_start(df: DataFrame, key: list[str], ini: str, fim: str, cell: int) -> DataFrame:
-    """(key, start) -> ``_ilha``, for keys too large to be one group."""
+    """(key, start) -> ``_ilha``, the start of the merged period."""
     starts = (
         df.groupBy(*key, ini).agg(F.max(fim).alias("_end")).withColumn("_cell", _cell(ini, cell))
     )
@@ -183,7 +137,7 @@ def _island_of_start(df: DataFrame, key: list[str], ini: str, fim: str, cell: in
 
 
 def islands(df: DataFrame, key: list[str], ini: str = "inicio", fim: str = "fim", flags: tuple = (),
-            per: tuple = (), cell: int = DAY, hot: bool | None = None) -> DataFrame:
+            per: tuple = (), cell: int = DAY) -> DataFrame:
     """Merge overlapping or touching intervals of a key into periods.
 
     Returns ``key, per, ilha, <ini>, <fim>, flags, linhas``: ``ilha`` is the period's first start, a flag is true
@@ -192,14 +146,11 @@ def islands(df: DataFrame, key: list[str], ini: str = "inicio", fim: str = "fim"
     is one row. Rows with a missing time or an end before the start do not count.
     """
     rows = df.where(F.col(ini).isNotNull() & F.col(fim).isNotNull() & (F.col(fim) >= F.col(ini)))
-    hot = is_hot(key, rows) if hot is None else hot
-    pieces = rows.withColumn("linhas", F.lit(1).cast("long"))
-    if hot:
-        pieces = rows.groupBy(*key, *per, ini).agg(
-            F.max(fim).alias(fim), *[F.max(f).alias(f) for f in flags], F.count("*").alias("linhas")
-        )
+    pieces = rows.groupBy(*key, *per, ini).agg(
+        F.max(fim).alias(fim), *[F.max(f).alias(f) for f in flags], F.count("*").alias("linhas")
+    )
     return (
-        _label_islands(pieces, key, ini, fim, cell, hot)
+        _join_same(pieces, _island_of_start(pieces, key, ini, fim, cell), [*key, ini])
         .groupBy(*key, *per, F.col("_ilha").alias("ilha"))
         .agg(
             F.min(ini).alias(ini), F.max(fim).alias(fim), *[F.max(f).alias(f) for f in flags],
@@ -209,15 +160,14 @@ def islands(df: DataFrame, key: list[str], ini: str = "inicio", fim: str = "fim"
 
 
 def temporal_blocks(df: DataFrame, context: list[str], seq: str, ini: str = "inicio", fim: str = "fim",
-                    cell: int = DAY, hot: bool | None = None) -> DataFrame:
+                    cell: int = DAY) -> DataFrame:
     """Label rows with their block of overlapping or touching intervals within the same context.
 
     Adds ``bloco`` (first start), ``lider`` (lowest event of the block), ``inicio_bloco``, ``fim_bloco``,
     ``eventos_bloco`` and ``status_bloco`` (``LIDER`` or ``DUPLICADA``).
     """
     rows = df.where(F.col(ini).isNotNull() & F.col(fim).isNotNull() & (F.col(fim) >= F.col(ini)))
-    hot = is_hot(context, rows) if hot is None else hot
-    labelled = _label_islands(rows, context, ini, fim, cell, hot).withColumnRenamed("_ilha", "bloco")
+    labelled = _join_same(rows, _island_of_start(rows, context, ini, fim, cell), [*context, ini]).withColumnRenamed("_ilha", "bloco")
     blocks = labelled.groupBy(*context, "bloco").agg(
         F.min(seq).alias("lider"), F.min(ini).alias("inicio_bloco"), F.max(fim).alias("fim_bloco"),
         F.countDistinct(seq).alias("eventos_bloco"),
@@ -230,13 +180,12 @@ def temporal_blocks(df: DataFrame, context: list[str], seq: str, ini: str = "ini
 def _record_setters(df: DataFrame, key: list[str], ini: str, fim: str, order: str, event: str, cell: int) -> DataFrame:
     """Rows whose end exceeds every earlier end of the key: (key, _ri, _rf, _ro, _re), ends increasing.
 
-    Only the first row per start in the order (end desc, number asc) can be one, so one row per (key, start)
+    Only the first row per start in the order (end desc, number asc, event asc) can be one, so one row per (key, start)
     is enough, and partial aggregation finds it.
     """
-    top = F.max(F.struct(F.col(fim).alias("f"), (-F.col(order)).alias("o"), F.col(event).alias("e"))).alias("_t")
+    top = F.min(F.struct((-microsecond_index(fim)).alias("d"), F.col(order).alias("o"), F.col(event).alias("e"), F.col(fim).alias("f"))).alias("_t")
     starts = df.groupBy(*key, ini).agg(top).select(
-        *key, F.col(ini).alias("_ri"), F.col("_t.f").alias("_rf"), (-F.col("_t.o")).alias("_ro"),
-        F.col("_t.e").alias("_re"),
+        *key, F.col(ini).alias("_ri"), F.col("_t.f").alias("_rf"), F.col("_t.o").alias("_ro"), F.col("_t.e").alias("_re"),
     ).withColumn("_cell", _cell("_ri", cell))
     grown = _running_end(starts, key, "_ri", "_rf")
     return grown.where(F.col("_prev").isNull() | (F.col("_rf") > F.col("_prev"))).select(
@@ -245,11 +194,11 @@ def _record_setters(df: DataFrame, key: list[str], ini: str, fim: str, order: st
 
 
 def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: str = "inicio", fim: str = "fim",
-                   cell: int = DAY, backwards: bool = False, once: bool = False, hot: bool | None = None) -> DataFrame:
+                   cell: int = DAY, backwards: bool = False, once: bool = False) -> DataFrame:
     """Left-join to every row the best interval of another event that contains it.
 
     A container has another event number, starts no later, ends no earlier, and on an identical interval has
-    the lower ``order`` number. The best one starts first, then ends last, then has the lowest number. Adds
+    the lower ``order`` number. The best one starts first, then ends last, then has the lowest number, then the lowest event. Adds
     ``evento_contem, inicio_contem, fim_contem`` (null when nothing contains the row).
 
     The first row of a key, in the order (start, end descending, number), whose end reaches a given end is
@@ -261,8 +210,8 @@ def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: s
     says that an event has one row per key, which makes that search unnecessary.
     """
     ident = list(dict.fromkeys([*key, event, order, ini, fim]))
-    hot = is_hot(key, df) if hot is None else hot
-    stepped = _lowest_step_split(df, key, event, order, ini, fim, cell) if hot else _lowest_step(df, key, event, order, ini, fim)
+    df = materialize(df, "intervalos")  # read for the steps, the rows and the partners
+    stepped = _lowest_steps(df, key, event, order, ini, fim, cell)
     other = F.col("_step._re") != F.col(event)
     same_span = (F.col("_step._ri") == F.col(ini)) & (F.col("_step._rf") == F.col(fim))
     found = other & (~same_span | (F.col("_step._ro") < F.col(order))) & _keyed(key)
@@ -270,32 +219,16 @@ def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: s
     if once:
         own, rows = F.lit(False), stepped.withColumn("_alt", F.col("_step"))
     else:
-        # Stored once: whether any row needs the search is known before it is planned, and mostly none does.
-        stepped = materialize(stepped, "contidos")
-        if stepped.where(own).isEmpty():
-            own, rows = F.lit(False), stepped.withColumn("_alt", F.col("_step"))
-        else:
-            rows = _search_others(stepped.select(*df.columns), stepped.where(own), key, event, order, ini, fim, ident, cell, backwards, stepped)
+        stepped = materialize(stepped, "contidos")  # read for the rows and for those that need the search, mostly none
+        rows = _search_others(df, stepped.where(own), key, event, order, ini, fim, ident, cell, backwards, stepped)
     pick = lambda field: F.when(found, F.col(f"_step.{field}")).when(own, F.col(f"_alt.{field}"))
     return rows.select(
         *df.columns, pick("_re").alias("evento_contem"), pick("_ri").alias("inicio_contem"), pick("_rf").alias("fim_contem"),
     )
 
 
-def _lowest_step(df: DataFrame, key: list[str], event: str, order: str, ini: str, fim: str) -> DataFrame:
-    """Add ``_step``, the lowest record row that reaches the row's end: two sorts within one exchange."""
-    before = _before(key, F.asc(ini), F.desc(fim), F.asc(order))
-    marked = df.withColumn("_prev", F.max(fim).over(before))
-    record = F.col("_prev").isNull() | (F.col(fim) > F.col("_prev"))
-    step = F.struct(F.col(ini).alias("_ri"), F.col(fim).alias("_rf"), F.col(order).alias("_ro"), F.col(event).alias("_re"))
-    above = Window.partitionBy(*key).orderBy(F.desc(fim), F.desc("_is")).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("_is", record).withColumn(
-        "_step", F.last(F.when(F.col("_is"), step), ignorenulls=True).over(above)
-    ).drop("_prev", "_is")
-
-
-def _lowest_step_split(df: DataFrame, key: list[str], event: str, order: str, ini: str, fim: str, cell: int) -> DataFrame:
-    """The same for keys too large to be one group."""
+def _lowest_steps(df: DataFrame, key: list[str], event: str, order: str, ini: str, fim: str, cell: int) -> DataFrame:
+    """Add ``_step``, the lowest record row that reaches the row's end."""
     steps = _record_setters(df, key, ini, fim, order, event, cell)
     step = F.struct("_ri", "_rf", "_ro", "_re").alias("_step")
     ends = (
@@ -343,9 +276,9 @@ def _search_others(df, blocked_rows, key, event, order, ini, fim, ident, cell, b
 
 
 def contained(df: DataFrame, key: list[str], event: str, order: str, ini: str = "inicio", fim: str = "fim",
-              cell: int = DAY, backwards: bool = False, once: bool = False, hot: bool | None = None) -> DataFrame:
+              cell: int = DAY, backwards: bool = False, once: bool = False) -> DataFrame:
     """Add ``contido``: another event of the key covers the row (see ``best_container``)."""
-    return best_container(df, key, event, order, ini, fim, cell, backwards, once, hot).withColumn(
+    return best_container(df, key, event, order, ini, fim, cell, backwards, once).withColumn(
         "contido", F.col("evento_contem").isNotNull()
     ).drop("evento_contem", "inicio_contem", "fim_contem")
 
@@ -354,45 +287,29 @@ def stab_join(points: DataFrame, spans: DataFrame, key: list[str], at: str, ini:
               cell: int = 3600) -> DataFrame:
     """Inner join of points and intervals of the same key with ``ini <= at <= fim``.
 
-    Equality on (key, cell) spreads a hot key over its cells and lets a hot cell be split at run time. An
-    interval is listed in each cell it touches; one that touches more than 64 moves to a grid 1024 times
-    coarser, so a record with absurd dates stays a handful of rows. Key and time columns of the two sides must have
+    Equality on (key, cell) spreads a hot key over its cells and lets a hot cell be split at run time. There is a grid for
+    each of ``GRIDS`` widths, and an interval is listed in the few cells it touches of the finest one that is not much
+    finer than it is long, so no interval meets points far away from it. Key and time columns of the two sides must have
     distinct names except for the key.
     """
-    coarse = cell * 1024
     first, last = _cell(ini, cell), _cell(fim, cell)
-    listed = spans.where(F.col(fim) >= F.col(ini)).withColumn(
-        "_at",
-        F.explode(
-            F.when(
-                last - first <= 64,
-                F.transform(F.sequence(first, last), lambda c: F.struct(F.lit(0).alias("g"), c.alias("c"))),
-            ).otherwise(
-                F.transform(
-                    F.sequence(_cell(ini, coarse), _cell(fim, coarse)),
-                    lambda c: F.struct(F.lit(1).alias("g"), c.alias("c")),
-                )
-            )
-        ),
-    )
-    placed = points.withColumn(
-        "_at",
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("g"), _cell(at, cell).alias("c")),
-            F.struct(F.lit(1).alias("g"), _cell(at, coarse).alias("c")),
-        )),
-    )
-    flat = lambda d: d.select("*", F.col("_at.g").alias("_grid"), F.col("_at.c").alias("_gcell")).drop("_at")
+    width = last - first
+    grid = reduce(lambda g, k: g + (width > F.lit(GRID_STEP**k)).cast("int"), range(1, GRIDS), F.lit(0))
+    wide = F.pow(F.lit(float(GRID_STEP)), F.col("_grid")).cast("long")
+    listed = spans.where(F.col(fim) >= F.col(ini)).withColumn("_grid", grid).withColumn(
+        "_gcell", F.explode(F.sequence(F.floor(first / wide), F.floor(last / wide))))
+    placed = points.withColumn("_grid", F.explode(F.array(*[F.lit(g) for g in range(GRIDS)]))).withColumn(
+        "_gcell", F.floor(_cell(at, cell) / wide))
     return (
-        flat(placed)
-        .join(flat(listed), [*key, "_grid", "_gcell"])
+        placed
+        .join(listed, [*key, "_grid", "_gcell"])
         .where((F.col(ini) <= F.col(at)) & (F.col(at) <= F.col(fim)))
         .drop("_grid", "_gcell")
     )
 
 
 def trim_partial(df: DataFrame, key: list[str], seq_order: list, ini: str = "inicio", fim: str = "fim",
-                 origin: dict | None = None, cell: int = 3600, hot: bool | None = None) -> DataFrame:
+                 origin: dict | None = None, cell: int = 3600) -> DataFrame:
     """Rows that start inside an earlier interval of the key and end after it, with that predecessor.
 
     A predecessor starts before the row, ends after the row's start and before the row's end; the best one
@@ -401,8 +318,8 @@ def trim_partial(df: DataFrame, key: list[str], seq_order: list, ini: str = "ini
     least one minute mark are returned.
 
     Per (key, end) the predecessor can only be the one that starts first, so partial aggregation reduces
-    the candidates to one per distinct end before they meet the distinct (start, end) pairs of the key. With a hot
-    key, the few ends just before a row's end are looked at first; only rows they do not settle join the rest.
+    the candidates to one per distinct end. The predecessor of a row is then the last end before its own whose start lies
+    before the row, which ``_last_end`` looks up.
     """
     origin = origin or {}
     rows = df.where(F.col(ini).isNotNull() & F.col(fim).isNotNull() & (F.col(fim) > F.col(ini)))
@@ -413,22 +330,15 @@ def trim_partial(df: DataFrame, key: list[str], seq_order: list, ini: str = "ini
     )
     ends = rows.groupBy(*key, F.col(fim).alias("_pf")).agg(F.min(best).alias("_p")).withColumn("_ps", F.col("_p._s"))
     spans = rows.select(*key, F.col(ini).alias("_bi"), F.col(fim).alias("_bf")).distinct()
-    settled = None
-    if is_hot(key, rows) if hot is None else hot:
-        near = materialize(_last_ends(spans, ends, key, cell), "trim")
-        settled, spans = near.where(F.col("_w").isNotNull()).drop("_open"), near.where("_open").select(*spans.columns)
-    hits = stab_join(spans, ends, key, "_bi", "_ps", "_pf", cell).where(
-        (F.col("_ps") < F.col("_bi")) & (F.col("_pf") > F.col("_bi")) & (F.col("_pf") < F.col("_bf"))
-    )
-    winners = hits.groupBy(*key, "_bi", "_bf").agg(F.max_by(F.struct("_pf", "_p"), "_pf").alias("_w"))
-    if settled is not None:
-        winners = winners.unionByName(settled)
+    ends = materialize(ends, "fins")  # read for the tree of cells and for the winners' columns
+    found = _last_end(spans, ends, key, cell)
+    winners = found.join(ends.withColumn("_pu", microsecond_index("_pf")), [*key, "_pu"])
     chosen = (
         winners.select(
             *key, F.col("_bi").alias(ini), F.col("_bf").alias(fim),
-            *[F.col(f"_w._p._x_{n}").alias(n) for n in origin],
-            F.col("_w._p._s").alias("inicio_origem"), F.col("_w._pf").alias("fim_origem"),
-            minute_boundaries(F.col("_bi"), F.col("_w._pf")).alias("minutos_interseccao"),
+            *[F.col(f"_p._x_{n}").alias(n) for n in origin],
+            F.col("_p._s").alias("inicio_origem"), F.col("_pf").alias("fim_origem"),
+            minute_boundaries(F.col("_bi"), F.col("_pf")).alias("minutos_interseccao"),
         )
         .where("minutos_interseccao > 0")
     )
@@ -436,26 +346,52 @@ def trim_partial(df: DataFrame, key: list[str], seq_order: list, ini: str = "ini
     return rows.join(chosen, [*key, ini, fim]).select(*df.columns, *names)
 
 
-def _last_ends(spans: DataFrame, ends: DataFrame, key: list[str], cell: int, depth: int = 16) -> DataFrame:
-    """Add ``_w``, the predecessor found among the last ``depth`` ends before a row's end within that end's cell, and
-    ``_open``, whether the row needs a further search.
+def _tree(ends: DataFrame, key: list[str], cell: int) -> DataFrame:
+    """(key, level, cell) -> ``_kids``: what lies in the cell, each with the earliest start behind it.
 
-    Ends are looked at from the latest back, so the first that fits is the answer; an end that does not lie inside
-    the row any more says there is none.
+    At level 0 these are the ends within ``cell`` seconds, above that the ``TREE_STEP`` cells of the level below, at the
+    top all cells of a key that are left (a cell there spans decades).
     """
-    recent = Window.partitionBy(*key, "_c").orderBy("_pf").rowsBetween(1 - depth, 0)
-    listed = ends.withColumn("_c", _cell("_pf", cell)).select(
-        *key, "_c", F.col("_pf").alias("_t"), F.collect_list(F.struct("_pf", "_ps", "_p")).over(recent).alias("_v")
-    )
-    asked = spans.withColumn("_c", _cell("_bf", cell))
-    near = _sweep(asked, listed, [*key, "_c"], "_bf", "_near", lambda c: F.last(c, ignorenulls=True))
-    fits = F.array_max(F.filter("_near", lambda x: (x["_ps"] < F.col("_bi")) & (x["_pf"] > F.col("_bi"))))
-    passed = F.exists("_near", lambda x: x["_pf"] <= F.col("_bi"))
-    whole = (_cell("_bi", cell) == F.col("_c")) & (F.coalesce(F.size("_near"), F.lit(0)) < depth)
-    return near.withColumn("_fits", fits).select(
-        *spans.columns, F.when(F.col("_fits").isNotNull(), F.struct("_fits._pf", "_fits._p")).alias("_w"),
-        (F.col("_fits").isNull() & ~F.coalesce(passed, F.lit(False)) & ~whole).alias("_open"),
-    )
+    level = ends.select(*key, _cell("_pf", cell).alias("_cell"), microsecond_index("_pf").alias("_kid"), F.col("_ps").alias("_low"))
+    levels = []
+    for k in range(TREE_LEVELS):
+        levels.append(level.select(*key, F.lit(k).alias("_level"), "_cell", "_kid", "_low"))
+        parent = F.lit(0).cast("long") if k + 2 == TREE_LEVELS else F.floor(F.col("_cell") / F.lit(TREE_STEP))
+        level = level.groupBy(*key, "_cell").agg(F.min("_low").alias("_low")).select(*key, parent.alias("_cell"), F.col("_cell").alias("_kid"), "_low")
+    return reduce(DataFrame.unionByName, levels).groupBy(*key, "_level", "_cell").agg(F.collect_list(F.struct("_kid", "_low")).alias("_kids"))
+
+
+def _last_end(spans: DataFrame, ends: DataFrame, key: list[str], cell: int) -> DataFrame:
+    """(key, _bi, _bf, _pu): for each span the last end inside it, in microseconds, whose ``_ps`` is before the span.
+
+    Every span asks the cell of its end at each level of the tree for the last child to the left that has an early enough
+    start; the lowest level that answers is nearest. From there one look-up a level leads down to the end itself. A
+    span is one row in every join, whatever the number of intervals around it.
+    """
+    tree = materialize(_tree(ends, key, cell), "arvore")
+
+    def at_level(ts: str, k: int) -> Column:
+        return microsecond_index(ts) if k == 0 else F.floor(_cell(ts, cell) / F.lit(TREE_STEP ** (k - 1)))
+
+    asked = F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), (F.lit(0).cast("long") if k + 1 == TREE_LEVELS else at_level("_bf", k + 1)).alias("c"), at_level("_bf", k).alias("below"))
+        for k in range(TREE_LEVELS)]))
+    least = reduce(lambda w, k: w.when(F.col("_level") == k, at_level("_bi", k) + (1 if k == 0 else 0)), range(1, TREE_LEVELS),
+                   F.when(F.col("_level") == 0, at_level("_bi", 0) + 1))
+
+    def last_kid(below: Column | None) -> Column:
+        fits = lambda x: (x["_low"] < F.col("_bi")) & (x["_kid"] >= F.col("_least")) & (F.lit(True) if below is None else x["_kid"] < below)
+        return F.array_max(F.transform(F.filter("_kids", fits), lambda x: x["_kid"]))
+
+    placed = spans.withColumn("_a", asked).select(*spans.columns, F.col("_a.k").alias("_level"), F.col("_a.c").alias("_cell"), F.col("_a.below").alias("_below"))
+    up = placed.join(tree, [*key, "_level", "_cell"]).withColumn("_least", least).withColumn("_kid", last_kid(F.col("_below"))).where("_kid IS NOT NULL")
+    up = materialize(up.groupBy(*spans.columns).agg(F.min(F.struct("_level", "_kid")).alias("_at")).select(*spans.columns, "_at._level", "_at._kid"), "subida")
+    below = up.where(F.col("_level") == TREE_LEVELS - 1)
+    for k in range(TREE_LEVELS - 2, -1, -1):
+        down = below.select(*spans.columns, F.lit(k).alias("_level"), F.col("_kid").alias("_cell")).join(tree, [*key, "_level", "_cell"])
+        down = down.withColumn("_least", least).withColumn("_kid", last_kid(None)).where("_kid IS NOT NULL")
+        below = up.where(F.col("_level") == k).unionByName(down.select(*spans.columns, "_level", "_kid"))
+    return below.select(*spans.columns, F.col("_kid").alias("_pu"))
 
 
 def overlap_pairs(df: DataFrame, key: list[str], ident: str, columns: list[str], ini: str = "inicio",
@@ -463,7 +399,7 @@ def overlap_pairs(df: DataFrame, key: list[str], ident: str, columns: list[str],
     """Every unordered pair of a key with ``a.ini < b.fim and b.ini < a.fim``, once.
 
     Returns the key and ``columns`` (the times and ``ident`` included) as ``a_*`` for the earlier row (ties: lower
-    ``ident``) and ``b_*`` for the other. In such a pair the later start lies in the earlier interval, which is
+    ``ident``, null last, then the other columns) and ``b_*`` for the other. In such a pair the later start lies in the earlier interval, which is
     what the grid join looks for.
     """
     wanted = list(dict.fromkeys([ident, ini, fim, *columns]))
@@ -471,7 +407,8 @@ def overlap_pairs(df: DataFrame, key: list[str], ident: str, columns: list[str],
     left = rows.select(*key, *[F.col(c).alias(f"a_{c}") for c in wanted])
     right = rows.select(*key, *[F.col(c).alias(f"b_{c}") for c in wanted])
     a_ini, a_fim, b_ini, b_fim = (F.col(f"{s}_{c}") for s in ("a", "b") for c in (ini, fim))
-    first = (a_ini < b_ini) | ((a_ini == b_ini) & (F.col(f"a_{ident}") < F.col(f"b_{ident}")))
+    whole = {x: F.struct(F.col(f"{x}_{ident}").isNull(), F.col(f"{x}_{ident}"), *[F.col(f"{x}_{c}") for c in wanted]) for x in ("a", "b")}
+    first = (a_ini < b_ini) | ((a_ini == b_ini) & (whole["a"] < whole["b"]))
     return stab_join(right, left, key, f"b_{ini}", f"a_{ini}", f"a_{fim}", cell).where(
         first & (b_ini < a_fim) & (a_ini < b_fim)
     )
