@@ -63,7 +63,9 @@ def test_with_latest(spark):
 def test_paged(spark):
     df = spark.range(20)
     assert [r.id for r in R.paged(df, [F.desc("id")], 3, 2).collect()] == [17, 16, 15]
-    assert R.paged(df, ["id"], 10**9, -5).count() == 20
+    for limit, offset in ((10**9, 0), (0, 0), (5, -5)):
+        with pytest.raises(ValueError, match="a page has"):
+            R.paged(df, ["id"], limit, offset)
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])

@@ -97,6 +97,79 @@ def test_stream(spark, folder, tmp_path):
     assert {r.REGIONAL_ORIGEM for r in rows} == {"CSL", "NRT"}
 
 
+def test_stream_reads_like_the_batch_load(spark, tmp_path):
+    """Columns in another order, code page 1252 and bad lines."""
+    from pyspark.sql import types as T
+    src, table, mark = tmp_path / "s", str(tmp_path / "t"), str(tmp_path / "c")
+    src.mkdir()
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in HEAD.split("|")])
+    put(src, "Interrupcoes_IQS_20240115120000_CSL.CSV", ["10|1|P"], head="NUM_UC_UCI|NUM_INTRP_UCI|NUM_POSTO_UCI")
+    put(src, "Interrupcoes_IQS_20240116120000_NRT.CSV", ["2|P|10|Ç – “x”|1", "3|P|10|a|1|sobra"], "cp1252")
+    put(src, "Interrupcoes_IQS_20240117120000_NRT.CSV", ["4|P|10"], head="a|b|c")
+    for _ in range(2):
+        live.load_arriving(spark, str(src), table, mark, schema=schema).awaitTermination()
+    rows = {r.NUM_INTRP_UCI: r for r in spark.read.parquet(table).collect()}
+    assert set(rows) == {"1", "2"} and rows["1"].NUM_UC_UCI == "10" and rows["1"].NUM_POSTO_UCI == "P" and rows["2"].DESC_INTRP == "Ç – “x”"
+    assert [r.linha for r in spark.read.parquet(table + "_rejeitadas").collect()] == ["3|P|10|a|1|sobra"]
+
+
+def test_a_file_without_header_fails_alone(spark, folder, tmp_path):
+    table, log = str(tmp_path / "t"), str(tmp_path / "log")
+    put(folder, "Interrupcoes_IQS_20240118120000_LES.CSV", ["50|P|1"], head="a|b|c")
+    put(folder, "Interrupcoes_IQS_20240119120000_LES.CSV", ["51|P|1|ok|1", "52|P|1|sobra|1|2|3"])
+    first = {r.arquivo_nome[17:25]: r for r in ingest.ingest(spark, folder, table, log, "r1", min_anomes="202401").collect()}
+    assert (first["20240118"].status, first["20240118"].mensagem_erro) == ("erro", "sem cabecalho")
+    assert first["20240115"].status == "processado"
+    rows = sorted(map(tuple, spark.read.parquet(table).select("NUM_INTRP_UCI", "DESC_INTRP").collect()), key=str)
+    rejects = spark.read.parquet(table + "_rejeitadas").select("linha").collect()
+    again = ingest.ingest(spark, folder, table, log, "r2", min_anomes="202401").collect()
+    # The failed files are tried again and change nothing.
+    assert {r.arquivo_nome[17:25] for r in again} == {"20240118", "20240119"}
+    assert sorted(map(tuple, spark.read.parquet(table).select("NUM_INTRP_UCI", "DESC_INTRP").collect()), key=str) == rows
+    assert spark.read.parquet(table + "_rejeitadas").select("linha").collect() == rejects == [("52|P|1|sobra|1|2|3",)]
+
+
+def test_bad_lines_do_not_depend_on_the_columns_read(spark, tmp_path):
+    put(tmp_path, "Interrupcoes_IQS_20240115120000_CSL.CSV", ["1|P|10|a|1", "2|P|11|a|1|sobra"])
+    rows = files.read_outage_files(spark, [str(tmp_path)])
+    assert [r[0] for r in files.good_rows(rows).select("NUM_UC_UCI").collect()] == ["10"]
+    assert files.good_rows(rows).count() == 1 and files.bad_rows(rows).count() == 1
+
+
+def test_a_folder_of_empty_files(spark, tmp_path):
+    (tmp_path / "Interrupcoes_IQS_20240115120000_CSL.CSV").write_bytes(b"")
+    assert files.read_outage_files(spark, [str(tmp_path)]).count() == 0
+
+
+def test_closing_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("A|B\n1|2\n")
+    (tmp_path / "b.csv").write_text("B|A\n3|4\n")
+    got = {r.arquivo_origem: (r.A, r.B) for r in files.read_closing(spark, str(tmp_path)).collect()}
+    assert got == {"a.csv": ("1", "2"), "b.csv": ("4", "3")}
+    (tmp_path / "c.csv").write_text("A|B\n5|6|7\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.read_closing(spark, str(tmp_path)).collect()
+
+
+def test_a_rewrite_is_published_only_with_all_rows(spark, tmp_path):
+    from vigilia.plans import marts
+    path = str(tmp_path / "m")
+    spark.range(10).write.parquet(path)
+    assert marts.publish_rewrite(spark, path, lambda d: d.where("id > 0"))["status"] == "erro"
+    assert spark.read.parquet(path).columns == ["id"] and spark.read.parquet(path).count() == 10
+    done = marts.publish_rewrite(spark, path, lambda d: d.withColumn("x", F.lit(1)))
+    assert done == {"antes": 10, "depois": 10, "igual": True, "status": "atualizado"}
+    assert spark.read.parquet(path).columns == ["id", "x"] and spark.read.parquet(path).count() == 10
+
+
+def test_log_rows(spark):
+    log = spark.createDataFrame([("202401", "1", None, "a"), ("202401", "2", "9", "b"), ("202401", "9", None, "a"), ("202402", "5", "5", "c")],
+                                "anomes string, iniciado_em string, finalizado_em string, etapa string")
+    moments = ("finalizado_em", "iniciado_em")
+    assert files.latest_log_row(log, "202401", moments).first()["etapa"] == "a"
+    assert [r.etapa for r in files.log_tail(log, 3, moments).collect()] == ["a", "b", "c"]
+
+
 def test_export_and_closing_read(spark, tmp_path):
     names = S.EXPORT_LAYOUT
     rows = [tuple("v" for _ in names) + (r,) for r in ("CSL", "NRT", "a/b", " ", None)]

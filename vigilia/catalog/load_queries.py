@@ -74,14 +74,20 @@ def closing_counters(t):
     return marts.closing_counters(marts.backfill_timestamps(closing(t)))
 
 
+_TIMES = ("DATA_HORA_INIC_INTRP", "DATA_HORA_FIM_INTRP")
+
+
 @query("backfill_timestamps", B.with_(B.RAW) + f"""
-SELECT count(*) AS antes, count(*) AS depois, true AS igual, count({B._parse('DATA_HORA_INIC_INTRP')}) AS com_inicio, count({B._parse('DATA_HORA_FIM_INTRP')}) AS com_fim FROM raw""")
+SELECT {KEYS}, DATA_HORA_INIC_INTRP, DATA_HORA_FIM_INTRP, {B._parse('DATA_HORA_INIC_INTRP')} AS inicio, {B._parse('DATA_HORA_FIM_INTRP')} AS fim, count(*) AS linhas,
+       'atualizado' AS status FROM raw GROUP BY ALL""")
 def backfill_timestamps(t):
-    """PIP-31, SNK-12: typed times added, row counts compared."""
-    rows = B.raw(t)
-    done = marts.backfill_timestamps(rows)
-    times = done.agg(F.count("DATA_HORA_INIC_INTRP_TS").alias("com_inicio"), F.count("DATA_HORA_FIM_INTRP_TS").alias("com_fim"), F.lit(1).alias("_1"))
-    return marts.same_row_count(rows, done).withColumn("_1", F.lit(1)).join(times, "_1").drop("_1")
+    """PIP-31, SNK-12: a stored month rewritten with typed times, published as the counts agree."""
+    path = work_path(t.spark, "backfill")
+    B.raw(t).write.parquet(path)
+    done = marts.publish_rewrite(t.spark, path, marts.backfill_timestamps)
+    rows = t.spark.read.parquet(path).select(
+        *S.RECORD_KEY, *_TIMES, F.col("DATA_HORA_INIC_INTRP_TS").alias("inicio"), F.col("DATA_HORA_FIM_INTRP_TS").alias("fim"))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("linhas")).withColumn("status", F.lit(done["status"]))
 
 
 # ----------------------------------------------------------------------------------- consolidation
@@ -176,6 +182,14 @@ def pending_files(t):
     return files.pending(found, log, ["arquivo_path"]).select("arquivo_path")
 
 
+@query("log_tail", B.with_(_FILES) + """
+SELECT p AS arquivo_path, s AS status, m AS processado_em FROM log ORDER BY m DESC, size, p, s LIMIT 25""")
+def log_tail(t):
+    """SRT-08: the newest log rows, ties by the other columns."""
+    return files.log_tail(_file_tables(t)[1].drop("arquivo_nome", "arquivo_modificado_em", "linhas_lidas").withColumnRenamed("arquivo_tamanho_bytes", "a"), 25).select(
+        "arquivo_path", "status", "processado_em")
+
+
 @query("compact_log", B.with_(_FILES) + "SELECT p AS arquivo_path, size AS arquivo_tamanho_bytes, s AS status, max(m) AS processado_em FROM log GROUP BY 1, 2, 3")
 def compact_log(t):
     """SNK-10: newest log row per file state and status."""
@@ -230,21 +244,53 @@ def csv_roundtrip(t):
         F.countDistinct("NUM_UC_UCI").alias("ucs"), F.count("KVA_INTRP").alias("com_kva"))
 
 
+def _write_lines(lines, header: str, path: str, encoding: str = "UTF-8") -> None:
+    """Files of the given lines (one text column) after a header line, as they are."""
+    lines.select(F.col(lines.columns[0]).alias(header)).write.options(header=True, sep="\x01", encoding=encoding, emptyValue="").csv(path)
+
+
+def _piped(*columns):
+    return F.concat_ws(S.CSV_SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in columns])
+
+
+@query("mixed_files", """
+SELECT CASE WHEN o_orderkey % 50 = 7 THEN 'rejeitada' ELSE 'boa' END AS tipo, CAST(o_orderkey AS VARCHAR) AS num_intrp,
+       CASE WHEN o_orderkey % 50 = 7 THEN NULL ELSE o_orderpriority || ' – ação' END AS texto, CASE WHEN o_orderkey % 50 = 7 THEN NULL ELSE o_orderstatus END AS posto FROM orders""")
+def mixed_files(t):
+    """SRC-04..07: two headers, two encodings, bad lines and a file without header; every row comes out under its own columns."""
+    folder = work_path(t.spark, "mixed")
+    rows = t.orders.select(
+        F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("p"), F.lit("1").alias("u"), F.month("o_orderdate").alias("m"),
+        F.concat("o_orderpriority", F.lit(" – ação")).alias("d"), F.when(F.col("o_orderkey") % 50 == 7, F.lit("|sobra")).otherwise(F.lit("")).alias("x"))
+    _write_lines(rows.where("m % 2 = 1").select(F.concat(_piped("k", "p", "u", "d"), "x")), "NUM_INTRP_UCI|NUM_POSTO_UCI|NUM_UC_UCI|DESC_INTRP", f"{folder}/a")
+    # Code page 1252 is Latin-1 but for a few bytes: the dash is one of them.
+    other = rows.where("m % 2 = 0").withColumn("d", F.translate("d", "–", "\x96")).select(F.concat(_piped("d", "u", "k", "p"), "x"))
+    _write_lines(other, "DESC_INTRP|NUM_UC_UCI|NUM_INTRP_UCI|NUM_POSTO_UCI", f"{folder}/b", "ISO-8859-1")
+    _write_lines(rows.select(_piped("k", "p")), "sem|nome", f"{folder}/c")
+    listed = t.spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.csv").load(folder).select("path")
+    read = files.read_outage_files(t.spark, [r.path for r in listed.toLocalIterator()])
+    good = files.good_rows(read).select(F.lit("boa").alias("tipo"), F.col("NUM_INTRP_UCI").alias("num_intrp"), F.col("DESC_INTRP").alias("texto"), F.col("NUM_POSTO_UCI").alias("posto"))
+    bad = files.bad_rows(read).select(F.split("linha", r"\|").alias("f"), F.col("arquivo_path").contains("/a/").alias("a"))
+    number = F.when(F.col("a"), F.col("f")[0]).otherwise(F.col("f")[2])
+    return good.unionByName(bad.select(F.lit("rejeitada").alias("tipo"), number.alias("num_intrp"), F.lit(None).cast("string").alias("texto"), F.lit(None).cast("string").alias("posto")))
+
+
 @query("stream_load", B.with_(B.RAW) + f"""
-SELECT "ANOMES_PROCESSAMENTO" AS anomes, count(*) AS linhas, count(DISTINCT "NUM_UC_UCI") AS ucs FROM (
-  SELECT DISTINCT "ANOMES_PROCESSAMENTO", {KEYS} FROM raw) GROUP BY 1""")
+SELECT DISTINCT "ANOMES_PROCESSAMENTO" AS anomes, {", ".join(f"nullif({c}, ' ') AS {c}" for c in S.RECORD_KEY)} FROM raw""")
 def stream_load(t):
-    """STR-01..03: files arrive, a stream appends rows with a new key by month, a second run adds nothing."""
+    """STR-01..03: files of two headers and encodings arrive, a stream appends rows with a new key by month, a second run adds nothing."""
     spark = t.spark
     folder, table, mark = (work_path(spark, f"stream-{n}") for n in ("in", "table", "checkpoint"))
     names = [*S.RECORD_KEY, "DATA_HORA_INIC_INTRP", "DATA_HORA_FIM_INTRP", "ANOMES_PROCESSAMENTO"]
-    B.raw(t).select(*names).write.options(sep=S.CSV_SEPARATOR, header=True, emptyValue="", nullValue="").csv(folder)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    rows = B.raw(t).select(*names)
+    half = F.pmod(F.xxhash64(*names), F.lit(2)) == 0
+    _write_lines(rows.where(half).select(_piped(*names)), "|".join(names), f"{folder}/a")
+    _write_lines(rows.where(~half).select(F.concat(_piped(*names[::-1]), F.lit("|ação"))), "|".join([*names[::-1], "DESC_INTRP"]), f"{folder}/b", "ISO-8859-1")
     for _ in range(2):
         q = live.load_arriving(spark, folder, table, mark, schema=schema, max_files=4, month=F.col("ANOMES_PROCESSAMENTO"))
         q.awaitTermination()
-    return spark.read.parquet(table).groupBy(F.col("anomes").cast("string").alias("anomes")).agg(
-        F.count("*").alias("linhas"), F.countDistinct("NUM_UC_UCI").alias("ucs"))
+    return spark.read.parquet(table).select(F.col("anomes").cast("string").alias("anomes"), *S.RECORD_KEY)
 
 
 # -------------------------------------------------------------------------------------- whole trail

@@ -24,8 +24,12 @@ def _region_code(default: str):
 
 def _customer_region(t, default: str = "SCD"):
     """Snowflake customer, nation, region (JN-19)."""
-    return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
-        t.region, F.col("n_regionkey") == F.col("r_regionkey")).withColumn("regional", _region_code(default))
+    sections = t.nation.withColumnsRenamed({"n_nationkey": "cod_seccional", "n_regionkey": "cod_regional"})
+    regions = t.region.withColumn("cod_regional", F.col("r_regionkey"))
+    # The given tables have two levels; a locality is a customer's nation, which is its own section.
+    localities = t.nation.select(F.col("n_nationkey").alias("cod_local"), F.col("n_nationkey").alias("cod_seccional"))
+    customers = t.customer.withColumn("cod_local", F.col("c_nationkey"))
+    return R.with_region(customers, localities, sections, regions).withColumn("regional", _region_code(default))
 
 
 _CUST = "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"

@@ -85,11 +85,7 @@ def dedup_by_key(df: DataFrame, key: list[str], order: list, tiebreak: list | No
 
 
 def dedup_keep_incomplete(df: DataFrame, key: list[str], order: list, tiebreak: list | None = None) -> DataFrame:
-    """Dedup rows with a full key; rows where a key part is blank all stay.
-
-    One pass: an incomplete row gets a number of its own as a further key part, which also spreads such rows
-    evenly however many there are.
-    """
+    """Dedup rows with a full key; rows where a key part is blank all stay and take no part in the exchange."""
     complete = F.lit(True)
     for c in key:
         complete = complete & blank_to_null(c).isNotNull()
@@ -97,8 +93,8 @@ def dedup_keep_incomplete(df: DataFrame, key: list[str], order: list, tiebreak:
         named = {c for c in order if isinstance(c, str)}
         rest = sorted(set(df.columns) - set(key) - named)
         df, tiebreak = df.withColumn("_h", F.xxhash64(*rest) if rest else F.lit(0)), ["_h"]
-    alone = df.withColumn("_alone", F.when(~complete, F.monotonically_increasing_id()))
-    return first_per_key(alone, [*key, "_alone"], [*order, *tiebreak]).drop("_alone", "_h")
+    kept = first_per_key(df.where(complete), key, [*order, *tiebreak])
+    return kept.unionByName(df.where(~complete)).drop("_h")
 
 
 def top_n(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
@@ -131,9 +127,11 @@ def with_latest(df: DataFrame, log: DataFrame, key: list[str], order: list, valu
 
 def paged(df: DataFrame, order: list, limit: int, offset: int = 0, where: Column | None = None,
           max_limit: int = 5000) -> DataFrame:
-    """One page of a listing; the page size is bounded."""
+    """One page of a listing. A page of more than ``max_limit`` rows, of none, or before the first is an error."""
+    if not 1 <= limit <= max_limit or offset < 0:
+        raise ValueError(f"a page has 1 to {max_limit} rows and begins at 0 or later, not {limit} rows from {offset}")
     rows = df if where is None else df.where(where)
-    return rows.orderBy(*order).offset(max(offset, 0)).limit(min(max(limit, 1), max_limit))
+    return rows.orderBy(*order).offset(offset).limit(limit)
 
 
 def mode_per_group(df: DataFrame, group: list[str], value: str, name: str | None = None) -> DataFrame:
@@ -144,13 +142,13 @@ def mode_per_group(df: DataFrame, group: list[str], value: str, name: str | None
 
 
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float],
-                    bins: int = 4096, passes: int = 2, most: int = 1_000_000) -> DataFrame:
+                    bins: int = 4096) -> DataFrame:
     """Interpolated exact quantiles per group, without holding a group in one task.
 
     Values are counted first (partial counts before the exchange). Every quantile needs the values at two
     ranks; each pass cuts the value range that holds a rank into ``bins`` equal parts, counts the parts,
-    and keeps the part the rank falls in. Passes go on until at most ``most`` distinct values are left around any
-    rank; those are ranked with a window per (group, rank).
+    and keeps the part the rank falls in, until that part is a single value: a few passes, as each divides the
+    range by ``bins``.
     """
     counts = materialize(
         df.where(F.col(value).isNotNull())
@@ -176,36 +174,26 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
         )
     )
     ident = [*group, "_p", "_side"]
-    for step in range(10):
+    while True:
         width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-        part = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(
-            F.lit(0)
-        ).cast("long")
+        # Ends of the range are parts of their own, so that every pass leaves a smaller range.
+        part = F.when(F.col("_v") == F.col("_lo"), F.lit(-1)).when(F.col("_v") == F.col("_hi"), F.lit(bins)).otherwise(
+            F.greatest(F.lit(0), F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1)))).cast("long")
         inside = targets.join(counts, group).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         parts = inside.withColumn("_part", part).groupBy(*ident, "_part").agg(
-            F.sum("_n").alias("_in"), F.count("*").alias("_values"), F.min("_v").alias("_plo"), F.max("_v").alias("_phi"),
+            F.sum("_n").alias("_in"), F.min("_v").alias("_plo"), F.max("_v").alias("_phi"),
             F.first("_pos").alias("_pos"), F.first("_rank").alias("_rank"), F.first("_below").alias("_below"),
         )
         w = Window.partitionBy(*ident).orderBy("_part")
         parts = parts.withColumn("_upto", F.sum("_in").over(w) + F.col("_below"))
         hit = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_in"))
-        targets = parts.where(hit).select(
+        targets = materialize(parts.where(hit).select(
             *ident, "_pos", "_rank", F.col("_plo").alias("_lo"), F.col("_phi").alias("_hi"),
-            (F.col("_upto") - F.col("_in")).alias("_below"), "_values",
-        )
-        if step + 1 >= passes:
-            targets = materialize(targets, "quantis")
-            if (targets.agg(F.max("_values")).first()[0] or 0) <= most:
-                break
-            targets = targets.drop("_values")
-        else:
-            targets = targets.drop("_values")
-    inside = targets.join(counts, group).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    w = Window.partitionBy(*ident).orderBy("_v")
-    ranked = inside.withColumn("_upto", F.sum("_n").over(w) + F.col("_below"))
-    at_rank = ranked.where(
-        (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
-    )
+            (F.col("_upto") - F.col("_in")).alias("_below"),
+        ), "quantis")
+        if targets.where("_lo < _hi").isEmpty():
+            break
+    at_rank = targets.withColumn("_v", F.col("_lo"))
     pair = at_rank.groupBy(*group, "_p").agg(
         F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_a"),
         F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_b"),

@@ -47,9 +47,10 @@ def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 def ingest(spark: SparkSession, folder: str, table: str, log_path: str, run_ts: str, min_anomes: str = "") -> DataFrame:
     """Load the files of ``folder`` not loaded yet into ``table`` (partitioned by month) and log them.
 
-    Lines that do not fit go to ``<table>_rejeitadas``; a file with such lines is logged as ``erro`` with their
-    number, its good lines load, and the other files are unaffected. Returns the log rows written. Rows are
-    appended before they are logged, and appending skips known keys, so a run that dies can be repeated.
+    Lines that do not fit go to ``<table>_rejeitadas``, once for each state of a file; a file with such lines, or without
+    a header, is logged as ``erro`` and tried again by the next run. Its good lines load and the other files are
+    unaffected. Returns the log rows written. Rows are appended before they are logged, and appending skips known
+    keys and files whose rejects are known, so a run that dies can be repeated.
     """
     found = src.discover(spark, folder, min_anomes=min_anomes)
     log = table_or_none(spark, log_path)
@@ -57,23 +58,29 @@ def ingest(spark: SparkSession, folder: str, table: str, log_path: str, run_ts:
     paths = [r.arquivo_path for r in todo.select("arquivo_path").toLocalIterator()]
     if not paths:
         return spark.createDataFrame([], S.CSV_LOG_SCHEMA)
+    kinds = materialize(src.classify(spark, paths), "cabecalhos")
     # Staged once: the text is parsed a single time for rows, bad lines and counts.
-    rows = materialize(src.read_outage_files(spark, paths), "staged")
-    bad = src.bad_rows(rows)
+    rows = materialize(src.read_outage_files(spark, paths, kinds=kinds), "staged")
     good = src.good_rows(rows).drop("snapshot_ts")
-    existing = table_or_none(spark, table)
-    append_rows(new_rows(good.drop("arquivo_path"), existing).drop("arquivo_nome"), table)
+    append_rows(new_rows(good.drop("arquivo_path"), table_or_none(spark, table)).drop("arquivo_nome"), table)
+
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/").alias("_p")
+    todo = todo.withColumn("_p", plain("arquivo_path"))
+    bad = src.bad_rows(rows).select(plain("arquivo_path"), "linha").join(todo.select("_p", *src.FILE_KEY), "_p").drop("_p")
+    known = table_or_none(spark, table + "_rejeitadas")
+    if known is not None:
+        bad = bad.join(known.select(*src.FILE_KEY).distinct(), src.FILE_KEY, "left_anti")
     append_log(bad.withColumn("processado_em", F.lit(run_ts)), table + "_rejeitadas")
 
-    counts = rows.groupBy(F.regexp_replace("arquivo_path", "^file:/+", "/").alias("_p")).agg(
-        F.count("*").alias("linhas_lidas"), F.count(src.BAD).alias("_bad")
-    )
-    entries = todo.withColumn("_p", F.regexp_replace("arquivo_path", "^file:/+", "/")).join(counts, "_p", "left").select(
+    counts = rows.groupBy(plain("arquivo_path")).agg(F.count("*").alias("linhas_lidas"), F.count(src.BAD).alias("_bad"))
+    nameless = src.headerless(kinds).select(plain("arquivo_path"), F.lit(True).alias("_nameless"))
+    entries = todo.join(counts, "_p", "left").join(nameless, "_p", "left").select(
         "arquivo_path", "arquivo_nome", "arquivo_tamanho_bytes", "arquivo_modificado_em", "anomes",
         F.lit(run_ts).alias("processado_em"),
-        F.when(F.col("_bad") > 0, F.lit("erro")).otherwise(F.lit("processado")).alias("status"),
+        F.when((F.col("_bad") > 0) | F.col("_nameless"), F.lit("erro")).otherwise(F.lit("processado")).alias("status"),
         F.coalesce("linhas_lidas", F.lit(0)).cast("long").alias("linhas_lidas"),
-        F.when(F.col("_bad") > 0, F.concat(F.col("_bad").cast("string"), F.lit(" linhas rejeitadas"))).alias("mensagem_erro"),
+        F.when(F.col("_nameless"), F.lit("sem cabecalho")).when(
+            F.col("_bad") > 0, F.concat(F.col("_bad").cast("string"), F.lit(" linhas rejeitadas"))).alias("mensagem_erro"),
     )
     append_log(entries, log_path)
     return src.read_log_rows(spark, log_path, run_ts)

@@ -126,6 +126,28 @@ def same_row_count(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def publish_rewrite(spark: SparkSession, path: str, change) -> dict:
+    """Rewrite the table at ``path`` as ``change`` of it, if no row is lost or gained.
+
+    The new state is written beside the table and its rows are counted; only then is the old one moved away (to
+    ``<path>.anterior``, the copy kept of the last rewrite) and the new one put in its place. Returns the two counts, whether they
+    agree and ``status``: ``atualizado`` or ``erro``, in which case the table is as it was.
+    """
+    beside, before_path = f"{path}.novo", f"{path}.anterior"
+    change(spark.read.parquet(path)).write.mode("overwrite").parquet(beside)
+    counts = same_row_count(spark.read.parquet(path), spark.read.parquet(beside)).first().asDict()
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not counts["igual"]:
+        fs.delete(place(beside), True)
+        return counts | {"status": "erro"}
+    fs.delete(place(before_path), True)
+    if not (fs.rename(place(path), place(before_path)) and fs.rename(place(beside), place(path))):
+        raise OSError(f"{path}: the new state is at {beside}, the old one at {path} or {before_path}")
+    spark.catalog.refreshByPath(path)
+    return counts | {"status": "atualizado"}
+
+
 # ------------------------------------------------------------------------------------ closing track
 
 CLOSING_FORMATS = (DMY, ISO, DMY_MINUTE, ISO_MINUTE)

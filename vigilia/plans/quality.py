@@ -11,7 +11,7 @@ from ..functions.text import (
 )
 from ..functions.time import dmy_text, iso_text, minute_boundaries, parse_ts, plus_hours
 from ..operators.intervals import best_container, contained, overlap_pairs, overlaps_other, trim_partial
-from ..operators.relational import stack
+from ..operators.relational import first_per_key, stack
 from ..session import materialize
 
 
@@ -512,6 +512,26 @@ def list_negative_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def largest_gap_first(key: list[str]) -> list[Column]:
+    """Listing order of negative rows: the largest gap first, then the key."""
+    return [F.desc(F.abs("duracao_minutos")), *[F.asc_nulls_last(c) for c in key]]
+
+
+def largest_impact_first(listing: DataFrame) -> list[Column]:
+    """Listing order of contained records: the largest impact first, then customer and start, then the record."""
+    order = [F.desc_nulls_last("chi_reduzido_estimado"), F.asc_nulls_last("num_uc_uci"), F.asc_nulls_last("data_inicio_uc")]
+    return order + [F.asc_nulls_last(c) for c in ("chave_registro",) if c in listing.columns]
+
+
+def first_per_event(page: DataFrame, order: list, event: str = "NUM_SEQ_INTRP", duration: str = "duracao_minutos",
+                    shortest: float | None = None, longest: float | None = None) -> DataFrame:
+    """The first row of each event of a page in ``order``, of rows whose duration is known and within the bounds."""
+    rows = page.where(F.col(duration).isNotNull() & blank_to_null(event).isNotNull())
+    rows = rows if shortest is None else rows.where(F.col(duration) >= shortest)
+    rows = rows if longest is None else rows.where(F.col(duration) <= longest)
+    return first_per_key(rows, [event], order)
+
+
 def list_device_pairs(df: DataFrame) -> DataFrame:
     """Overlapping events of a device: the event to reject next to the one it overlaps."""
     return device_pairs(device_events(df)).select(

@@ -42,6 +42,15 @@ def _company(label: str) -> Column:
     return F.when(F.grouping(label) == 1, F.lit(S.COMPANY)).otherwise(F.col(label))
 
 
+def with_region(ucs: DataFrame, localities: DataFrame, sections: DataFrame, regions: DataFrame,
+                local: str = "cod_local", section: str = "cod_seccional", region: str = "cod_regional") -> DataFrame:
+    """Customers with the columns of their locality, its section and the section's region; unknown ones stay, with nulls.
+
+    Each dimension has one row per code, under the column that the level below refers to it by.
+    """
+    return ucs.join(localities, local, "left").join(sections, section, "left").join(regions, region, "left")
+
+
 def consumers_by_region(ucs: DataFrame) -> DataFrame:
     """UCs, urban, rural and reference values by region with the company total.
 

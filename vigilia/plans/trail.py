@@ -64,7 +64,7 @@ class Trail:
             try:
                 done[step] = work[step]()
             except Exception as error:
-                self.log(step, "erro", str(error)[:500])
+                self.log(step, "erro", str(error))
                 raise
             self.log(step, "sucesso")
         return done

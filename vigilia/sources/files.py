@@ -100,33 +100,48 @@ def read_group(spark: SparkSession, paths: list[str], columns: list[str], encodi
     if mode == "PERMISSIVE":
         fields.append(T.StructField(BAD, T.StringType()))
     reader = spark.read.schema(T.StructType(fields)).options(
-        sep=S.CSV_SEPARATOR, header=True, mode=mode, encoding="UTF-8" if encoding == "utf-8" else "ISO-8859-1"
+        sep=S.CSV_SEPARATOR, header=True, mode=mode, encoding="UTF-8" if encoding == "utf-8" else "ISO-8859-1", enforceSchema=mode != "FAILFAST"
     )
     if mode == "PERMISSIVE":
-        reader = reader.option("columnNameOfCorruptRecord", BAD)
+        # Without pruning every column is parsed, so that the mark of a bad line does not depend on what is selected.
+        reader = reader.options(columnNameOfCorruptRecord=BAD, columnPruning=False)
     rows = reader.csv(paths)
     value = lambda c: F.nullif(F.translate(c, LATIN1_C1, CP1252_C1) if encoding == "cp1252" else F.col(c), F.lit(" "))
+    # Spark refuses to read the mark of a bad line alone, so it refers to a column as well; no text is shorter than nothing.
+    mark = F.coalesce(F.col(BAD), F.when(F.length(columns[0]) < 0, F.col(columns[0]))).alias(BAD) if mode == "PERMISSIVE" else None
     return rows.select(
-        *[value(c).alias(c) for c in columns], *([BAD] if mode == "PERMISSIVE" else []),
+        *[value(c).alias(c) for c in columns], *([] if mark is None else [mark]),
         F.col("_metadata.file_path").alias("arquivo_path"),
     )
 
 
-def read_outage_files(spark: SparkSession, paths: list[str], mode: str = "PERMISSIVE") -> DataFrame:
+def header_names(line: str) -> tuple[str, ...]:
+    return tuple(n.strip().lstrip("\ufeff") for n in line.split(S.CSV_SEPARATOR))
+
+
+def read_outage_files(spark: SparkSession, paths: list[str], mode: str = "PERMISSIVE", kinds: DataFrame | None = None) -> DataFrame:
     """Raw rows of many files: per header and encoding one read, stacked by name; absent columns are null.
 
-    What reaches the driver is one line per file: its path, header and encoding.
+    A file without a header that names the record key has no rows here (``headerless`` lists those), and the others are
+    unaffected. What reaches the driver is one line per file: its path, header and encoding. ``kinds`` is ``classify`` of
+    the paths, where it is known already.
     """
     groups: dict[tuple, list[str]] = {}
-    for row in classify(spark, paths).toLocalIterator():
-        if row.cabecalho is None:
-            raise ValueError(f"no header with the record key in {row.arquivo_path}")
-        names = tuple(n.strip().lstrip("﻿") for n in row.cabecalho.split(S.CSV_SEPARATOR))
-        groups.setdefault((names, row.encoding), []).append(row.arquivo_path)
+    for row in (classify(spark, paths) if kinds is None else kinds).toLocalIterator():
+        if row.cabecalho is not None:
+            groups.setdefault((header_names(row.cabecalho), row.encoding), []).append(row.arquivo_path)
     frames = [read_group(spark, files, list(names), enc, mode) for (names, enc), files in sorted(groups.items())]
+    if not frames:
+        bad = f", {BAD} string" if mode == "PERMISSIVE" else ""
+        frames = [spark.createDataFrame([], ", ".join(f"{c} string" for c in S.RECORD_KEY) + bad + ", arquivo_path string")]
     return with_file_columns(stack(*frames))
 
 
+def headerless(kinds: DataFrame) -> DataFrame:
+    """Files (of ``classify``) in which no line names the record key; a file without lines is not among them."""
+    return kinds.where("cabecalho IS NULL").select("arquivo_path")
+
+
 def with_file_columns(rows: DataFrame) -> DataFrame:
     """Month, stamp, region and name of the file a row came from."""
     name = file_name(F.col("arquivo_path"))
@@ -154,13 +169,23 @@ def read_months(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
+def first_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The first line of each file of a folder."""
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("arquivo_path"), F.col("_metadata.file_block_start").alias("_start"))
+    # Rows of a file's first block are numbered in their order within the task that reads it.
+    numbered = lines.where("_start = 0").withColumn("_n", F.monotonically_increasing_id())
+    return numbered.groupBy("arquivo_path").agg(F.min_by("value", "_n").alias("cabecalho"))
+
+
 def read_closing(spark: SparkSession, folder: str) -> DataFrame:
-    """Closing files: bad lines fail the read; the file name is kept."""
-    columns = spark.read.options(sep=S.CSV_SEPARATOR, header=True).csv(folder).columns
-    fields = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(fields).options(sep=S.CSV_SEPARATOR, header=True, mode="FAILFAST").csv(folder).select(
-        "*", F.col("_metadata.file_name").alias("arquivo_origem")
-    )
+    """Closing files, each read by its own header and stacked by name; bad lines fail the read; the file name is kept."""
+    groups: dict[tuple, list[str]] = {}
+    for row in first_lines(spark, folder).toLocalIterator():
+        groups.setdefault(header_names(row.cabecalho), []).append(row.arquivo_path)
+    if not groups:
+        raise ValueError(f"no closing file in {folder}")
+    frames = [read_group(spark, files, list(names), mode="FAILFAST") for names, files in sorted(groups.items())]
+    return stack(*frames).withColumn("arquivo_origem", file_name(F.col("arquivo_path"))).drop("arquivo_path")
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, properties: dict | None = None, partition: dict | None = None,
@@ -242,8 +267,19 @@ def without_month(log: DataFrame, anomes: str) -> DataFrame:
     return log.where(F.coalesce(F.col("anomes"), F.lit("")) != anomes)
 
 
-def latest_log_row(log: DataFrame, anomes: str, moment: str = "processado_em") -> DataFrame:
-    return log.where(F.col("anomes") == anomes).orderBy(F.desc_nulls_last(moment)).limit(1)
+def _newest_first(log: DataFrame, moments: tuple[str, ...]) -> list[Column]:
+    """Order of a log from its newest row, by the first moment a row has; equal moments by the other columns."""
+    return [F.desc_nulls_last(F.coalesce(*[F.col(m).cast("string") for m in moments])), *[F.asc_nulls_last(c) for c in sorted(set(log.columns) - set(moments))]]
+
+
+def latest_log_row(log: DataFrame, anomes: str, moments: tuple[str, ...] = ("processado_em",)) -> DataFrame:
+    """The newest log row of a month; ``moments``: end and start, say, where a row may lack the first."""
+    return log.where(F.col("anomes") == anomes).orderBy(*_newest_first(log, moments)).limit(1)
+
+
+def log_tail(log: DataFrame, n: int, moments: tuple[str, ...] = ("processado_em",)) -> DataFrame:
+    """The newest ``n`` log rows, newest first."""
+    return log.orderBy(*_newest_first(log, moments)).limit(n)
 
 
 def read_log_rows(spark: SparkSession, path: str, run_ts: str) -> DataFrame:
