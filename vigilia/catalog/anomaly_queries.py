@@ -96,16 +96,18 @@ def distance_to_history(t):
         "event_id", F.round("z_valor", 5).alias("z_valor"), F.round("distancia", 5).alias("distancia"))
 
 
-_SNAP = """old AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'P')),
-new AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 20 = 3 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 30 = 3 THEN NULL ELSE o_orderpriority END AS p
-  FROM orders WHERE NOT (o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'))"""
+_SNAP = """old AS (SELECT CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders),
+new AS (SELECT CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END AS k, CASE WHEN o_orderkey % 20 = 3 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 30 = 3 THEN NULL ELSE o_orderpriority END AS p
+  FROM orders)"""
 
 
 def _snapshots(t):
     k = F.col("o_orderkey")
-    old = t.orders.where("NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'P')").select(k.alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
-    new = t.orders.where("NOT (o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')").select(
-        k.alias("k"), F.when(k % 20 == 3, F.lit("X")).otherwise(F.col("o_orderstatus")).alias("s"), F.when(k % 30 != 3, F.col("o_orderpriority")).alias("p"))
+    # A row whose key changes between the states has left under the one and come under the other.
+    other = lambda priority: F.when((F.col("o_orderpriority") == priority) & (F.col("o_orderstatus") == "P"), -k).otherwise(k).alias("k")
+    old = t.orders.select(other("5-LOW"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
+    new = t.orders.select(
+        other("1-URGENT"), F.when(k % 20 == 3, F.lit("X")).otherwise(F.col("o_orderstatus")).alias("s"), F.when(k % 30 != 3, F.col("o_orderpriority")).alias("p"))
     return old, new
 
 
@@ -120,7 +122,7 @@ def snapshot_diff(t):
     return A.snapshot_diff(old, new, ["k"], ["s", "p"])
 
 
-@query("effect_of_proposal", B.with_(_SNAP, """prop AS (SELECT o_orderkey AS k, 'X' AS s, o_orderpriority AS p FROM orders WHERE o_orderstatus <> 'O')""") + """
+@query("effect_of_proposal", B.with_(_SNAP, """prop AS (SELECT o_orderkey AS k, 'X' AS s, o_orderpriority AS p FROM orders)""") + """
 SELECT pr.k, o.s AS s_original, pr.s AS s_proposto, n.s AS s_efetivado,
        CASE WHEN n.k IS NULL THEN 'NAO_ENCONTRADO' WHEN pr.s IS NOT DISTINCT FROM n.s AND pr.p IS NOT DISTINCT FROM n.p THEN 'IGUAL'
             WHEN pr.s IS DISTINCT FROM n.s AND pr.p IS DISTINCT FROM n.p THEN 'DIVERGENTE' ELSE 'PARCIALMENTE_EFETIVADO' END AS resultado
@@ -128,7 +130,7 @@ FROM prop pr LEFT JOIN old o ON o.k = pr.k LEFT JOIN new n ON n.k = pr.k""")
 def effect_of_proposal(t):
     """DOC-10: original, proposed and effective values with the outcome."""
     old, new = _snapshots(t)
-    prop = t.orders.where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("k"), F.lit("X").alias("s"), F.col("o_orderpriority").alias("p"))
+    prop = t.orders.select(F.col("o_orderkey").alias("k"), F.lit("X").alias("s"), F.col("o_orderpriority").alias("p"))
     return A.effect_of_proposal(old, prop, new, ["k"], ["s", "p"]).select("k", "s_original", "s_proposto", "s_efetivado", "resultado")
 
 

@@ -182,15 +182,17 @@ def month_window(t):
 
 
 _LOG_SQL = """log AS (
-  SELECT CAST(100000 + o_orderkey AS VARCHAR) AS i, 'P' || CAST(l_partkey % 50 AS VARCHAR) AS p, CAST(l_partkey AS VARCHAR) AS u,
+  SELECT CASE WHEN l_quantity > 20 THEN CAST(100000 + o_orderkey AS VARCHAR) ELSE 'sem' END AS i, 'P' || CAST(l_partkey % 50 AS VARCHAR) AS p, CAST(l_partkey AS VARCHAR) AS u,
          CASE l_linenumber % 3 WHEN 0 THEN 'validado' WHEN 1 THEN 'rejeitado' ELSE NULL END AS status,
          l_shipdate AS momento, l_returnflag AS usuario
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 20)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def _log(t):
-    rows = t.lineitem.where("l_quantity > 20").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    key = F.concat_ws("|", (F.col("o_orderkey") + 100000).cast("string"), F.concat(F.lit("P"), (F.col("l_partkey") % 50).cast("string")),
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # Decisions about small quantities belong to no record of the table.
+    known = F.when(F.col("l_quantity") > 20, (F.col("o_orderkey") + 100000).cast("string")).otherwise(F.lit("sem"))
+    key = F.concat_ws("|", known, F.concat(F.lit("P"), (F.col("l_partkey") % 50).cast("string")),
                       F.col("l_partkey").cast("string"))
     return rows.select(
         key.alias("chave_registro"),
@@ -221,12 +223,12 @@ def billed_semi(t):
 
 
 @query("decisions_log", """
-WITH k AS (SELECT DISTINCT CAST(user_id AS VARCHAR) || '|' || event_type AS chave_registro FROM events WHERE value > 100)
+WITH k AS (SELECT DISTINCT CAST(user_id AS VARCHAR) || '|' || event_type AS chave_registro FROM events)
 SELECT chave_registro, 'rejeitar' AS acao, 'rejeitado' AS status_validacao, false AS validado, 'aplicado' AS status, 'ana' AS usuario,
        'fora da regra' AS justificativa FROM k""")
 def decisions_log(t):
     """PIP-29: a batch of decisions and the change-log rows it sets."""
-    keys = t.events.where("value > 100").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("chave_registro"))
+    keys = t.events.select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("chave_registro"))
     rows = deploy.register_decisions(keys, "202401", "sobreposicao_uc", "rejeitar", " fora da regra ", "ana", "gestor", B.RUN_TS)
     return deploy.governance_entries(rows).select("chave_registro", "acao", "status_validacao", "validado", "status", "usuario", "justificativa")
 

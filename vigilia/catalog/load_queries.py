@@ -150,8 +150,8 @@ def manifest(t):
 # ------------------------------------------------------------------------------------ logs of files
 
 _FILES = """log AS (
-  SELECT 'f/' || user_id || '/' || event_type || '.csv' AS p, CASE WHEN event_id % 7 = 0 THEN 'erro' WHEN event_id % 11 = 0 THEN '' ELSE 'processado' END AS s,
-         strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS m, event_id % 3 AS size FROM events WHERE event_type <> 'signup'),
+  SELECT CASE WHEN event_type = 'signup' THEN 'g/' ELSE 'f/' END || user_id || '/' || event_type || '.csv' AS p, CASE WHEN event_id % 7 = 0 THEN 'erro' WHEN event_id % 11 = 0 THEN '' ELSE 'processado' END AS s,
+         strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS m, event_id % 3 AS size FROM events),
 fl AS (SELECT DISTINCT 'f/' || user_id || '/' || event_type || '.csv' AS p, event_type, user_id FROM events),
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY m DESC, s) AS rn FROM log) WHERE rn = 1)"""
 
@@ -160,8 +160,10 @@ def _file_tables(t):
     path = F.concat(F.lit("f/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"), F.lit(".csv"))
     found = t.events.select(path.alias("arquivo_path"), path.alias("arquivo_nome"), F.concat(F.lit("20240"), (F.col("user_id") % 9 + 1).cast("string")).alias("anomes")).distinct()
     status = F.when(F.col("event_id") % 7 == 0, F.lit("erro")).when(F.col("event_id") % 11 == 0, F.lit("")).otherwise(F.lit("processado"))
-    log = t.events.where("event_type <> 'signup'").select(
-        path.alias("arquivo_path"), path.alias("arquivo_nome"), status.alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("processado_em"),
+    # Files of one kind are logged under another folder, so none of their entries is found.
+    logged = F.when(F.col("event_type") == "signup", F.regexp_replace(path, "^f", "g")).otherwise(path)
+    log = t.events.select(
+        logged.alias("arquivo_path"), logged.alias("arquivo_nome"), status.alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("processado_em"),
         (F.col("event_id") % 3).alias("arquivo_tamanho_bytes"), F.lit(None).cast("timestamp").alias("arquivo_modificado_em"), F.lit(None).cast("long").alias("linhas_lidas"))
     return found, log
 

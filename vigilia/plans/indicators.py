@@ -316,13 +316,14 @@ def assess_ci_chi(events: DataFrame, uc_rows: DataFrame, billed: DataFrame, cons
     ``consumers``: one row per region (``regional, consumidores, mes``).
     """
     events = classify_events(with_origin(events))
-    rows = dedup_uc_rows(classify_uc_rows(typed_uc_rows(with_origin(uc_rows))), tiebreak)
-    wanted = billed_list(billed)
-    # Merging per UC and then keeping billed UCs equals keeping them first, and merges less. The rows are stored
-    # because two merges, each with its own key, read them.
+    rows = classify_uc_rows(typed_uc_rows(with_origin(uc_rows)))
+    if set(S.RECORD_KEY) <= set(rows.columns):
+        rows = rows.withColumn("NUM_UC_UCI", F.coalesce(F.trim(text("NUM_UC_UCI")), F.lit("")))
+    # The UC is part of the key of the dedup and of the merge, so keeping billed UCs first gives the same rows and
+    # shuffles fewer. The rows are stored because two merges, each with its own key, read them.
+    rows = dedup_uc_rows(rows.join(billed_list(billed), "NUM_UC_UCI", "left_semi"), tiebreak)
     rows = materialize(rows.select(
-        "arquivo_origem", "NUM_UC_UCI", "DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP", "is_expurgo", "is_area_i"
-    ).join(wanted, "NUM_UC_UCI", "left_semi"), "ci-chi")
+        "arquivo_origem", "NUM_UC_UCI", "DTHR_INICIO_INTRP_UC", "DATA_HORA_FIM_INTRP", "is_expurgo", "is_area_i"), "ci-chi")
     per_origin, overall = merged_periods(rows, True), merged_periods(rows, False)
 
     # One row per (origin, class, occurrence, event) before anything is counted distinct, for both levels.
