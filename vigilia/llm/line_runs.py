@@ -130,21 +130,21 @@ def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int)
     repeated = materialize(runs.repeated(min_docs), "repeated-lines")
     runs.release()
     gone = lines.join(repeated, KEY).where(F.col("doc_id") != F.col("keeper"))
-    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("gone_places"))  # the lines of one document
+    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("_gone_places"))  # the lines of one document
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """``docs`` with ``text`` reduced to the kept lines, and the counts ``n_lines`` and ``n_dropped`` (they replace columns of that name)."""
     gone = dropped_lines(docs.select("doc_id", "text"), min_chars, min_docs, batches)
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone_places")
-    joined = docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (text_hash(docs["text"]) == gone["gone_hash"]), "left")
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), "_gone_places")
+    joined = docs.join(gone, (docs["doc_id"] == gone["_gone_id"]) & (text_hash(docs["text"]) == gone["_gone_hash"]), "left")
     lines = text_lines(docs["text"])
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone_places"))
-    kept = F.when(F.col("gone_places").isNull(), F.coalesce(docs["text"], F.lit(""))).otherwise(
-        F.array_join(F.transform(left, lambda i: F.get("line_list", i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone_places"))
+    kept = F.when(F.col("_gone_places").isNull(), F.coalesce(docs["text"], F.lit(""))).otherwise(
+        F.array_join(F.transform(left, lambda i: F.get("_line_list", i)), "\n"))
     others = [docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    counted = joined.withColumn("line_list", lines).select(
-        *others, kept.alias("text"), F.size("line_list").cast("long").alias("n_lines"), F.coalesce(F.size("gone_places"), F.lit(0)).cast("long").alias("n_dropped"))
+    counted = joined.withColumn("_line_list", lines).select(
+        *others, kept.alias("text"), F.size("_line_list").cast("long").alias("n_lines"), F.coalesce(F.size("_gone_places"), F.lit(0)).cast("long").alias("n_dropped"))
     return counted
 
 
