@@ -13,7 +13,7 @@ from ..session import work_path
 from ..sources import files, sinks
 from ..streaming import ingest as live
 from . import relations as B
-from .quality_queries import FMT
+from .quality_queries import FMT, UCCONT, UCROWS, UCTRIM
 from .registry import query
 
 KEYS = ", ".join(S.RECORD_KEY)
@@ -321,3 +321,22 @@ def run_trail(t):
     root = work_path(t.spark, "trail")
     done = trail.run_trail(t.spark, B.raw(t), root, "202402", B.RUN_TS, tiebreak=B.TIEBREAK, targets=B.targets(t), vrc=B.vrcs(t), billed=B.billed(t), billed_counts=B.official(t))
     return stack(*[df.agg(F.count("*").alias("linhas")).select(F.lit(step).alias("etapa"), "linhas") for step, df in done.items()])
+
+
+_APU91 = """apu91 AS (
+  SELECT * REPLACE (CASE WHEN NUM_INTRP_UCI || '|' || NUM_POSTO_UCI || '|' || NUM_UC_UCI IN (SELECT chave_registro FROM uccont WHERE chave_registro IS NOT NULL)
+                         THEN '91' ELSE NUM_MOTIVO_TRAT_DIF_UCI END AS NUM_MOTIVO_TRAT_DIF_UCI) FROM apu)"""
+_OVERLAPS = B.with_(B.RAW, B.UNI, _APU, _on(UCROWS), UCCONT, _APU91, _on(UCROWS, "apu91").replace("ucrows", "ucrows2"),
+                    UCTRIM.replace("ucrows", "ucrows2"))
+
+
+@query("run_trail_overlaps", _OVERLAPS + f"""
+SELECT NUM_INTRP_UCI, NUM_POSTO_UCI, NUM_UC_UCI, NUM_MOTIVO_TRAT_DIF_UCI AS motivo, coalesce(c.seq_origem, NUM_INTRP_INIC_MANOBRA_UCI) AS manobra,
+       strftime(coalesce(date_trunc('second', c.fim_origem), {B.INI_UC}), {FMT}) AS inicio_uc
+FROM apu91 LEFT JOIN uctrim c ON c.chave_registro = NUM_INTRP_UCI || '|' || NUM_POSTO_UCI || '|' || NUM_UC_UCI""")
+def run_trail_overlaps(t):
+    """PIP-32 with both UC-overlap steps: the assessed month after classification and trimming, each deployed to it."""
+    work = trail.Trail(t.spark, work_path(t.spark, "trail-overlaps"), "202402", B.RUN_TS)
+    work.run(B.raw(t), B.targets(t), tiebreak=B.TIEBREAK, steps=["uniao", "apuracao", "sobreposicao_uc", "sobreposicao_uc_fase2"])
+    return work.read("apuracao").select(
+        *S.RECORD_KEY, F.col("NUM_MOTIVO_TRAT_DIF_UCI").alias("motivo"), F.col("NUM_INTRP_INIC_MANOBRA_UCI").alias("manobra"), iso_text(B.INI_UC).alias("inicio_uc"))
