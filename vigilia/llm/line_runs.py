@@ -125,10 +125,12 @@ def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int)
     batch = reduce(lambda n, b: n + F.when(F.col("doc_id") <= F.lit(int(b)), 1).otherwise(0), sorted(set(bounds)), F.lit(0))
     lines = materialize(line_hashes(docs, min_chars).withColumn("batch", batch), "lines", ["batch"])
     runs = LineRuns(spark)
-    for k in range(len(set(bounds)) + 1):
-        runs.add(lines.where(F.col("batch") == k))
-    repeated = materialize(runs.repeated(min_docs), "repeated-lines")
-    runs.release()
+    try:
+        for k in range(len(set(bounds)) + 1):
+            runs.add(lines.where(F.col("batch") == k))
+        repeated = materialize(runs.repeated(min_docs), "repeated-lines")
+    finally:
+        runs.release()
     gone = lines.join(repeated, KEY).where(F.col("doc_id") != F.col("keeper"))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("_gone_places"))  # the lines of one document
 

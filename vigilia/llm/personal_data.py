@@ -49,7 +49,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-NUMBER = re.compile(r"(?<![A-Za-z0-9_=/\"'.+-])\+?\(?[0-9](?:[ ().-]{0,2}[0-9])*+(?![A-Za-z0-9_=/\"'])")
+# Two card numbers side by side have 38 digits; longer rows of numbers are tables, and a bound keeps the search linear in them.
+NUMBER = re.compile(r"(?<![A-Za-z0-9_=/\"'.+-])\+?\(?[0-9](?:[ ().-]{0,2}[0-9]){6,47}+(?![A-Za-z0-9_=/\"'])")
 SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@| ?[\[(]at[\])] ?)[A-Za-z0-9-]++(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]++)*+", re.I)
 #: A space between two numbers that are long enough to stand alone.
 BESIDE = re.compile(r"(?<=[0-9]{7}) (?=[0-9]{7})")
