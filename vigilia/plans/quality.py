@@ -121,18 +121,6 @@ def uc_contained(df: DataFrame) -> DataFrame:
     )
 
 
-def missing_code_events(df: DataFrame) -> DataFrame:
-    rows = df.withColumn("num_seq", event_number(df)).where(
-        (is_blank("COD_CAUSA_INTRP") | is_blank("COD_COMP_INTRP")) & F.col("num_seq").isNotNull()
-    )
-    return rows.groupBy("num_seq").agg(
-        F.max(text("NUM_OPER_CHV_INTRP")).alias("num_oper_chv_intrp"),
-        F.max(text("REGIONAL_ORIGEM")).alias("regional_origem"),
-        F.max(text("COD_CAUSA_INTRP")).alias("cod_causa"), F.max(text("COD_COMP_INTRP")).alias("cod_comp"),
-        F.count("*").alias("qtd_ucs_afetadas"),
-    )
-
-
 # ---------------------------------------------------------------------------------------- the queue
 
 
@@ -148,15 +136,44 @@ def _issue(df: DataFrame, run_ts: str, **columns) -> DataFrame:
     ])
 
 
+def event_facts(df: DataFrame) -> DataFrame:
+    """One row per event and device with what each event rule needs: negative time, overlap on the device, missing codes.
+
+    The facts of a rule are over the rows it concerns, ``n_<rule>`` of them.
+    """
+    rows = df.withColumns({"_ini": _ini(df), "_fim": _fim(df), "num_seq": event_number(df)}).where(F.col("num_seq").isNotNull())
+    device, area = text("NUM_OPER_CHV_INTRP"), text("REGIONAL_ORIGEM")
+    negative = F.col("_fim") < F.col("_ini")
+    placed = blank_to_null("NUM_OPER_CHV_INTRP").isNotNull() & F.col("_ini").isNotNull() & F.col("_fim").isNotNull()
+    missing = is_blank("COD_CAUSA_INTRP") | is_blank("COD_COMP_INTRP")
+    return rows.groupBy("num_seq", device.alias("device")).agg(
+        F.count_if(negative).alias("n_neg"), F.min(F.when(negative, F.col("_ini"))).alias("neg_ini"), F.min(F.when(negative, F.col("_fim"))).alias("neg_fim"),
+        F.min(F.when(negative, minute_boundaries("_ini", "_fim"))).alias("neg_min"), F.max(F.when(negative, area)).alias("neg_area"),
+        F.count_if(placed).alias("n_dev"), F.min(F.when(placed, F.col("_ini"))).alias("inicio"), F.max(F.when(placed, F.col("_fim"))).alias("fim"),
+        F.coalesce(F.min(F.when(placed, int_or("NUM_SEQ_INTRP"))), F.lit(MAX_SEQ)).alias("ordem"), F.max(F.when(placed, area)).alias("dev_area"),
+        F.count_if(missing).alias("n_cod"), F.max(F.when(missing, text("COD_CAUSA_INTRP"))).alias("cod_causa"),
+        F.max(F.when(missing, text("COD_COMP_INTRP"))).alias("cod_comp"), F.max(F.when(missing, area)).alias("cod_area"),
+    )
+
+
 def issue_queue(df: DataFrame, run_ts: str, suggest_base: str = "inicio") -> DataFrame:
     """The four rules as one queue of 18 text columns.
 
     Negative time and missing codes are one row per event, device overlap one row per (rejected event, event
-    it overlaps), UC overlap one row per contained record.
+    it overlaps), UC overlap one row per contained record. The three event rules share one stored roll-up of the stage.
     """
     seq = F.col("num_seq")
+    facts = materialize(event_facts(df), "fatos")
+    negative_rows = facts.where("n_neg > 0").groupBy("num_seq").agg(
+        F.min("neg_ini").alias("inicio"), F.min("neg_fim").alias("fim"), F.min("neg_min").alias("duracao_minutos"),
+        F.max("device").alias("num_oper_chv_intrp"), F.max("neg_area").alias("regional_origem"), F.sum("n_neg").alias("qtd_ucs_afetadas"))
+    device_rows = facts.where("n_dev > 0").select(
+        "device", "num_seq", "inicio", "fim", "ordem", F.col("dev_area").alias("regional_origem"), F.col("n_dev").alias("qtd_ucs_afetadas"))
+    code_rows = facts.where("n_cod > 0").groupBy("num_seq").agg(
+        F.max("device").alias("num_oper_chv_intrp"), F.max("cod_area").alias("regional_origem"), F.max("cod_causa").alias("cod_causa"),
+        F.max("cod_comp").alias("cod_comp"), F.sum("n_cod").alias("qtd_ucs_afetadas"))
     negative = _issue(
-        negative_events(df), run_ts, regra=F.lit("horario_negativo"), gravidade=F.lit("alta"),
+        negative_rows, run_ts, regra=F.lit("horario_negativo"), gravidade=F.lit("alta"),
         grao=F.lit("NUM_SEQ_INTRP"), chave_evento=seq, chave_registro=seq, num_seq_intrp=seq,
         num_oper_chv_intrp=F.col("num_oper_chv_intrp"), regional_origem=F.col("regional_origem"),
         campo_sugerido=F.lit("DATA_HORA_FIM_INTRP"), valor_original=dmy_text("fim"),
@@ -166,7 +183,7 @@ def issue_queue(df: DataFrame, run_ts: str, suggest_base: str = "inicio") -> Dat
     )
     device_key = F.concat(F.col("device"), F.lit("|"), seq)
     device = _issue(
-        device_pairs(device_events(df)), run_ts, regra=F.lit("sobreposicao_interrupcao"), gravidade=F.lit("alta"),
+        device_pairs(device_rows), run_ts, regra=F.lit("sobreposicao_interrupcao"), gravidade=F.lit("alta"),
         grao=F.lit("NUM_OPER_CHV_INTRP|NUM_SEQ_INTRP"), chave_evento=device_key, chave_registro=device_key,
         num_seq_intrp=seq, num_oper_chv_intrp=F.col("device"), regional_origem=F.col("regional_origem"),
         campo_sugerido=F.lit("NUM_MOTIVO_TRAT_DIF_UCI"), valor_sugerido=F.lit(S.REASON_OVERLAP),
@@ -184,7 +201,7 @@ def issue_queue(df: DataFrame, run_ts: str, suggest_base: str = "inicio") -> Dat
         justificativa_sistema=F.concat(F.lit(S.MSG_UC), F.col("evento_contem")),
     )
     codes = _issue(
-        missing_code_events(df), run_ts, regra=F.lit("sem_causa_componente"), gravidade=F.lit("media"),
+        code_rows, run_ts, regra=F.lit("sem_causa_componente"), gravidade=F.lit("media"),
         grao=F.lit("NUM_SEQ_INTRP"), chave_evento=seq, chave_registro=seq, num_seq_intrp=seq,
         num_oper_chv_intrp=F.col("num_oper_chv_intrp"), regional_origem=F.col("regional_origem"),
         campo_sugerido=F.when(is_blank("cod_causa"), F.lit("COD_CAUSA_INTRP")).otherwise(F.lit("COD_COMP_INTRP")),
