@@ -54,7 +54,7 @@ def second_index(ts) -> Column:
 def microsecond_index(ts) -> Column:
     """Microseconds since 1970-01-01; independent of the session zone."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return second_index(ts) * F.lit(1000000) + F.date_format(ts, "SSSSSS").cast("long")
+    return minute_index(ts) * F.lit(60000000) + (F.date_part(F.lit("SECOND"), ts) * F.lit(1000000)).cast("long")
 
 
 def minute_boundaries(ini, fim) -> Column:

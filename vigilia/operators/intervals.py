@@ -28,7 +28,7 @@ DAY = 86400
 # Widths of the grid join: each grid is so many times as coarse as the one before.
 GRIDS, GRID_STEP = 5, 16
 # Levels of the tree of cells, the ends themselves and the top included, and children of a cell.
-TREE_LEVELS, TREE_STEP = 5, 64
+TREE_LEVELS, TREE_STEP = 4, 256
 
 def _cell(ts, width: int) -> Column:
     return F.floor(second_index(ts) / F.lit(width))
@@ -120,22 +120,26 @@ def overlaps_other(df: DataFrame, key: list[str], ini: str = "inicio", fim: str
     return flagged.unionByName(overlaps_any(df.where(~length), df, key, ini, fim, name, cell))
 
 
-def _island_of_start(df: DataFrame, key: list[str], ini: str, fim: str, cell: int) -> DataFrame:
-    """(key, start) -> ``_ilha``, the start of the merged period."""
-    starts = (
-        df.groupBy(*key, ini).agg(F.max(fim).alias("_end")).withColumn("_cell", _cell(ini, cell))
-    )
-    marked = _running_end(starts, key, ini, "_end").withColumn(
+def _with_island(starts: DataFrame, key: list[str], ini: str, fim: str, cell: int) -> DataFrame:
+    """Add ``_ilha``, the start of the merged period, to rows that are one for each (key, start)."""
+    placed = starts.withColumn("_cell", _cell(ini, cell))
+    marked = _running_end(placed, key, ini, fim).withColumn(
         "_open", F.when(F.col("_prev").isNull() | (F.col(ini) > F.col("_prev")), F.col(ini))
     )
     cells = marked.groupBy(*key, "_cell").agg(F.max("_open").alias("_m"))
     carried = _carry(cells, key, "_m", "_carried", F.asc("_cell"), F.max)
     so_far = Window.partitionBy(*key, "_cell").orderBy(ini).rowsBetween(Window.unboundedPreceding, 0)
     return _join_same(marked, carried, [*key, "_cell"]).select(
-        *key, ini, F.coalesce(F.max("_open").over(so_far), F.col("_carried")).alias("_ilha")
+        *starts.columns, F.coalesce(F.max("_open").over(so_far), F.col("_carried")).alias("_ilha")
     )
 
 
+def _island_of_start(df: DataFrame, key: list[str], ini: str, fim: str, cell: int) -> DataFrame:
+    """(key, start) -> ``_ilha``."""
+    starts = df.groupBy(*key, ini).agg(F.max(fim).alias("_end"))
+    return _with_island(starts, key, ini, "_end", cell).drop("_end")
+
+
 def islands(df: DataFrame, key: list[str], ini: str = "inicio", fim: str = "fim", flags: tuple = (),
             per: tuple = (), cell: int = DAY) -> DataFrame:
     """Merge overlapping or touching intervals of a key into periods.
@@ -149,8 +153,10 @@ def islands(df: DataFrame, key: list[str], ini: str = "inicio", fim: str = "fim"
     pieces = rows.groupBy(*key, *per, ini).agg(
         F.max(fim).alias(fim), *[F.max(f).alias(f) for f in flags], F.count("*").alias("linhas")
     )
+    # Without further classes a piece is the only one of its start and is labelled as it is.
+    labelled = _join_same(pieces, _island_of_start(pieces, key, ini, fim, cell), [*key, ini]) if per else _with_island(pieces, key, ini, fim, cell)
     return (
-        _join_same(pieces, _island_of_start(pieces, key, ini, fim, cell), [*key, ini])
+        labelled
         .groupBy(*key, *per, F.col("_ilha").alias("ilha"))
         .agg(
             F.min(ini).alias(ini), F.max(fim).alias(fim), *[F.max(f).alias(f) for f in flags],
@@ -219,8 +225,12 @@ def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: s
     if once:
         own, rows = F.lit(False), stepped.withColumn("_alt", F.col("_step"))
     else:
-        stepped = materialize(stepped, "contidos")  # read for the rows and for those that need the search, mostly none
-        rows = _search_others(df, stepped.where(own), key, event, order, ini, fim, ident, cell, backwards, stepped)
+        # Stored: whether any row needs the search is known before it is planned, and mostly none does.
+        stepped = materialize(stepped, "contidos")
+        if stepped.where(own).isEmpty():
+            own, rows = F.lit(False), stepped.withColumn("_alt", F.col("_step"))
+        else:
+            rows = _search_others(df, stepped.where(own), key, event, order, ini, fim, ident, cell, backwards, stepped)
     pick = lambda field: F.when(found, F.col(f"_step.{field}")).when(own, F.col(f"_alt.{field}"))
     return rows.select(
         *df.columns, pick("_re").alias("evento_contem"), pick("_ri").alias("inicio_contem"), pick("_rf").alias("fim_contem"),
