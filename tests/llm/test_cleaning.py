@@ -141,6 +141,25 @@ def test_disguised_words_score_like_plain_ones(spark, toxic_model):
     assert got[1] == got[2] == got[3] == got[4] >= toxicity.THRESHOLD > got[5] == got[6] == got[7]
 
 
+@pytest.mark.parametrize(("noisy", "plain"), [("m 0 r o n", "moron"), ("i d 1 o t", "idiot"), ("a m o r o n", "a moron"), ("m o r o n i d i o t", "moron idiot"),
+                                              ("i i i d i o t", "idiot"), ("1 d ! o t", "idiot")])
+def test_spaced_words_are_restored(toxic_model, noisy, plain):
+    assert toxicity.read(pa.array([f"the {noisy}! was there"])).noisy == [noisy]
+    assert toxicity.restore(noisy, toxic_model.chars) == plain
+
+
+def test_spaced_runs():
+    got = toxicity.read(pa.array(["what an a s s", "I a m o r o n", "A b", "c is 1 2 3 4 and * s h * t ! here", "", "x y"]))
+    assert [(n, int(o)) for n, o in zip(got.noisy, got.owner)] == [("a s s", 0), ("i a m o r o n", 1), ("s h * t", 3)]
+
+
+def test_spaced_words_score_like_plain_ones(spark, toxic_model):
+    texts = ["you are a moron", "you are a m o r o n", "you are a m 0 r o n", "I m o r o n", "you are a moron idiot", "you are a m o r o n i d i o t", "a b c of it"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(rows, toxic_model).collect()}
+    assert got[1] == got[2] == got[3] == got[0] >= toxicity.THRESHOLD > got[6] and got[5] == got[4]
+
+
 def test_toxicity_held_out(spark, toxic_model):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.toxicity(docs, toxic_model).join(labels, "doc_id").where(toxicity.held_out(labels["doc_id"])).select("score", "toxic").collect()

@@ -2,8 +2,10 @@
 
 A character trigram model is counted over the whole corpus. Words that look disguised (look-alike digits and symbols among
 letters, stretched letters, letters set apart by separators or spaces) become lattices: each position may stand for several
-letters, a run for one or two of its letter, a separator between single letters for nothing. The Viterbi path through the
-lattice under the model and the channel's costs is the restored word. Plain words are lattices with one path and stay.
+letters, a run for one or two of its letter, a separator between single letters for nothing. At least three one-character words
+(letters or look-alikes, one of them a letter) of one text side by side are one lattice, in which each space may be a word boundary
+or nothing; four characters of context, counted over the whole corpus too, decide there. The Viterbi path through the lattice under the model and the channel's costs is the restored word, or words. Plain
+words are lattices with one path and stay.
 
 The restored text is scored by a lexicon of words and word beginnings whose log-odds between toxic and other documents are
 surely positive, learned from labelled rows, and a logistic function of its hits. ``held_out`` rows are never learned from.
@@ -17,6 +19,7 @@ null or repeated id too; of a document's repeated labels the largest counts; oth
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -50,6 +53,10 @@ LOOK_ALIKES = {
 SEPARATORS = ".-_*~"
 #: Channel costs: log-probabilities of a look-alike, a stretched letter, a dropped separator, a character kept as it is not a letter.
 SWAPPED, STRETCHED, SET_APART, KEPT = math.log(0.2), math.log(0.5), math.log(0.5), math.log(0.02)
+#: Log-probabilities of a boundary and of nothing at a space between one-character words; the fewest of them that make a lattice.
+PARTED, UNPARTED, LEAST_RUN = math.log(1 / 6), math.log(5 / 6), 3
+#: Words of one letter, and the least share of words that each is given where spaces are read, whatever the corpus holds.
+ALONE, ALONE_SHARE = "ai", 0.01
 
 
 def _table(chars: str) -> np.ndarray:
@@ -67,44 +74,75 @@ APART = _table(SEPARATORS)
 # -- character model ------------------------------------------------------------------------------------------------------------
 
 
-def _trigram_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(N_SYMBOLS**3, np.int64)
-    for _, texts in slices(batches):
-        data, offsets = raw(texts)
-        symbol = SYMBOL[data]
-        if len(symbol) > 2:
-            code = (symbol[:-2] * N_SYMBOLS + symbol[1:-1]) * N_SYMBOLS + symbol[2:]
-            inside = np.ones(len(code), bool)
-            for back in (1, 2):
-                at = offsets[1:-1] - back
-                inside[at[(at >= 0) & (at < len(code))]] = False
-            total += np.bincount(code[inside], minlength=N_SYMBOLS**3)
-    some = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(some), pa.array(total[some])], ["trigram", "n"])
+def _gram_task(sizes: tuple[int, ...]):
+    """Counts of all runs of so many symbols; the codes of each size follow those of the one before."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros(N_SYMBOLS**k, np.int64) for k in sizes]
+        for _, texts in slices(batches):
+            data, offsets = raw(texts)
+            symbol = SYMBOL[data]
+            for k, total in zip(sizes, totals):
+                n = len(symbol) - k + 1
+                if n < 1:
+                    continue
+                code = np.zeros(n, np.int64)
+                for j in range(k):
+                    code = code * N_SYMBOLS + symbol[j : j + n]
+                inside = np.ones(n, bool)
+                for back in range(1, k):
+                    at = offsets[1:-1] - back
+                    inside[at[(at >= 0) & (at < n)]] = False
+                total += np.bincount(code[inside], minlength=len(total))
+        every = np.concatenate(totals)
+        some = np.flatnonzero(every)
+        yield pa.record_batch([pa.array(some), pa.array(every[some])], ["trigram", "n"])
+
+    return run
 
-def trigram_counts(docs: DataFrame) -> DataFrame:
-    """Counts of all character trigrams of ``docs`` (``text``); at most ``N_SYMBOLS ** 3`` rows."""
-    return docs.select("text").mapInArrow(_trigram_task, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
+
+def trigram_counts(docs: DataFrame, sizes: tuple[int, ...] = (3,)) -> DataFrame:
+    """Counts of all character trigrams of ``docs`` (``text``), at most ``N_SYMBOLS ** 3`` rows; or of runs of the given ``sizes``."""
+    return docs.select("text").mapInArrow(_gram_task(sizes), "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
 
 
 class CharModel:
-    """Log-probability of a symbol after two others, from trigram, bigram and single counts."""
+    """Log-probability of a symbol after two others, from trigram, bigram and single counts; and after three, for ``spaced`` words."""
 
-    def __init__(self, counts: np.ndarray) -> None:
+    def __init__(self, counts: np.ndarray, longer: np.ndarray) -> None:
         tri = counts.reshape(N_SYMBOLS, N_SYMBOLS, N_SYMBOLS).astype(float)
+        self.log = np.log(self._after_two(tri)).reshape(-1).tolist()
+        four = longer.reshape([N_SYMBOLS] * 4).astype(float)
+        self._alone(four)
+        four = (four + 5 * self._after_two(four.sum(0))) / (four.sum(3, keepdims=True) + 5)
+        self.spaced = array("f", np.log(four).astype(np.float32).tobytes())
+
+    @staticmethod
+    def _after_two(tri: np.ndarray) -> np.ndarray:
         bi, uni = tri.sum(0), tri.sum((0, 1))
         one = (uni + 1) / (uni.sum() + N_SYMBOLS)
         two = (bi + 5 * one) / (bi.sum(1, keepdims=True) + 5)
-        three = (tri + 5 * two) / (tri.sum(2, keepdims=True) + 5)
-        self.log = np.log(three).reshape(-1).tolist()
+        return (tri + 5 * two) / (tri.sum(2, keepdims=True) + 5)
+
+    @staticmethod
+    def _alone(four: np.ndarray) -> None:
+        """Adds the words of one letter to the counts, before and after what other words stand beside."""
+        before, after = four[:, :, BOUNDARY].sum(2), four[:, BOUNDARY].sum(0)
+        extra = ALONE_SHARE * after.sum()
+        for letter in ALONE if extra else "":
+            z = symbol_of(letter)
+            four[:, :, BOUNDARY, z] += ALONE_SHARE * before
+            four[:, BOUNDARY, z, BOUNDARY] += ALONE_SHARE * before.sum(0)
+            four[BOUNDARY, z, BOUNDARY] += extra * after.sum(1) / after.sum()
+            four[z, BOUNDARY] += extra * after / after.sum()
 
 
 def char_model(docs: DataFrame) -> CharModel:
-    counts = np.zeros(N_SYMBOLS**3, np.int64)
-    for row in trigram_counts(docs).collect():
-        counts[row["trigram"]] = row["n"]
-    return CharModel(counts)
+    sizes = 3, 4
+    counts = np.zeros(sum(N_SYMBOLS**k for k in sizes), np.int64)
+    rows = trigram_counts(docs, sizes).toPandas()
+    counts[rows["trigram"]] = rows["n"]
+    return CharModel(*np.split(counts, [N_SYMBOLS**3]))
 
 
 # -- restoring ------------------------------------------------------------------------------------------------------------------
@@ -115,27 +153,35 @@ def symbol_of(char: str) -> int:
     return int(SYMBOL[code]) if code < 0x80 else BEYOND
 
 
+def stretches(noisy: str) -> tuple[list[int], list[int]]:
+    """For each position where the stretch of its character ends, and how often the character stands in it; spaces between are passed over."""
+    n = len(noisy)
+    end, size = list(range(1, n + 1)), [1] * n
+    for i in range(n - 2, -1, -1):
+        k = i + 2 if noisy[i + 1] == " " else i + 1
+        if k < n and noisy[k] == noisy[i] != " ":
+            end[i], size[i] = end[k], size[k] + 1
+    return end, size
+
+
 def lattice(noisy: str) -> list[list[tuple[int, str, float]]]:
     """Arcs from each position: the next position, the letters read on the way and the channel's log-probability."""
     n = len(noisy)
+    end, size = stretches(noisy)
     arcs: list[list[tuple[int, str, float]]] = []
     for i, char in enumerate(noisy):
         found = []
-        if char.isalpha():
-            run = i
-            while run < n and noisy[run] == char:
-                run += 1
+        if char == " ":
+            found += [(i + 1, " ", PARTED), (i + 1, "", UNPARTED)]
+        elif char.isalpha():
             found.append((i + 1, char, 0.0))
-            if run - i > 2:
-                found += [(run, char, STRETCHED), (run, char * 2, STRETCHED)]
+            if size[i] > 2:
+                found += [(end[i], char, STRETCHED), (end[i], char * 2, STRETCHED)]
         else:
             found.append((i + 1, char, KEPT))
-            run = i
-            while run < n and noisy[run] == char:
-                run += 1
             found += [(i + 1, c, SWAPPED) for c in LOOK_ALIKES.get(char, "")]
-            if run - i > 2:
-                found += [(run, c, SWAPPED + STRETCHED) for c in LOOK_ALIKES.get(char, "")]
+            if size[i] > 2:
+                found += [(end[i], c, SWAPPED + STRETCHED) for c in LOOK_ALIKES.get(char, "")]
             alone = 0 < i < n - 1 and (i < 2 or not noisy[i - 2].isalnum()) and (i + 2 >= n or not noisy[i + 2].isalnum())
             if char in SEPARATORS and alone:
                 found.append((i + 1, "", SET_APART))
@@ -144,24 +190,25 @@ def lattice(noisy: str) -> list[list[tuple[int, str, float]]]:
 
 
 def restore(noisy: str, model: CharModel) -> str:
-    """The most probable word behind ``noisy``: Viterbi over (position, last two symbols)."""
+    """The most probable word or words behind ``noisy``: Viterbi over (position, last two symbols), or three where spaces are read."""
     noisy = noisy.lower()
-    arcs, n, log = lattice(noisy), len(noisy), model.log
-    best: list[dict[tuple[int, int], tuple[float, tuple | None]]] = [{} for _ in range(n + 1)]
-    best[0][BOUNDARY, BOUNDARY] = (0.0, None)
+    arcs, n = lattice(noisy), len(noisy)
+    log, size = (model.spaced, N_SYMBOLS**3) if " " in noisy else (model.log, N_SYMBOLS**2)
+    best: list[dict[int, tuple[float, tuple | None]]] = [{} for _ in range(n + 1)]
+    best[0][BOUNDARY] = (0.0, None)
     for i in range(n):
-        for (a, b), (score, path) in best[i].items():
+        for state, (score, path) in best[i].items():
             for to, read, cost in arcs[i]:
-                x, y, total = a, b, score + cost
+                x, total = state, score + cost
                 for char in read:
-                    z = symbol_of(char)
-                    total += log[(x * N_SYMBOLS + y) * N_SYMBOLS + z]
-                    x, y = y, z
-                held = best[to].get((x, y))
+                    x = x * N_SYMBOLS + symbol_of(char)
+                    total += log[x]
+                    x %= size
+                held = best[to].get(x)
                 if held is None or held[0] < total:
-                    best[to][x, y] = (total, (read, path))
+                    best[to][x] = (total, (read, path))
         best[i] = {}
-    last = max(best[n].items(), key=lambda s: s[1][0] + log[(s[0][0] * N_SYMBOLS + s[0][1]) * N_SYMBOLS + BOUNDARY])[1][1]
+    last = max(best[n].items(), key=lambda s: s[1][0] + log[s[0] * N_SYMBOLS + BOUNDARY])[1][1]
     out = []
     while last is not None:
         out.append(last[0])
@@ -209,8 +256,35 @@ class Reading(NamedTuple):
     owner: np.ndarray
 
 
+def spaced(word: Spans, core: Spans) -> list[tuple[int, int]]:
+    """Runs of one-character words of one text, marks at either end left out, that are long enough and have a letter."""
+    one, bare = core.end - core.begin == 1, word.end - word.begin == 1
+    first = np.minimum(np.where(one, core.begin, word.begin), len(word.data) - 1)
+    char = core.data[first]
+    letter = one & (SYMBOL[char] >= 1) & (SYMBOL[char] <= 26)
+    single = letter | (one | bare) & DISGUISE[char]
+    new = np.ones(len(single), bool)
+    new[1:] = core.text[1:] != core.text[:-1]
+    before = np.concatenate([[False], single[:-1]]) & ~new
+    begin = np.flatnonzero(single & ~before)
+    after = np.concatenate([before[1:], [False]])
+    end = np.flatnonzero(single & ~(after & np.concatenate([single[1:], [False]]))) + 1
+    letters = np.concatenate([[0], np.cumsum(letter)])
+    some = (end - begin >= LEAST_RUN) & (letters[end] > letters[begin])
+    out = []
+    for a, b in zip(begin[some].tolist(), end[some].tolist()):
+        while not one[a] and OPENING[char[a]]:
+            a += 1
+        while not one[b - 1] and CLOSING[char[b - 1]]:
+            b -= 1
+        if b - a >= LEAST_RUN:
+            out.append((a, b))
+    return out
+
+
 def read(texts: pa.Array) -> Reading:
-    core = cores(words(texts, lower=True))
+    word = words(texts, lower=True)
+    core = cores(word)
     data, begin, end = core.data, core.begin, core.end
 
     def within(mask: np.ndarray) -> np.ndarray:
@@ -223,16 +297,13 @@ def read(texts: pa.Array) -> Reading:
     upto = np.concatenate([[0], np.cumsum(same)])
     stretched = (end - begin > 2) & (upto[end] > upto[np.minimum(begin + 2, end)])
     odd = (letters > 0) & ((within(DISGUISE[data]) > 0) | stretched | (within(APART[data]) > 1))
-    single = (end - begin == 1) & (letters == 1)
-    joined = np.zeros(len(single), bool)
-    change = np.flatnonzero(np.diff(np.concatenate([[0], single, [0]])))
+    joined = np.zeros(len(begin), bool)
     noisy, owner = [], []
     text = data.tobytes()
-    for a, b in zip(change[::2].tolist(), change[1::2].tolist()):
-        if b - a > 3 and core.text[a] == core.text[b - 1]:
-            joined[a:b] = True
-            noisy.append("".join(chr(data[begin[k]]) for k in range(a, b)))
-            owner.append(core.text[a])
+    for a, b in spaced(word, core) if len(begin) else []:
+        joined[a:b] = True
+        noisy.append(" ".join(chr(data[begin[k] if end[k] > begin[k] else word.begin[k]]) for k in range(a, b)))
+        owner.append(core.text[a])
     for k in np.flatnonzero(odd).tolist():
         noisy.append(text[begin[k] : end[k]].decode("utf-8", "replace"))
         owner.append(core.text[k])
