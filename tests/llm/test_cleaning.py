@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
@@ -222,6 +223,38 @@ def test_repeated_notation_is_found_and_numbers_alone_are_not(spark, some_docs):
     assert spans[2] == []
 
 
+def surfaces(text):
+    return [text[n.begin : n.end] for n in personal_data.nodes(text, personal_data.base_spans(text)) if not n.fixed]
+
+
+@pytest.mark.parametrize(("row", "numbers"), [
+    ("4111.1111.1111.1111 5500.0000.0000.0004", ["4111.1111.1111.1111", "5500.0000.0000.0004"]),
+    (" ".join(["4111.1111.1111.1111"] * 4), ["4111.1111.1111.1111"] * 4), ("-".join(["4111-1111-1111-1111"] * 40), ["4111-1111-1111-1111"] * 40),
+    ("555-123-4567 555-234-5678", ["555-123-4567", "555-234-5678"]), ("(555) 123-4567 (555) 234-5678", ["(555) 123-4567", "(555) 234-5678"]),
+    ("1 555 123 4567 1 555 234 5678", ["1 555 123 4567", "1 555 234 5678"]), ("tel=555-123-4567 and '555.234.5678'", ["555-123-4567", "555.234.5678"]),
+    ("1990 1991 1992 1993 1994 1995", ["1990 1991 1992 1993 1994 1995"]), ("12-34-" * 50 + "56", ["12-34-" * 50 + "56"]),
+    ("555-123-4567 89x", ["555-123-4567"]), ("555-123-4567-89x", []), ("1234567 7654321", ["1234567", "7654321"]),
+])
+def test_rows_of_numbers_are_cut(row, numbers):
+    assert surfaces(row) == numbers
+
+
+def test_known_numbers_are_cut_out_of_rows(spark, some_docs):
+    assert surfaces("+44 20 7946 0958; row 17-20.7946.0958-81") == ["20.7946.0958"]
+    assert surfaces("+1 (988) 555-2485; row 17.98855.52485.81-" + "12.34-" * 20 + "5")[:2] == ["98855.52485", "81-" + "12.34-" * 20 + "5"]
+    field = personal_data.train(some_docs)
+    text = "4111 1111 1111 1111, 5500 0000 0000 0004; 4111.1111.1111.1111 5500.0000.0000.0004 " + "4111.1111.1111.1111 " * 3 + "id='5500.0000.0000.0004'"
+    row = personal_data.personal_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), field).collect()[0]
+    assert (row["n_card"], row["n_added"]) == (2, 6)
+
+
+def test_long_rows_take_linear_time():
+    began = time.perf_counter()
+    for row in ("7 " * 200_000, "1234 " * 80_000, "4111-" * 80_000 + "x", "(1" * 100_000, "12 x " * 80_000):
+        personal_data.nodes("4111 1111 1111 1111; " + row, [(3, 0, 19)])
+    assert time.perf_counter() - began < 20
+
+
 def test_beliefs_are_exact_on_trees():
     rng = np.random.default_rng(3)
     unary, edges = rng.normal(size=(5, 5)), np.array([(0, 1), (1, 2), (1, 3), (3, 4)])

@@ -2,7 +2,8 @@
 
 The patterns find e-mail addresses, IP addresses, card and phone numbers (the base). The nodes of a document's field are the
 base spans, whose labels are fixed, and other candidates that look like an address or a number of at least ``LEAST_DIGITS``
-digits. A node's own potential comes from its shape (how its digits are grouped and separated), neighbouring candidates share a
+digits; a row of numbers is cut where digits known from a base span of the document, a card or phone number in its groups, or a
+number long enough to stand alone end. A node's own potential comes from its shape (how its digits are grouped and separated), neighbouring candidates share a
 chain potential, and nodes that repeat or resemble one another (the same digits or address in whatever notation) share a
 skip potential however far apart they are. Loopy belief propagation over all documents of a slice gives the labels'
 probabilities; a candidate whose best label has at least ``SURE`` becomes a span. So a card number found once is found again
@@ -49,11 +50,13 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-# Two card numbers side by side have 38 digits; longer rows of numbers are tables, and a bound keeps the search linear in them.
-NUMBER = re.compile(r"(?<![A-Za-z0-9_=/\"'.+-])\+?\(?[0-9](?:[ ().-]{0,2}[0-9]){6,47}+(?![A-Za-z0-9_=/\"'])")
+# A row of numbers of any length is taken as a whole, so that the search stays linear; ``cut`` finds the numbers in it.
+ROW = re.compile(r"(?<![A-Za-z0-9_/.+-])\+?\(?[0-9](?:[ ().-]{0,2}[0-9]){6,}+")
+UNENDED = re.compile(r"[A-Za-z0-9_/]")
 SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@| ?[\[(]at[\])] ?)[A-Za-z0-9-]++(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]++)*+", re.I)
-#: A space between two numbers that are long enough to stand alone.
-BESIDE = re.compile(r"(?<=[0-9]{7}) (?=[0-9]{7})")
+DIGITS = re.compile(r"[0-9]+")
+#: Lengths of the digit groups of card and phone numbers; a country code may stand before the latter.
+CARD_GROUPS, PHONE_GROUPS = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4)), (3, 3, 4)
 GROUPS = re.compile(r"[0-9]+|[^0-9]+")
 
 Span = tuple[int, int, int]
@@ -133,6 +136,95 @@ def key_of(surface: str) -> str:
     return digits[-10:] if len(digits) < 13 else digits
 
 
+def cut(row: str, known: set[str]) -> list[tuple[int, int]]:
+    """Places of the numbers in a row of digit groups; ``known``: digits of base spans of the document."""
+    groups = [m.span() for m in DIGITS.finditer(row)]
+    n, digits = len(groups), _digits(row)
+    upto = [0]
+    for a, b in groups:
+        upto.append(upto[-1] + b - a)
+    sizes = [b - a for a, b in groups]
+    between = ["", *(row[a[1] : b[0]] for a, b in zip(groups, groups[1:])), ""]
+    plus = row[0] == "+"
+
+    def place(i: int, j: int) -> tuple[int, int]:
+        a = groups[i][0]
+        return 0 if i == 0 else a - (row[a - 1] == "("), groups[j - 1][1]
+
+    def repeated(i: int) -> int:
+        """Where the longest known number that begins with group ``i`` ends."""
+        found, j = 0, i + 1
+        while j <= n and upto[j] - upto[i] <= 19:
+            own = digits[upto[i] : upto[j]]
+            if own in known or i == 0 and plus and len(own) < 13 and own[-10:] in known:
+                found = j
+            j += 1
+        return found
+
+    def grouped(i: int, ended: bool) -> int:
+        """Where a card or phone number that begins with group ``i`` ends; ``ended``: only if what stands around it sets it apart."""
+        if 13 <= sizes[i] <= 19:
+            ends = [i + 1]
+        else:
+            ends = [i + len(p) for p in CARD_GROUPS if tuple(sizes[i : i + len(p)]) == p]
+        for j in ends:
+            inside, around = set(between[i + 1 : j]), {between[i], between[j]} - {""}
+            apart = all(" " in x or x not in inside for x in around)
+            # In a row of equal groups any four may pass the check digit: then the first digit must be an issuer's.
+            issuer = digits[upto[i]] in "3456" or not inside & around
+            if luhn(digits[upto[i] : upto[j]]) and len(inside) < 2 and (not ended or apart and issuer):
+                return j
+        k = i + (i == 0 and plus and sizes[0] < 4 or digits[upto[i] : upto[i + 1]] == "1")
+        j = k + len(PHONE_GROUPS)
+        if tuple(sizes[k:j]) == PHONE_GROUPS:
+            inside = set(between[i + 1 : j])
+            if not ended or all(not x or " " in x or x not in inside for x in (between[i], between[j])):
+                return j
+        return 0
+
+    if upto[n] <= 19 and (digits in known or key_of(row) in known):
+        return [(0, groups[-1][1])]
+    at = 0
+    while at < n and (to := grouped(at, False)):
+        at = to
+    tiled = at == n
+    out, first, at = [], 0, 0
+
+    def rest(i: int, j: int) -> None:
+        """Groups in which nothing was found are one number, cut at spaces between numbers long enough to stand alone."""
+        spaces = [i, *(k for k in range(i + 1, j) if between[k] == " "), j]
+        begin = i
+        for a, b, c in zip(spaces, spaces[1:], spaces[2:]):
+            if min(upto[b] - upto[a], upto[c] - upto[b]) >= LEAST_DIGITS:
+                out.append(place(begin, b))
+                begin = b
+        if begin < j:
+            out.append(place(begin, j))
+
+    while at < n:
+        to = repeated(at) or grouped(at, not tiled)
+        if to:
+            rest(first, at)
+            out.append(place(at, to))
+            first = at = to
+        else:
+            at += 1
+    rest(first, n)
+    return out
+
+
+def rows_of(text: str) -> Iterator[tuple[int, int]]:
+    """Rows of digit groups; the last number of a row is left out if a letter follows it."""
+    for m in ROW.finditer(text):
+        a, b = m.span()
+        if UNENDED.match(text, b):
+            b = max(text.rfind(" ", a, b), a)
+            while b > a and not "0" <= text[b - 1] <= "9":
+                b -= 1
+        if b > a:
+            yield a, b
+
+
 def nodes(text: str, base: list[Span]) -> list[Node]:
     """Base spans and other candidates, in order of place; candidates do not overlap base spans or one another."""
     covered = sorted({(a, b): label for label, a, b in reversed(base)}.items())
@@ -144,20 +236,19 @@ def nodes(text: str, base: list[Span]) -> list[Node]:
         done = max(done, b)
         found.append(Node(a, b, label, True, shape_of(text[a:b]), key_of(text[a:b]), text[a:b]))
     gaps.append((done, len(text)))
+    known = {n.key for n in found if n.key.isdecimal()}
     taken: list[tuple[int, int]] = []
     for a, b in gaps:
         part = " " * (a > 0) + text[a:b]  # a base span beside a candidate is no letter
         shift = a - (a > 0)
         own = [(m.start() + shift, m.end() + shift) for m in SPELLED.finditer(part)] if "@" in part or "at" in part.lower() else []
         ends, numbers = [q for _, q in own], []
-        for m in NUMBER.finditer(part):
-            x = m.start() + shift
-            for surface in BESIDE.split(m[0]):
-                y = x + len(surface)
+        for start, stop in rows_of(part):
+            for x, y in cut(part[start:stop], known):
+                x, y = x + start + shift, y + start + shift
                 k = bisect_right(ends, x)
-                if len(_digits(surface)) >= LEAST_DIGITS and (k == len(own) or own[k][0] >= y):
+                if len(_digits(text[x:y])) >= LEAST_DIGITS and (k == len(own) or own[k][0] >= y):
                     numbers.append((x, y))
-                x = y + 1
         taken += own + numbers
     found += [Node(x, y, NONE, False, shape_of(text[x:y]), key_of(text[x:y]), text[x:y]) for x, y in taken]
     return sorted(found)
