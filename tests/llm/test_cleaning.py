@@ -54,6 +54,23 @@ def test_labels_tell_the_same(spark, sf_dir):
     assert not any(r["kept"] for r in rows if r["quality"] == 0)
 
 
+@pytest.mark.parametrize(("line", "failed"), [
+    ("河は古い水車小屋のそばをゆっくりと流れていた。", False), ("河は古い" * 20, False), ("Он молчал…", False), ("« Bonjour »", False), ("ホーム", True), ("Contact us", True),
+    ("Bake the cookies until they are golden.", False), ("The licensee shall pay the license fee to the board.", False), ("They sign in the presence of two witnesses.", False),
+    ("The author holds the copyright in each work.", False), ("Released under the MIT License.", True), ("Licensed under CC BY-NC 4.0.", True), ("Copyright 2020 Foo.", True),
+    ("Sign in to your account.", True), ("We use cookies to improve this page.", True), ("By reading on you agree to our terms of use and privacy policy.", True),
+])
+def test_clean_lines_stay(line, failed):
+    assert quality_rules.LineRules(pa.array([PROSE + "\n" + line])).failed.tolist() == [False, failed]
+
+
+def test_clean_documents_stay(spark):
+    poem = "\n".join(f"第{i}章、河は古い水車小屋のそばをゆっくりと流れ、村の人は誰も知らなかった。" for i in range(60))
+    law = "\n".join(f"Section {i} says that the licence of person {i * 7} ends after {i + 3} years." for i in range(20))
+    kept = quality_rules.clean(spark.createDataFrame([(1, poem), (2, law)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {1: poem, 2: law}
+
+
 def deduped(docs, least_chars, least_docs):
     def key(line):
         line = line.strip(" \t\n\x0b\x0c\r")

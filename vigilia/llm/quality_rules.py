@@ -1,10 +1,12 @@
 """Line-first cleaning: punctuation, navigation and boilerplate rules per line, then a verdict on the document.
 
 A line with a word fails if it is mostly symbols or shouting (punctuation), a row of separated items or a short label
-without an end mark (navigation), or a notice such as a licence or cookie line (boilerplate). Failing lines are removed;
+without an end mark of any script (navigation), or a notice such as a licence or cookie line (boilerplate): a whole phrase of
+notices, two other phrases, or one that begins the line and is a third of its words. A word in passing is no notice. Failing lines are removed;
 a document that loses more than ``MAX_LOST`` percent of its word characters is rejected, as is one that fails the base
 rules (too few words, or mostly repeated three-word windows). All comparisons are between whole numbers, so the verdict
-does not depend on rounding. Statistics are computed on byte arrays, a few megabytes at a time.
+does not depend on rounding. Statistics are computed on byte arrays, a few megabytes at a time. The SQL counterpart knows only the
+shorter rules for ASCII (any last character but an ASCII end mark, any phrase anywhere): on the test tables they give the same.
 
 Null and empty texts have no words and fail the base rules; every row, repeated or with a null id, gets its own verdict.
 """
@@ -24,7 +26,18 @@ from .textvec import Spans, code_points, hashes, lines, mixed, slices, windows,
 MIN_WORDS, MAX_REPEAT, MAX_LOST = 50, 50, 30
 MAX_SYMBOLS, MIN_MARKS, MIN_SEPARATORS, SEPARATED, LABEL_WORDS, NOTICE_WORDS = 10, 3, 3, 30, 3, 40
 SYMBOLS, MARKS, SEPARATORS, END_MARKS = "#*$%&|<>", "!", "|>", ".!?:;,\"')"
-# Phrases of notices, lower case.
+#: Longest label in code points; end marks beyond ASCII.
+LABEL_CHARS, MORE_END_MARKS = 40, "。．！？；：，、…‥」』）】》〉”’»›।॥؟؛،۔።։‽⁈⁉｡､"
+# Phrases that only notices have, and those that count by their place or in pairs, by their number of words.
+LICENCES = r"(?:apache|mit|bsd|isc|gnu|a?gpl|lgpl|mpl|mozilla|eclipse|cc0|cc[ -]by|creative commons|unlicen[sc]e|open[ -]source|public domain)"
+WHOLE_NOTICES = "|".join([
+    r"\ball rights reserved\b", r"\blorem ipsum\b", rf"\bunder (?:the |an? )?(?:terms of (?:the |an? )?)?{LICENCES}\b",
+    r"\bcopyright (?:\(c\)|©|[0-9]{4})", r"\b(?:we|site|website|page|service|app) uses? cookies\b", r"\baccept (?:all )?cookies\b",
+    r"\bcookie (?:policy|settings|preferences|notice|consent)\b", r"\bplease enable javascript\b", r"\benable javascript (?:to|in)\b",
+])
+PLACED_NOTICES = {1: "copyright|subscribe", 2: "click here|sign in|sign up|privacy policy|enable javascript", 3: "terms of service|terms of use"}
+_PLACED = rf"\b(?:{'|'.join(PLACED_NOTICES.values())})\b"
+# The phrases of the SQL counterpart, lower case.
 NOTICES = [
     "all rights reserved", "click here", "cookie", "copyright", "enable javascript", "license", "licence", "lorem ipsum", "privacy policy",
     "sign in", "sign up", "subscribe", "terms of service", "terms of use",
@@ -43,6 +56,17 @@ def _running(mask: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(mask)])
 
 
+def ends_with(data: np.ndarray, end: np.ndarray, marks: str) -> np.ndarray:
+    """Whether the UTF-8 bytes before each place end in one of the marks."""
+    out = np.zeros(len(end), bool)
+    for size in {len(c.encode()) for c in marks}:
+        tail = np.zeros(len(end), np.int64)
+        for back in range(size, 0, -1):
+            tail = tail << 8 | np.where(end >= back, data[np.maximum(end - back, 0)], 0)
+        out |= np.isin(tail, [int.from_bytes(c.encode()) for c in marks if len(c.encode()) == size])
+    return out
+
+
 def repeated_words(hashed: np.ndarray, word: Spans) -> np.ndarray:
     """Words of each text in three-word windows found twice or more in it."""
     window, first = windows(hashed, word.bounds(), 3)
@@ -77,11 +101,11 @@ class LineRules:
             return count[self.line.end] - count[self.line.begin]
 
         marks, separators = within(MARKS), within(SEPARATORS)
-        last = np.zeros(len(some), np.uint8)
-        last[some] = data[self.word.end[at[1][some] - 1] - 1]
+        ended = np.zeros(len(some), bool)
+        ended[some] = ends_with(data, self.word.end[at[1][some] - 1], END_MARKS + MORE_END_MARKS)
         punctuation = (100 * within(SYMBOLS) > MAX_SYMBOLS * self.line_chars) | (marks >= MIN_MARKS) & (2 * marks > self.line_words)
         navigation = (separators >= MIN_SEPARATORS) & (100 * separators >= SEPARATED * self.line_words)
-        navigation |= (self.line_words <= LABEL_WORDS) & ~_among(END_MARKS)[last]
+        navigation |= (self.line_words <= LABEL_WORDS) & (self.line_chars <= LABEL_CHARS) & ~ended
         self.failed = some & (punctuation | navigation | self._notices(texts))
 
     def _duplicates(self, some: np.ndarray, n: int) -> np.ndarray:
@@ -92,12 +116,17 @@ class LineRules:
 
     def _notices(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(self.line.begin), bool)
-        pattern = "|".join(NOTICES)
-        hit = pc.match_substring_regex(texts, pattern, ignore_case=True).to_numpy(zero_copy_only=False)
+
+        def found(where: pa.Array, pattern: str) -> np.ndarray:
+            return pc.match_substring_regex(where, pattern, ignore_case=True).to_numpy(zero_copy_only=False)
+
+        hit = found(texts, f"{WHOLE_NOTICES}|{_PLACED}")
         near = np.flatnonzero(hit[self.line.text] & (self.line_words > 0) & (self.line_words <= NOTICE_WORDS))
         if len(near):
             own = pa.array([bytes(self.line.data[b:e]).decode() for b, e in zip(self.line.begin[near], self.line.end[near])], pa.string())
-            out[near] = pc.match_substring_regex(own, pattern, ignore_case=True).to_numpy(zero_copy_only=False)
+            out[near] = found(own, f"{WHOLE_NOTICES}|{_PLACED}.*{_PLACED}")
+            for size, phrases in PLACED_NOTICES.items():
+                out[near] |= (self.line_words[near] <= 3 * size) & found(own, rf"^\W*(?:{phrases})\b")
         return out
 
     def verdicts(self) -> dict[str, np.ndarray]:
