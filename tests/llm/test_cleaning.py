@@ -334,6 +334,28 @@ def test_layout(html, text):
     assert html_text.page_text(html or "")[1] == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<p title=John's>one two</p><p>don't three</p>", "one two\n\ndon't three"), ('<a href="x"">one</a>', "one"), ("<p it's>a</p>b", "a\n\nb"),
+    ("<p title='a>b'>c</p>", "c"), ('<p title = "a>b" id=x>c</p>', "c"), ('<a href=x?y="1>2</a>', "2"), ('<p ="a>b</p>', "b"), ('<p title="open>a</p>b', "a\n\nb"),
+    ("<p title=a'b hidden>n</p>c", "c"), ('<p title="style=" style="display:none">n</p>c', "c"), ("a<p title='x", "a"),
+])
+def test_quotes_in_tags(html, text):
+    assert html_text.page_text(html)[1] == text
+
+
+@pytest.mark.parametrize("deep", ["<i>" * 250, "<div>" * 250, "<i>" * 199])
+@pytest.mark.parametrize(("html", "text"), [
+    ("a<span hidden>n<b>n</b>n</span>b", "ab"), ("a<div style='display:none'>n<p>n</div>b", "a\nb"), ("<div>a</div>b", "a\nb"),
+    ("<b hidden>n<b>n</b>n</b>a", "a"), ("<svg><p>n</svg>a<br>b", "a\nb"), ("a<span hidden>n<script>n</script></span></i>b", "ab"),
+])
+def test_past_the_depth(deep, html, text):
+    assert html_text.page_text(deep + html)[1] == text
+
+
+def test_end_tags_past_the_depth_close_what_they_opened():
+    assert html_text.page_text("<div hidden>" + "<i>" * 250 + "<div>n</div>n</div>a")[1] == "a"
+
+
 def test_pages_awkward(spark):
     rows = [(1, None, "x"), (None, "<p>a", None), (2, "<title>T &amp; U</title><p>b", "y"), (2, "<title>T &amp; U</title><p>b", "y")]
     pages = spark.createDataFrame(rows, "page_id long, html string, text string")

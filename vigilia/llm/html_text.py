@@ -7,14 +7,18 @@ they contain. The rest is rendered: white space collapses outside ``pre``, parag
 blocks begin a line, list items get their marker and indentation, and table cells are padded so that columns align
 (column and row spans included). All visible text is emitted, none twice.
 
-Null or empty HTML gives an empty text; text without tags is its own paragraph; tags cut off by the end are dropped. Elements
-nested deeper than ``DEPTH`` are kept as siblings. Every row gives a row, with a null or repeated id too; other columns are not read.
+Null or empty HTML gives an empty text; text without tags is its own paragraph; tags cut off by the end are dropped. A quoted
+value begins after ``=`` only; a quote elsewhere, or one that nothing closes, does not keep a tag from ending at its first ``>``. Elements
+nested deeper than ``DEPTH`` are kept as siblings, without the layout of tables and ``pre``; what they hide stays hidden, and their
+end tags close them and nothing around them. Every row gives a row, with a null or repeated id too; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -48,8 +52,11 @@ ENDS = {
     "option": ({"option"}, {"select", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+_VALUE = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:\"{0}\"|'{1}'|{2})"
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:"
+    + _VALUE.format('[^"]*+', "[^']*+", r"[^ \t\n\r\f>]*+") + r")?+)*+)(>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:" + _VALUE.format('([^"]*+)', "([^']*+)", r"([^ \t\n\r\f>]*+)") + ")?+")
 HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 BLANK = re.compile(r"[ \t\n\r\f]+")
 
@@ -72,12 +79,45 @@ class Element:
         return min(most, max(least, int(value))) if value.lstrip("-").isdecimal() and value.isascii() and len(value) < 10 else least
 
 
+class Beyond:
+    """Open elements past the depth of the tree: their names, the places of each name, and the first that hides what it holds."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.hidden: int | None = None
+
+    def push(self, element: Element) -> None:
+        if self.hidden is None and element.hidden():
+            self.hidden = len(self.tags)
+        self.places[element.tag].append(len(self.tags))
+        self.tags.append(element.tag)
+
+    def last(self, tags: set[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def first(self, tags: set[str], after: int) -> int | None:
+        found = (p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, after)) < len(p))
+        return min(found, default=None)
+
+    def cut(self, at: int) -> bool:
+        """Ends the elements from a place on; whether a block is among them."""
+        block = False
+        while len(self.tags) > at:
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            block |= tag in BLOCKS
+        if self.hidden is not None and self.hidden >= at:
+            self.hidden = None
+        return block
+
+
 class Builder:
     """Builds the tree of one page; ``root`` holds everything, ``title`` the first title."""
 
     def __init__(self, html: str) -> None:
         self.root, self.title = Element("html"), None
-        self.open = [self.root]
+        self.open, self.beyond = [self.root], Beyond()
         at = 0
         while m := TAG.search(html, at):
             self.text(html[at : m.start()])
@@ -92,24 +132,37 @@ class Builder:
         self.text(rest)
 
     def text(self, text: str) -> None:
-        if text:
+        if text and self.beyond.hidden is None:
             if self.open[-1].tag == "head" and not text.isspace():
                 self.open.pop()
             self.open[-1].children.append(unescape(text) if "&" in text else text)
 
     def _add(self, element: Element) -> None:
-        self.open[-1].children.append(element)
+        if self.beyond.hidden is None:
+            self.open[-1].children.append(element)
+
+    def _cut_beyond(self, at: int) -> None:
+        """Ends elements past the depth; after a block a line ends."""
+        if self.beyond.cut(at):
+            self._add(Element("div"))
+
+    def _cut(self, at: int) -> None:
+        self.beyond.cut(0)
+        del self.open[at:]
 
     def _close(self, tags: set[str], barriers: set[str]) -> None:
         """Ends the outermost open element of ``tags`` above the last barrier."""
-        found = None
-        for k in range(len(self.open) - 1, 0, -1):
+        barrier = self.beyond.last(barriers)
+        inner, found = self.beyond.first(tags, barrier), None
+        for k in range(len(self.open) - 1, 0, -1) if barrier < 0 else ():
             if self.open[k].tag in tags:
                 found = k
             elif self.open[k].tag in barriers:
                 break
         if found is not None:
-            del self.open[found:]
+            self._cut(found)
+        elif inner is not None:
+            self._cut_beyond(inner)
 
     def start(self, tag: str, attributes: str, html: str, at: int) -> int:
         if tag == "html" or tag == "body" and any(e.tag == "body" for e in self.open):
@@ -132,20 +185,28 @@ class Builder:
                 return len(html)
             close = html.find(">", end.end())
             return len(html) if close < 0 else close + 1
-        if tag not in VOID and not attributes.rstrip().endswith("/") and len(self.open) < DEPTH:
-            self.open.append(element)
+        if tag not in VOID and not attributes.rstrip().endswith("/"):
+            if len(self.open) < DEPTH:
+                self.open.append(element)
+            else:
+                self.beyond.push(element)
         return at
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self._add(Element("br"))
-        elif tag == "p" and not any(e.tag == "p" for e in self.open):
+        elif tag == "p" and self.beyond.last({"p"}) < 0 and not any(e.tag == "p" for e in self.open):
             self._add(Element("p"))
         elif tag not in ("html", "body"):
             barriers = {"table"} if tag in TABLE_PARTS - {"table"} else set() if tag in TABLE_PARTS else {"td", "th", "caption", "table"}
+            own, barrier = self.beyond.last({tag}), self.beyond.last(barriers)
+            if own >= 0 and own >= barrier:
+                self._cut_beyond(own)
+            if max(own, barrier) >= 0:
+                return
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k].tag == tag:
-                    del self.open[k:]
+                    self._cut(k)
                     return
                 if self.open[k].tag in barriers:
                     return
