@@ -20,6 +20,7 @@ MODULES = {
     "op9_token_counts": "token_counts",
     "op10_jaccard_join": "jaccard_join",
     "op12_url_rules": "url_rules",
+    "op13_turn_repair": "turn_repair",
 }
 
 
