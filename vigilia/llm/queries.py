@@ -19,6 +19,7 @@ MODULES = {
     "op8_skip_chain_pii": "personal_data",
     "op9_token_counts": "token_counts",
     "op10_jaccard_join": "jaccard_join",
+    "op11_phrase_collocations": "collocations",
     "op12_url_rules": "url_rules",
     "op13_turn_repair": "turn_repair",
 }
