@@ -1,14 +1,14 @@
 """Phrase collocations per language by mergeable Misra-Gries summaries and an exact second pass.
 
 Texts are packed into blocks of one language. The first pass hashes all n-grams of a block, occurrence counts cut at the threshold, and deals
-them by hash to partitions, packed: 32-bit fingerprints, sorted, as differences. A partition merges its blocks into a Misra-Gries
+them by hash to partitions, packed: fingerprints of ``PRINT_BITS``, sorted, as differences. A partition merges its blocks into a Misra-Gries
 summary: counters are added up, and where there are more than its capacity, the largest one too many is taken from all and what is not positive
 goes. The capacity exceeds the partition's mass divided by the threshold, so all such cuts together are below the threshold, and every n-gram
 that reaches the threshold still has a counter; counters that cannot reach it with the cuts added back are left out. (A count cut at the
 threshold in some block reaches it all the same, and fingerprints that meet only add up.) Each block then learns which of its n-grams survive.
 
-The second pass goes over the blocks again and counts the survivors by their words, exactly; one sum over the cluster and the
-threshold leave the frequent phrases. Every part of a frequent phrase is frequent itself, so all counts that scores ask for are there.
+The second pass goes over the blocks again and counts the survivors by their words, exactly, and deals the counts, packed, to the same
+partitions; their sums and the threshold leave the frequent phrases. Every part of a frequent phrase is frequent itself, so all counts that scores ask for are there.
 Scores are exact: products in decimals of 38 digits, divided as integers.
 
 A task holds a block (a text is cut where a piece ends, so only a piece beyond ``BLOCK_BYTES`` makes a larger one), or a partition's packed
@@ -36,14 +36,17 @@ from ..session import configure, materialize
 from .textvec import LOWER, Spans, hashes, mixed, strings, windows
 
 LONGEST, THRESHOLD, CONTAINED, TOP, SALTS = 3, 10, 50, 2000, 32
-BLOCK_BYTES, SLICE_BYTES, HELD_BYTES, PART_MASS, FOLD = 4 << 20, 1 << 20, 32 << 20, 1 << 23, 1 << 21
+BLOCK_BYTES, SLICE_BYTES, HELD_BYTES, PART_MASS, FOLD = 8 << 20, 1 << 20, 32 << 20, 1 << 23, 1 << 21
 #: What ends a piece, and what stands between words.
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
 KIND[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
-LOW = np.uint64(0xFFFFFFFF)
+#: A partition has some 2^23 n-grams: with so many bits one in a thousand that is not frequent meets a frequent one.
+PRINT_BITS = 26
+WIDTH, LOW = np.uint64(PRINT_BITS), np.uint64((1 << PRINT_BITS) - 1)
 BLOCKS = "block long, lang string, size long, body binary"
 ENTRIES = "part int, block long, mass long, body binary"
+TALLIES = "part int, lang string, phrases binary, counts binary"
 COUNTS = "lang string, words int, phrase string, count long"
 
 
@@ -53,8 +56,8 @@ def _batch(rows: list[tuple], spec: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], [n for n, _ in fields])
 
 
-def _squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def _squeezed(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _opened(body: bytes) -> bytes:
@@ -88,7 +91,7 @@ def _blocks_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal block
         data = b"\n".join(held.pop(lang))
         block += 1
-        return _batch([(block, lang, sizes.pop(lang), _squeezed(data))], BLOCKS)
+        return _batch([(block, lang, sizes.pop(lang), _squeezed(data, 4))], BLOCKS)
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), strings(batch.column("text"))):
@@ -122,8 +125,8 @@ class Grams:
             self.grams.append((first, mixed(found ^ seed)))
 
     def keys(self, parts: int) -> list[np.ndarray]:
-        """Partition and 32-bit fingerprint of every n-gram, in one number."""
-        place = lambda h: ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)) << np.uint64(32) | (h & LOW)
+        """Partition and fingerprint of every n-gram, in one number."""
+        place = lambda h: ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)) << WIDTH | (h & LOW)
         return [place(h) for _, h in self.grams]
 
     def phrases(self, n: int, first: np.ndarray) -> pa.Array:
@@ -157,7 +160,7 @@ def _entries_task(parts: int, longest: int, threshold: int):
         found = [np.concatenate(Grams(part, row["lang"], longest).keys(parts)) for part in pieces(_opened(row["body"]), SLICE_BYTES)]
         keys, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         counts = np.minimum(counts, threshold)
-        edges = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
+        edges = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << WIDTH)
         for p in np.flatnonzero(np.diff(edges)).tolist():
             mine = slice(edges[p], edges[p + 1])
             yield p, row["block"], int(counts[mine].sum()), packed((keys[mine] & LOW).astype(np.uint32), counts[mine])
@@ -219,25 +222,61 @@ def _survivors_task(threshold: int):
     return run
 
 
-def _count_task(parts: int, longest: int):
+def _tally_task(parts: int, longest: int):
+    def found(row: dict, alive: np.ndarray) -> Iterator[pa.Table]:
+        """Survivors of each stretch with their partitions, and its words under the empty phrase of the first partition."""
+        for data in pieces(_opened(row["body"]), SLICE_BYTES):
+            grams = Grams(data, row["lang"], longest)
+            yield pa.table({"part": pa.array([0], pa.int64()), "phrase": pa.array([""], pa.large_string()), "count": pa.array([len(grams.begin)], pa.int64())})
+            for n, ((first, _), keys) in enumerate(zip(grams.grams, grams.keys(parts)), 1):
+                if len(alive) and len(keys):
+                    hit = alive[np.minimum(np.searchsorted(alive, keys), len(alive) - 1)] == keys
+                    each = pa.table({"part": (keys[hit] >> WIDTH).astype(np.int64), "phrase": grams.phrases(n, first[hit])})
+                    yield each.group_by(["part", "phrase"]).aggregate([([], "count_all")]).rename_columns(["part", "phrase", "count"])
+
+    def rows(row: dict) -> Iterator[tuple]:
+        kept = [(np.uint64(s["part"]) << WIDTH) | unpacked(s["body"])[0].astype(np.uint64) for s in sorted(row["survivors"] or [], key=lambda s: s["part"])]
+        tables = list(found(row, np.concatenate(kept) if kept else np.zeros(0, np.uint64)))
+        whole = pa.concat_tables(tables).group_by(["part", "phrase"]).aggregate([("count", "sum")]).sort_by([("part", "ascending"), ("phrase", "ascending")])
+        part, phrases, counts = whole["part"].to_numpy(), whole["phrase"].to_pylist(), whole["count_sum"].to_numpy().astype("<u8")
+        edges = np.searchsorted(part, np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            mine = slice(edges[p], edges[p + 1])
+            planes = counts[mine].view(np.uint8).reshape(-1, 8).T
+            yield p, row["lang"], _squeezed("\n".join(phrases[mine]).encode(), 3), _squeezed(planes.tobytes())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                kept = [(np.uint64(s["part"]) << np.uint64(32)) | unpacked(s["body"])[0].astype(np.uint64) for s in sorted(row["survivors"] or [], key=lambda s: s["part"])]
-                alive, words = np.concatenate(kept) if kept else np.zeros(0, np.uint64), 0
-                for data in pieces(_opened(row["body"]), SLICE_BYTES):
-                    grams = Grams(data, row["lang"], longest)
-                    words += len(grams.begin)
-                    for n, ((first, _), keys) in enumerate(zip(grams.grams, grams.keys(parts)), 1):
-                        if not len(alive) or not len(keys):
-                            continue
-                        hit = alive[np.minimum(np.searchsorted(alive, keys), len(alive) - 1)] == keys
-                        counted = pc.value_counts(grams.phrases(n, first[hit]))
-                        if len(counted):
-                            size = len(counted)
-                            yield pa.record_batch([pa.array([row["lang"]] * size), pa.array(np.full(size, n, np.int32)), counted.field("values").cast(pa.string()),
-                                                   counted.field("counts").cast(pa.int64())], [f.split()[0] for f in COUNTS.split(", ")])
-                yield _batch([(row["lang"], 0, "", words)], COUNTS)
+                if out := list(rows(row)):
+                    yield _batch(out, TALLIES)
+
+    return run
+
+
+def _sums_task(threshold: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Sums of a partition's counts; sorted out block by block, summed whenever many have come together."""
+        summed, held, size = [], [], 0
+
+        def fold() -> list[pa.Table]:
+            whole = pa.concat_tables([*summed, *held]).group_by(["lang", "phrase"]).aggregate([("count", "sum")])
+            return [whole.rename_columns(["lang", "phrase", "count"])]
+
+        for row in table.to_batches(max_chunksize=1):
+            lang, phrases, counts = (row.column(c)[0].as_py() for c in ("lang", "phrases", "counts"))
+            phrases, planes = _opened(phrases).decode().split("\n"), np.frombuffer(_opened(counts), np.uint8).reshape(8, -1)
+            held.append(pa.table({"lang": pa.array([lang] * len(phrases), pa.large_string()), "phrase": pa.array(phrases, pa.large_string()),
+                                  "count": np.ascontiguousarray(planes.T).view("<i8").reshape(-1)}))
+            size += len(phrases)
+            if size >= FOLD:
+                summed, held, size = fold(), [], 0
+        whole = fold()[0]
+        spaces = pc.count_substring(whole["phrase"], " ").to_numpy()
+        words = np.where(pc.equal(whole["phrase"], "").to_numpy(zero_copy_only=False), 0, spaces + 1).astype(np.int32)
+        whole = whole.append_column("words", pa.array(words))
+        whole = whole.filter(pc.or_(pc.equal(whole["words"], 0), pc.greater_equal(whole["count"], threshold)))
+        return whole.select(["lang", "words", "phrase", "count"]).cast(pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("count", pa.int64())]))
 
     return run
 
@@ -257,8 +296,8 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, threshold: int = THRE
     entries = blocks.mapInArrow(_entries_task(parts, longest, threshold), ENTRIES)
     survivors = entries.groupBy("part").applyInArrow(_survivors_task(threshold), ENTRIES)
     replies = survivors.groupBy("block").agg(F.collect_list(F.struct("part", "body")).alias("survivors"))  # of one block's n-grams
-    counted = blocks.join(replies, "block", "left").select("lang", "body", "survivors").mapInArrow(_count_task(parts, longest), COUNTS)
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("count").alias("count")).where((F.col("count") >= threshold) | (F.col("words") == 0))
+    tallies = blocks.join(replies, "block", "left").select("lang", "body", "survivors").mapInArrow(_tally_task(parts, longest), TALLIES)
+    return tallies.groupBy("part").applyInArrow(_sums_task(threshold), COUNTS)
 
 
 def _exact(name: str) -> Column:
