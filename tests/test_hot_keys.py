@@ -33,3 +33,23 @@ def test_trimming_is_linear_in_a_key(spark):
         out.write.format("noop").mode("overwrite").save()
         took.append(time.time() - began)
     assert took[1] < 20 * took[0]
+
+
+def took(action):
+    began = time.time()
+    action().write.format("noop").mode("overwrite").save()
+    return time.time() - began
+
+
+def test_containers_of_backward_rows_under_one_key(spark):
+    """Half of the rows run backwards and events have many rows: one key costs about what spread keys cost, and nothing is joined on the key alone."""
+    def rows(hot):
+        return events(spark, 100_000, hot).withColumn("fim", F.when(F.col("seq") % 2 == 0, F.expr("inicio - make_interval(0, 0, 0, 0, 1)")).otherwise(F.col("fim"))).withColumn(
+            "seq", F.col("seq") % 30_000).withColumn("k", F.when(F.lit(hot), F.col("k")).otherwise(F.pmod(F.xxhash64("inicio"), F.lit(500))))
+
+    find = lambda hot: intervals.best_container(rows(hot), ["k"], "seq", "seq")
+    took(lambda: find(False))
+    assert took(lambda: find(True)) < 4 * took(lambda: find(False))
+    plan = find(True)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and all("_cell" in line or "fim" in line for line in joins)

@@ -45,7 +45,7 @@ def test_best_container(spark, seed, n, keys, span, events):
 
 def test_container_of_rows_that_run_backwards(spark):
     rows, df = make(spark, 5, 150, 3, 500, 25, lengths=(-120, -30, 0, 10, 200))
-    out = I.contained(df, ["k"], "ev", "ev", backwards=True).collect()
+    out = I.contained(df, ["k"], "ev", "ev").collect()
     for r in out:
         assert r.contido == (container(rows, (r.k, r.ev, r.inicio, r.fim, r.id)) is not None)
 

@@ -183,112 +183,88 @@ def temporal_blocks(df: DataFrame, context: list[str], seq: str, ini: str = "ini
     )
 
 
-def _record_setters(df: DataFrame, key: list[str], ini: str, fim: str, order: str, event: str, cell: int) -> DataFrame:
-    """Rows whose end exceeds every earlier end of the key: (key, _ri, _rf, _ro, _re), ends increasing.
-
-    Only the first row per start in the order (end desc, number asc, event asc) can be one, so one row per (key, start)
-    is enough, and partial aggregation finds it.
+def _staircases(df: DataFrame, key: list[str], event: str, order: str, ini: str, fim: str, cell: int, once: bool) -> DataFrame:
+    """Steps of the two staircases of a key: (key, _t, _step, _second), ``_t`` being the end up to which the step is the first to reach.
+
+    Rows are taken in the order (start, end descending, number, event). A step of the first staircase is a row whose end exceeds all
+    earlier ones. For the second the running facts are the latest end so far with its event, and the latest end among the other
+    events: a row of another event than the leading one raises the second as far as both ends reach, and is a step of
+    the second staircase where that exceeds what the others had. Of equal (key, start, event) only the first row counts, which partial
+    aggregation finds; ``once`` leaves the second staircase out, and then one row per (key, start) is enough.
     """
     top = F.min(F.struct((-microsecond_index(fim)).alias("d"), F.col(order).alias("o"), F.col(event).alias("e"), F.col(fim).alias("f"))).alias("_t")
-    starts = df.groupBy(*key, ini).agg(top).select(
-        *key, F.col(ini).alias("_ri"), F.col("_t.f").alias("_rf"), F.col("_t.o").alias("_ro"), F.col("_t.e").alias("_re"),
+    rows = df.groupBy(*key, ini, *([] if once else [event])).agg(top).select(
+        *key, F.col(ini).alias("_ri"), F.col("_t.f").alias("_rf"), F.col("_t.o").alias("_ro"), F.col("_t.e").alias("_re"), F.col("_t.d").alias("_rd"),
     ).withColumn("_cell", _cell("_ri", cell))
-    grown = _running_end(starts, key, "_ri", "_rf")
-    return grown.where(F.col("_prev").isNull() | (F.col("_rf") > F.col("_prev"))).select(
-        *key, "_ri", "_rf", "_ro", "_re"
-    )
+    earlier = _before([*key, "_cell"], "_ri", "_rd", "_ro", "_re")
+
+    def running(frame: DataFrame, value: str, name: str) -> DataFrame:
+        cells = frame.groupBy(*key, "_cell").agg(F.max(value).alias("_m"))
+        carried = _carry(cells, key, "_m", "_carried", F.asc("_cell"), F.max)
+        return _join_same(frame, carried, [*key, "_cell"]).withColumn(name, F.greatest(F.max(value).over(earlier), F.col("_carried"))).drop("_carried")
+
+    step = F.struct("_ri", "_rf", "_ro", "_re")
+    led = running(rows.withColumn("_end", F.struct("_rf", "_re")), "_end", "_lead")
+    first = F.col("_lead").isNull() | (F.col("_rf") > F.col("_lead._rf"))
+    if once:
+        return led.where(first).select(*key, F.col("_rf").alias("_t"), step.alias("_step"), F.lit(None).cast(led.select(step).schema[0].dataType).alias("_second"))
+    other = led.withColumn("_both", F.when(F.col("_re") != F.col("_lead._re"), F.least("_rf", "_lead._rf")))
+    seconded = running(other, "_both", "_others")
+    second = F.col("_both").isNotNull() & (F.col("_others").isNull() | (F.col("_both") > F.col("_others")))
+    kinds = F.array_compact(F.array(
+        F.when(first, F.struct(F.col("_rf").alias("_t"), F.lit(True).alias("_first"))), F.when(second, F.struct(F.col("_both").alias("_t"), F.lit(False).alias("_first")))))
+    placed = seconded.withColumn("_k", F.explode(kinds))
+    return placed.select(*key, "_k._t", F.when(F.col("_k._first"), step).alias("_step"), F.when(~F.col("_k._first"), step).alias("_second"))
 
 
 def best_container(df: DataFrame, key: list[str], event: str, order: str, ini: str = "inicio", fim: str = "fim",
-                   cell: int = DAY, backwards: bool = False, once: bool = False) -> DataFrame:
+                   cell: int = DAY, once: bool = False) -> DataFrame:
     """Left-join to every row the best interval of another event that contains it.
 
     A container has another event number, starts no later, ends no earlier, and on an identical interval has
     the lower ``order`` number. The best one starts first, then ends last, then has the lowest number, then the lowest event. Adds
     ``evento_contem, inicio_contem, fim_contem`` (null when nothing contains the row).
 
-    The first row of a key, in the order (start, end descending, number), whose end reaches a given end is
-    always one that raised the latest end seen so far. Those record rows form a staircase with increasing
-    starts and ends, and the best container of a row is the lowest step that reaches its end: a look-up per
-    (key, end) instead of a self-join. Only when that step belongs to the row's own event with another
-    interval does the row need a search among other events; that exact search runs on those rows alone.
-    A row without a full key is contained in nothing. Rows need times, event and order; ``backwards`` admits rows that end before they start, ``once``
-    says that an event has one row per key, which makes that search unnecessary.
+    In the order (start, end descending, number, event) a container comes before the row, so the best one is the first row of
+    another event whose end reaches the row's. The first row of a key to reach a given end, and the first one of any other event than
+    that, are steps of two staircases (see ``_staircases``): a look-up per (key, end) instead of a self-join. The row's container is the
+    lowest step of the first staircase that reaches its end, or, where that is the row's own event, of the second, if it comes before
+    the row. Nothing is asked of the row itself, so rows that end before they start need no care.
+    A row without a full key is contained in nothing. Rows need times, event and order; ``once`` says that an event has one row per key,
+    whose first step is then never its own event with another interval.
     """
-    ident = list(dict.fromkeys([*key, event, order, ini, fim]))
-    df = materialize(df, "intervalos")  # read for the steps, the rows and the partners
-    stepped = _lowest_steps(df, key, event, order, ini, fim, cell)
-    other = F.col("_step._re") != F.col(event)
-    same_span = (F.col("_step._ri") == F.col(ini)) & (F.col("_step._rf") == F.col(fim))
-    found = other & (~same_span | (F.col("_step._ro") < F.col(order))) & _keyed(key)
-    own = ~other & ~same_span & _keyed(key)
-    if once:
-        own, rows = F.lit(False), stepped.withColumn("_alt", F.col("_step"))
-    else:
-        # Stored: whether any row needs the search is known before it is planned, and mostly none does.
-        stepped = materialize(stepped, "contidos")
-        if stepped.where(own).isEmpty():
-            own, rows = F.lit(False), stepped.withColumn("_alt", F.col("_step"))
-        else:
-            rows = _search_others(df, stepped.where(own), key, event, order, ini, fim, ident, cell, backwards, stepped)
-    pick = lambda field: F.when(found, F.col(f"_step.{field}")).when(own, F.col(f"_alt.{field}"))
-    return rows.select(
-        *df.columns, pick("_re").alias("evento_contem"), pick("_ri").alias("inicio_contem"), pick("_rf").alias("fim_contem"),
-    )
+    steps = _staircases(df, key, event, order, ini, fim, cell, once)
+    stepped = _lowest_steps(df, steps, key, fim, cell)
 
+    def before(step: str) -> Column:
+        s, f, o = (F.col(f"{step}.{c}") for c in ("_ri", "_rf", "_ro"))
+        return (s < F.col(ini)) | ((s == F.col(ini)) & ((f > F.col(fim)) | (o < F.col(order))))
 
-def _lowest_steps(df: DataFrame, key: list[str], event: str, order: str, ini: str, fim: str, cell: int) -> DataFrame:
-    """Add ``_step``, the lowest record row that reaches the row's end."""
-    steps = _record_setters(df, key, ini, fim, order, event, cell)
-    step = F.struct("_ri", "_rf", "_ro", "_re").alias("_step")
-    ends = (
-        df.select(*key, F.col(fim).alias("_t"))
-        .withColumn("_step", F.lit(None).cast(steps.select(step).schema["_step"].dataType))
-        .unionByName(steps.select(*key, F.col("_rf").alias("_t"), step))
-        .groupBy(*key, "_t")
-        .agg(F.max("_step").alias("_step"))
-        .withColumn("_cell", _cell("_t", cell))
-    )
-    cells = ends.groupBy(*key, "_cell").agg(F.min_by("_step", F.when(F.col("_step").isNotNull(), F.col("_t"))).alias("_m"))
-    carried = _carry(cells, key, "_m", "_carried", F.desc("_cell"), lambda c: F.last(c, ignorenulls=True))
+    other = F.col("_step._re") != F.col(event)
+    found = _keyed(key) & other & before("_step")
+    beside = F.lit(False) if once else _keyed(key) & ~other & F.col("_second").isNotNull() & before("_second")
+    pick = lambda field: F.when(found, F.col(f"_step.{field}")).when(beside, F.col(f"_second.{field}"))
+    return stepped.select(*df.columns, pick("_re").alias("evento_contem"), pick("_ri").alias("inicio_contem"), pick("_rf").alias("fim_contem"))
+
+
+def _lowest_steps(df: DataFrame, steps: DataFrame, key: list[str], fim: str, cell: int) -> DataFrame:
+    """Add ``_step`` and ``_second``: of each staircase the lowest step that reaches the row's end."""
+    names = ["_step", "_second"]
+    asked = df.select(*key, F.col(fim).alias("_t")).withColumns({n: F.lit(None).cast(steps.schema[n].dataType) for n in names})
+    ends = asked.unionByName(steps).groupBy(*key, "_t").agg(*[F.max(n).alias(n) for n in names]).withColumn("_cell", _cell("_t", cell))
+    cells = ends.groupBy(*key, "_cell").agg(*[F.min_by(n, F.when(F.col(n).isNotNull(), F.col("_t"))).alias(n) for n in names])
+    above = _before(key, F.desc("_cell"))
+    carried = cells.select(*key, "_cell", *[F.last(n, ignorenulls=True).over(above).alias(f"_above{n}") for n in names])
     from_above = Window.partitionBy(*key, "_cell").orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
-    lowest = (
-        ends.join(carried, [*key, "_cell"])
-        .select(
-            *key, F.col("_t").alias(fim),
-            F.coalesce(F.last("_step", ignorenulls=True).over(from_above), F.col("_carried")).alias("_step"),
-        )
-    )
-    return df.join(lowest, [*key, fim], "left").select(*df.columns, "_step")
-
-
-def _search_others(df, blocked_rows, key, event, order, ini, fim, ident, cell, backwards, stepped) -> DataFrame:
-    """Add ``_alt`` to ``stepped``: the best container among other events, for the blocked rows."""
-    blocked = blocked_rows.select(*ident).distinct()
-    partners = df.join(blocked.select(*key).distinct(), key, "left_semi").select(
-        *key, F.col(event).alias("_re"), F.col(order).alias("_ro"), F.col(ini).alias("_ri"), F.col(fim).alias("_rf")
-    )
-    covers = (
-        (F.col("_re") != F.col(event)) & (F.col("_rf") >= F.col(fim))
-        & ((F.col("_ri") < F.col(ini)) | (F.col("_rf") > F.col(fim)) | (F.col("_ro") < F.col(order)))
-    )
-    near = stab_join(blocked, partners, key, ini, "_ri", "_rf", cell)
-    if backwards:
-        # The container of a row that ends before it starts need not hold the row's start: no cell to share.
-        reverse = blocked.where(F.col(fim) < F.col(ini)).join(partners, key).where(F.col("_ri") <= F.col(ini))
-        near = near.where(F.col(fim) >= F.col(ini)).unionByName(reverse)
-    searched = (
-        near.where(covers)
-        .groupBy(*ident)
-        .agg(F.min(F.struct("_ri", (-microsecond_index("_rf")).alias("_d"), "_ro", "_re", "_rf")).alias("_alt"))
-    )
-    return stepped.join(searched, ident, "left")
+    lowest = ends.join(carried, [*key, "_cell"]).select(
+        *key, F.col("_t").alias(fim), *[F.coalesce(F.last(n, ignorenulls=True).over(from_above), F.col(f"_above{n}")).alias(n) for n in names])
+    return df.join(lowest, [*key, fim], "left").select(*df.columns, *names)
 
 
 def contained(df: DataFrame, key: list[str], event: str, order: str, ini: str = "inicio", fim: str = "fim",
-              cell: int = DAY, backwards: bool = False, once: bool = False) -> DataFrame:
+              cell: int = DAY, once: bool = False) -> DataFrame:
     """Add ``contido``: another event of the key covers the row (see ``best_container``)."""
-    return best_container(df, key, event, order, ini, fim, cell, backwards, once).withColumn(
+    return best_container(df, key, event, order, ini, fim, cell, once).withColumn(
         "contido", F.col("evento_contem").isNotNull()
     ).drop("evento_contem", "inicio_contem", "fim_contem")
 

@@ -261,7 +261,7 @@ def device_containment(df: DataFrame, anomes: str) -> DataFrame:
     # Nothing here keeps an event whose last end precedes its first start, so the search allows for it.
     judged = contained(
         events.withColumn("_o", int_or("interrupcao", 0)), ["NUMERO_OPERACIONAL"], "interrupcao", "_o", "DATA_INICIO",
-        "DATA_FIM", backwards=True,
+        "DATA_FIM",
     ).drop("_o")
     out = F.col("contido")
     return judged.select(

@@ -120,7 +120,7 @@ def device_containment_history(events: DataFrame, affected: DataFrame, anomes: s
         (F.col("inicio") >= first) & (F.col("inicio") < after) & (F.col("tipo_eqp") == "C") & F.col("device").isNotNull()
         & F.col("fim").isNotNull()
     )
-    judged = contained(rows, ["device"], "interrupcao", "interrupcao", backwards=True)
+    judged = contained(rows, ["device"], "interrupcao", "interrupcao")
     counts = affected.groupBy("interrupcao", "protocolo_uc").agg(F.count("uc").alias("UC_afetadas"))
     return judged.join(counts, "interrupcao").select(
         F.col("device").alias("NUMERO_OPERACIONAL"), "ocorrencia", "interrupcao", "tipo_chave",
