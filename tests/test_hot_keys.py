@@ -53,3 +53,20 @@ def test_containers_of_backward_rows_under_one_key(spark):
     plan = find(True)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join " in line]
     assert joins and all("_cell" in line or "fim" in line for line in joins)
+
+
+def test_trimming_within_one_hour_of_one_key(spark):
+    """All rows of one key in one hour, at microseconds of their own: ten times the rows take about ten times as long."""
+    def rows(n):
+        at = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_800_000_000))
+        start = "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(a AS DECIMAL(18, 6)) / 1000000)"
+        return spark.range(n).select(F.lit(0).alias("k"), F.col("id").alias("seq"), at(1).alias("a"), at(2).alias("b")).withColumn("inicio", F.expr(start)).withColumn(
+            "fim", F.expr("inicio + make_dt_interval(0, 0, 0, CAST(b AS DECIMAL(18, 6)) / 1000000)"))
+
+    trim = lambda n: intervals.trim_partial(rows(n), ["k"], ["seq"])
+    took(lambda: trim(1_000))
+    assert took(lambda: trim(40_000)) < 15 * took(lambda: trim(4_000))
+    ends = rows(10_000).select("k", F.col("fim").alias("_pf"), F.col("inicio").alias("_ps"))
+    low, unit, levels = intervals._grid(ends)
+    assert unit == 1
+    assert intervals._tree(ends, ["k"], low, unit, levels).agg(F.max(F.size("_kids"))).first()[0] <= intervals.TREE_STEP

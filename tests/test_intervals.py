@@ -29,6 +29,11 @@ def container(rows, row):
     return min(found) if found else None
 
 
+def I_minutes(a, b):
+    """Whether a minute mark lies in between."""
+    return b.replace(second=0, microsecond=0) > a.replace(second=0, microsecond=0)
+
+
 CASES = [(1, 150, 3, 4000, None), (2, 150, 3, 300, 30), (3, 120, 2, 60, 8), (4, 200, 4, 9000, 40)]
 
 
@@ -51,14 +56,17 @@ def test_container_of_rows_that_run_backwards(spark):
 
 
 @pytest.mark.parametrize("seed,n,keys,span,events", CASES)
-@pytest.mark.parametrize("cell,step", [(3600, 64), (60, 2), (600, 4)])
-def test_trim_partial(spark, monkeypatch, seed, n, keys, span, events, cell, step):
-    """Small cells and steps make searches climb to the top of the tree and down again."""
+@pytest.mark.parametrize("shift,step", [(0, 256), (0, 12), (137, 40)])
+def test_trim_partial(spark, monkeypatch, seed, n, keys, span, events, shift, step):
+    """Small steps, and starts at odd microseconds, make searches climb to the top of the tree and down again."""
     rows, df = make(spark, seed, n, keys, span, events, hot_key=True)
+    rows = [(k, e, s + dt.timedelta(microseconds=shift * (i % 7)), f + dt.timedelta(microseconds=shift * (i % 11)), i) for k, e, s, f, i in rows]
+    df = spark.createDataFrame(rows, df.schema)
     monkeypatch.setattr(I, "TREE_STEP", step)
-    got = {r.id: (r.o_id, r.fim_origem) for r in I.trim_partial(df, ["k"], ["id"], origin={"o_id": "id"}, cell=cell).collect()}
+    got = {r.id: (r.o_id, r.fim_origem) for r in I.trim_partial(df, ["k"], ["id"], origin={"o_id": "id"}).collect()}
     for k, _, s, f, i in rows:
         found = [(-b[3].timestamp(), b[2], b[4], b[3]) for b in rows if b[0] == k and b[2] < s < b[3] < f]
+        found = found if found and I_minutes(s, min(found)[3]) else []
         assert got.get(i) == ((min(found)[2], min(found)[3]) if found else None)
     # A trim never lengthens a record.
     for r in I.trim_partial(df, ["k"], ["id"]).collect():

@@ -7,8 +7,8 @@ ranked or listed in one task:
   produces before the exchange. They are computed per (key, cell), a cell being a stretch of the calendar, and carried over
   from cell to cell through a summary of one row per (key, cell). A cell's group is bounded by the number of distinct
   instants in a cell, the carry by the number of cells.
-* Look-ups of a partner go through the running facts (containment) or up and down a tree of cells that knows the
-  earliest start behind each (trimming); both return one row for each row that asks.
+* Look-ups of a partner go through the running facts (containment) or up and down a tree of cells of bounded fan-out that
+  knows the earliest start behind each (trimming); both return one row for each row that asks.
 * Overlap pairs, whose result is the pairs themselves, use a grid join: a start is a point in one cell, an
   interval covers a few cells of the width that suits its length, and only pairs that share a cell are compared.
 """
@@ -27,8 +27,9 @@ from ..session import materialize
 DAY = 86400
 # Widths of the grid join: each grid is so many times as coarse as the one before.
 GRIDS, GRID_STEP = 5, 16
-# Levels of the tree of cells, the ends themselves and the top included, and children of a cell.
-TREE_LEVELS, TREE_STEP = 4, 256
+# Children of a cell of the tree at most; the tree has as many levels as the distinct instants of the table ask for.
+TREE_STEP = 256
+
 
 def _cell(ts, width: int) -> Column:
     return F.floor(second_index(ts) / F.lit(width))
@@ -295,7 +296,7 @@ def stab_join(points: DataFrame, spans: DataFrame, key: list[str], at: str, ini:
 
 
 def trim_partial(df: DataFrame, key: list[str], seq_order: list, ini: str = "inicio", fim: str = "fim",
-                 origin: dict | None = None, cell: int = 3600) -> DataFrame:
+                 origin: dict | None = None) -> DataFrame:
     """Rows that start inside an earlier interval of the key and end after it, with that predecessor.
 
     A predecessor starts before the row, ends after the row's start and before the row's end; the best one
@@ -317,7 +318,7 @@ def trim_partial(df: DataFrame, key: list[str], seq_order: list, ini: str = "ini
     ends = rows.groupBy(*key, F.col(fim).alias("_pf")).agg(F.min(best).alias("_p")).withColumn("_ps", F.col("_p._s"))
     spans = rows.select(*key, F.col(ini).alias("_bi"), F.col(fim).alias("_bf")).distinct()
     ends = materialize(ends, "fins")  # read for the tree of cells and for the winners' columns
-    found = _last_end(spans, ends, key, cell)
+    found = _last_end(spans, ends, key)
     winners = found.join(ends.withColumn("_pu", microsecond_index("_pf")), [*key, "_pu"])
     chosen = (
         winners.select(
@@ -332,38 +333,52 @@ def trim_partial(df: DataFrame, key: list[str], seq_order: list, ini: str = "ini
     return rows.join(chosen, [*key, ini, fim]).select(*df.columns, *names)
 
 
-def _tree(ends: DataFrame, key: list[str], cell: int) -> DataFrame:
-    """(key, level, cell) -> ``_kids``: what lies in the cell, each with the earliest start behind it.
+def _grid(ends: DataFrame) -> tuple[int, int, int]:
+    """First instant of ``_pf`` in microseconds, the unit all of them are whole multiples of after it, and levels a tree over them needs.
 
-    At level 0 these are the ends within ``cell`` seconds, above that the ``TREE_STEP`` cells of the level below, at the
-    top all cells of a key that are left (a cell there spans decades).
+    A level divides a cell into ``TREE_STEP``, down to the single unit, so no cell has more children than that.
     """
-    level = ends.select(*key, _cell("_pf", cell).alias("_cell"), microsecond_index("_pf").alias("_kid"), F.col("_ps").alias("_low"))
-    levels = []
-    for k in range(TREE_LEVELS):
-        levels.append(level.select(*key, F.lit(k).alias("_level"), "_cell", "_kid", "_low"))
-        parent = F.lit(0).cast("long") if k + 2 == TREE_LEVELS else F.floor(F.col("_cell") / F.lit(TREE_STEP))
-        level = level.groupBy(*key, "_cell").agg(F.min("_low").alias("_low")).select(*key, parent.alias("_cell"), F.col("_cell").alias("_kid"), "_low")
-    return reduce(DataFrame.unionByName, levels).groupBy(*key, "_level", "_cell").agg(F.collect_list(F.struct("_kid", "_low")).alias("_kids"))
-
-
-def _last_end(spans: DataFrame, ends: DataFrame, key: list[str], cell: int) -> DataFrame:
+    at = microsecond_index("_pf")
+    low, high, coarse, fine = ends.agg(F.min(at), F.max(at), F.max(F.pmod(at, F.lit(1_000_000))), F.max(F.pmod(at, F.lit(1000)))).first()
+    if low is None:
+        return 0, 1, 1
+    unit = 1_000_000 if coarse == 0 else 1000 if fine == 0 else 1
+    levels = 1
+    while TREE_STEP**levels <= (high - low) // unit:
+        levels += 1
+    return low, unit, levels
+
+
+def _at_level(ts: str, level: int, low: int, unit: int) -> Column:
+    """Number of the cell of ``level`` that holds the instant; at level 0 the instant itself, in units."""
+    index = F.floor((microsecond_index(ts) - F.lit(low)) / F.lit(unit))
+    return index if level == 0 else F.floor(index / F.lit(TREE_STEP**level))
+
+
+def _tree(ends: DataFrame, key: list[str], low: int, unit: int, levels: int) -> DataFrame:
+    """(key, level, cell) -> ``_kids``: the cells of the level below (at level 0 the ends) in it, each with the earliest start behind it."""
+    kids = ends.select(*key, _at_level("_pf", 0, low, unit).alias("_kid"), F.col("_ps").alias("_low"))
+    found = []
+    for k in range(levels):
+        placed = kids.select(*key, F.lit(k).alias("_level"), F.floor(F.col("_kid") / F.lit(TREE_STEP)).alias("_cell"), "_kid", "_low")
+        found.append(placed)
+        kids = placed.groupBy(*key, "_cell").agg(F.min("_low").alias("_low")).select(*key, F.col("_cell").alias("_kid"), "_low")
+    # No more than TREE_STEP in a list.
+    return reduce(DataFrame.unionByName, found).groupBy(*key, "_level", "_cell").agg(F.collect_list(F.struct("_kid", "_low")).alias("_kids"))
+
+
+def _last_end(spans: DataFrame, ends: DataFrame, key: list[str]) -> DataFrame:
     """(key, _bi, _bf, _pu): for each span the last end inside it, in microseconds, whose ``_ps`` is before the span.
 
     Every span asks the cell of its end at each level of the tree for the last child to the left that has an early enough
     start; the lowest level that answers is nearest. From there one look-up a level leads down to the end itself. A
-    span is one row in every join, whatever the number of intervals around it.
+    span is one row in every join, whatever the number of intervals around it, and meets no more than ``TREE_STEP`` children in each.
     """
-    tree = materialize(_tree(ends, key, cell), "arvore")
-
-    def at_level(ts: str, k: int) -> Column:
-        return microsecond_index(ts) if k == 0 else F.floor(_cell(ts, cell) / F.lit(TREE_STEP ** (k - 1)))
-
-    asked = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), (F.lit(0).cast("long") if k + 1 == TREE_LEVELS else at_level("_bf", k + 1)).alias("c"), at_level("_bf", k).alias("below"))
-        for k in range(TREE_LEVELS)]))
-    least = reduce(lambda w, k: w.when(F.col("_level") == k, at_level("_bi", k) + (1 if k == 0 else 0)), range(1, TREE_LEVELS),
-                   F.when(F.col("_level") == 0, at_level("_bi", 0) + 1))
+    low, unit, levels = _grid(ends)
+    tree = materialize(_tree(ends, key, low, unit, levels), "arvore")
+    at = lambda ts, k: _at_level(ts, k, low, unit)
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), at("_bf", k + 1).alias("c"), at("_bf", k).alias("below")) for k in range(levels)]))
+    least = reduce(lambda w, k: w.when(F.col("_level") == k, at("_bi", k)), range(1, levels), F.when(F.col("_level") == 0, at("_bi", 0) + 1))
 
     def last_kid(below: Column | None) -> Column:
         fits = lambda x: (x["_low"] < F.col("_bi")) & (x["_kid"] >= F.col("_least")) & (F.lit(True) if below is None else x["_kid"] < below)
@@ -372,12 +387,12 @@ def _last_end(spans: DataFrame, ends: DataFrame, key: list[str], cell: int) -> D
     placed = spans.withColumn("_a", asked).select(*spans.columns, F.col("_a.k").alias("_level"), F.col("_a.c").alias("_cell"), F.col("_a.below").alias("_below"))
     up = placed.join(tree, [*key, "_level", "_cell"]).withColumn("_least", least).withColumn("_kid", last_kid(F.col("_below"))).where("_kid IS NOT NULL")
     up = materialize(up.groupBy(*spans.columns).agg(F.min(F.struct("_level", "_kid")).alias("_at")).select(*spans.columns, "_at._level", "_at._kid"), "subida")
-    below = up.where(F.col("_level") == TREE_LEVELS - 1)
-    for k in range(TREE_LEVELS - 2, -1, -1):
+    below = up.where(F.col("_level") == levels - 1)
+    for k in range(levels - 2, -1, -1):
         down = below.select(*spans.columns, F.lit(k).alias("_level"), F.col("_kid").alias("_cell")).join(tree, [*key, "_level", "_cell"])
         down = down.withColumn("_least", least).withColumn("_kid", last_kid(None)).where("_kid IS NOT NULL")
         below = up.where(F.col("_level") == k).unionByName(down.select(*spans.columns, "_level", "_kid"))
-    return below.select(*spans.columns, F.col("_kid").alias("_pu"))
+    return below.select(*spans.columns, (F.col("_kid") * F.lit(unit) + F.lit(low)).alias("_pu"))
 
 
 def overlap_pairs(df: DataFrame, key: list[str], ident: str, columns: list[str], ini: str = "inicio",
