@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from vigilia.functions.time import microsecond_index
 from vigilia.operators import intervals
 
 
@@ -66,7 +67,7 @@ def test_trimming_within_one_hour_of_one_key(spark):
     trim = lambda n: intervals.trim_partial(rows(n), ["k"], ["seq"])
     took(lambda: trim(1_000))
     assert took(lambda: trim(40_000)) < 15 * took(lambda: trim(4_000))
-    ends = rows(10_000).select("k", F.col("fim").alias("_pf"), F.col("inicio").alias("_ps"))
+    ends = rows(10_000).select("k", microsecond_index("fim").alias("_pu"), microsecond_index("inicio").alias("_ps"))
     low, unit, levels = intervals._grid(ends)
     assert unit == 1
     assert intervals._tree(ends, ["k"], low, unit, levels).agg(F.max(F.size("_kids"))).first()[0] <= intervals.TREE_STEP

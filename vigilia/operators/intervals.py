@@ -309,37 +309,30 @@ def trim_partial(df: DataFrame, key: list[str], seq_order: list, ini: str = "ini
     before the row, which ``_last_end`` looks up.
     """
     origin = origin or {}
-    rows = df.where(F.col(ini).isNotNull() & F.col(fim).isNotNull() & (F.col(fim) > F.col(ini)))
+    rows = df.where(F.col(ini).isNotNull() & F.col(fim).isNotNull() & (F.col(fim) > F.col(ini))).withColumns(
+        {"_bu": microsecond_index(ini), "_fu": microsecond_index(fim)})
     best = F.struct(
-        F.col(ini).alias("_s"), *[o.alias(f"_o{i}") if isinstance(o, Column) else F.col(o).alias(f"_o{i}")
-                                  for i, o in enumerate(seq_order)],
-        *[F.col(c).alias(f"_x_{n}") for n, c in origin.items()],
+        F.col("_bu").alias("_s"), *[o.alias(f"_o{i}") if isinstance(o, Column) else F.col(o).alias(f"_o{i}")
+                                    for i, o in enumerate(seq_order)],
+        *[F.col(c).alias(f"_x_{n}") for n, c in origin.items()], F.col(ini).alias("_pi"), F.col(fim).alias("_pf"),
     )
-    ends = rows.groupBy(*key, F.col(fim).alias("_pf")).agg(F.min(best).alias("_p")).withColumn("_ps", F.col("_p._s"))
-    spans = rows.select(*key, F.col(ini).alias("_bi"), F.col(fim).alias("_bf")).distinct()
+    ends = rows.groupBy(*key, F.col("_fu").alias("_pu")).agg(F.min(best).alias("_p")).withColumn("_ps", F.col("_p._s"))
+    spans = rows.select(*key, "_bu", "_fu").distinct()
     ends = materialize(ends, "fins")  # read for the tree of cells and for the winners' columns
-    found = _last_end(spans, ends, key)
-    winners = found.join(ends.withColumn("_pu", microsecond_index("_pf")), [*key, "_pu"])
-    chosen = (
-        winners.select(
-            *key, F.col("_bi").alias(ini), F.col("_bf").alias(fim),
-            *[F.col(f"_p._x_{n}").alias(n) for n in origin],
-            F.col("_p._s").alias("inicio_origem"), F.col("_pf").alias("fim_origem"),
-            minute_boundaries(F.col("_bi"), F.col("_pf")).alias("minutos_interseccao"),
-        )
-        .where("minutos_interseccao > 0")
-    )
-    names = [n for n in chosen.columns if n not in (*key, ini, fim)]
-    return rows.join(chosen, [*key, ini, fim]).select(*df.columns, *names)
+    winners = _last_end(spans, ends, key).join(ends, [*key, "_pu"])
+    chosen = winners.select(
+        *key, "_bu", "_fu", *[F.col(f"_p._x_{n}").alias(n) for n in origin], F.col("_p._pi").alias("inicio_origem"), F.col("_p._pf").alias("fim_origem"))
+    names = [*origin, "inicio_origem", "fim_origem", "minutos_interseccao"]
+    crossed = rows.join(chosen, [*key, "_bu", "_fu"]).withColumn("minutos_interseccao", minute_boundaries(F.col(ini), F.col("fim_origem")))
+    return crossed.where("minutos_interseccao > 0").select(*df.columns, *names)
 
 
 def _grid(ends: DataFrame) -> tuple[int, int, int]:
-    """First instant of ``_pf`` in microseconds, the unit all of them are whole multiples of after it, and levels a tree over them needs.
+    """First of the ends ``_pu`` (in microseconds), the unit all of them are whole multiples of after it, and levels a tree over them needs.
 
     A level divides a cell into ``TREE_STEP``, down to the single unit, so no cell has more children than that.
     """
-    at = microsecond_index("_pf")
-    low, high, coarse, fine = ends.agg(F.min(at), F.max(at), F.max(F.pmod(at, F.lit(1_000_000))), F.max(F.pmod(at, F.lit(1000)))).first()
+    low, high, coarse, fine = ends.agg(F.min("_pu"), F.max("_pu"), F.max(F.pmod("_pu", F.lit(1_000_000))), F.max(F.pmod("_pu", F.lit(1000)))).first()
     if low is None:
         return 0, 1, 1
     unit = 1_000_000 if coarse == 0 else 1000 if fine == 0 else 1
@@ -349,26 +342,23 @@ def _grid(ends: DataFrame) -> tuple[int, int, int]:
     return low, unit, levels
 
 
-def _at_level(ts: str, level: int, low: int, unit: int) -> Column:
+def _at_level(us: str, level: int, low: int, unit: int) -> Column:
     """Number of the cell of ``level`` that holds the instant; at level 0 the instant itself, in units."""
-    index = F.floor((microsecond_index(ts) - F.lit(low)) / F.lit(unit))
-    return index if level == 0 else F.floor(index / F.lit(TREE_STEP**level))
+    size = unit * TREE_STEP**level
+    return F.expr(f"({us} - {low}L - pmod({us} - {low}L, {size}L)) div {size}L")
 
 
 def _tree(ends: DataFrame, key: list[str], low: int, unit: int, levels: int) -> DataFrame:
     """(key, level, cell) -> ``_kids``: the cells of the level below (at level 0 the ends) in it, each with the earliest start behind it."""
-    kids = ends.select(*key, _at_level("_pf", 0, low, unit).alias("_kid"), F.col("_ps").alias("_low"))
-    found = []
-    for k in range(levels):
-        placed = kids.select(*key, F.lit(k).alias("_level"), F.floor(F.col("_kid") / F.lit(TREE_STEP)).alias("_cell"), "_kid", "_low")
-        found.append(placed)
-        kids = placed.groupBy(*key, "_cell").agg(F.min("_low").alias("_low")).select(*key, F.col("_cell").alias("_kid"), "_low")
+    at = lambda k: _at_level("_pu", k, low, unit)
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("_level"), at(k + 1).alias("_cell"), at(k).alias("_kid")) for k in range(levels)]))
+    placed = ends.select(*key, cells.alias("_c"), "_ps").select(*key, "_c.*", "_ps").groupBy(*key, "_level", "_cell", "_kid").agg(F.min("_ps").alias("_low"))
     # No more than TREE_STEP in a list.
-    return reduce(DataFrame.unionByName, found).groupBy(*key, "_level", "_cell").agg(F.collect_list(F.struct("_kid", "_low")).alias("_kids"))
+    return placed.groupBy(*key, "_level", "_cell").agg(F.collect_list(F.struct("_kid", "_low")).alias("_kids"))
 
 
 def _last_end(spans: DataFrame, ends: DataFrame, key: list[str]) -> DataFrame:
-    """(key, _bi, _bf, _pu): for each span the last end inside it, in microseconds, whose ``_ps`` is before the span.
+    """(key, _bu, _fu, _pu): for each span the last end inside it whose start ``_ps`` is before the span, all in microseconds.
 
     Every span asks the cell of its end at each level of the tree for the last child to the left that has an early enough
     start; the lowest level that answers is nearest. From there one look-up a level leads down to the end itself. A
@@ -377,11 +367,11 @@ def _last_end(spans: DataFrame, ends: DataFrame, key: list[str]) -> DataFrame:
     low, unit, levels = _grid(ends)
     tree = materialize(_tree(ends, key, low, unit, levels), "arvore")
     at = lambda ts, k: _at_level(ts, k, low, unit)
-    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), at("_bf", k + 1).alias("c"), at("_bf", k).alias("below")) for k in range(levels)]))
-    least = reduce(lambda w, k: w.when(F.col("_level") == k, at("_bi", k)), range(1, levels), F.when(F.col("_level") == 0, at("_bi", 0) + 1))
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), at("_fu", k + 1).alias("c"), at("_fu", k).alias("below")) for k in range(levels)]))
+    least = reduce(lambda w, k: w.when(F.col("_level") == k, at("_bu", k)), range(1, levels), F.when(F.col("_level") == 0, at("_bu", 0) + 1))
 
     def last_kid(below: Column | None) -> Column:
-        fits = lambda x: (x["_low"] < F.col("_bi")) & (x["_kid"] >= F.col("_least")) & (F.lit(True) if below is None else x["_kid"] < below)
+        fits = lambda x: (x["_low"] < F.col("_bu")) & (x["_kid"] >= F.col("_least")) & (F.lit(True) if below is None else x["_kid"] < below)
         return F.array_max(F.transform(F.filter("_kids", fits), lambda x: x["_kid"]))
 
     placed = spans.withColumn("_a", asked).select(*spans.columns, F.col("_a.k").alias("_level"), F.col("_a.c").alias("_cell"), F.col("_a.below").alias("_below"))
