@@ -41,7 +41,7 @@ def test_discover(spark, folder):
 
 
 def test_encodings(spark, folder):
-    got = {os.path.basename(r.arquivo_path)[17:25]: (r.encoding, r.cabecalho) for r in files.classify(spark, paths(spark, folder)).collect()}
+    got = {os.path.basename(r.arquivo_path)[17:25]: (r.encoding, r.cabecalho) for r in files.classify(files.scan_lines(spark, paths(spark, folder))).collect()}
     assert {k: v[0] for k, v in got.items()} == {"20240115": "utf-8", "20240116": "cp1252", "20240201": "latin-1", "20231201": "utf-8"}
     assert {v[1] for v in got.values()} == {HEAD}
     text = {r.NUM_INTRP_UCI: r.DESC_INTRP for r in files.read_outage_files(spark, paths(spark, folder)).collect() if r.DESC_INTRP}
@@ -136,6 +136,30 @@ def test_bad_lines_do_not_depend_on_the_columns_read(spark, tmp_path):
     assert files.good_rows(rows).count() == 1 and files.bad_rows(rows).count() == 1
 
 
+def test_the_text_is_read_once(spark, folder, tmp_path, monkeypatch):
+    """Whatever the number of headers and encodings, the files are scanned a single time."""
+    put(folder, "Interrupcoes_IQS_20240117120000_LES.CSV", ["77|8|R"], head="NUM_UC_UCI|NUM_INTRP_UCI|NUM_POSTO_UCI")
+    scans = []
+    scan = files.scan_lines
+    monkeypatch.setattr(files, "scan_lines", lambda *a: scans.append(1) or scan(*a))
+    rows = files.read_outage_files(spark, paths(spark, folder))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 7 and scans == [1] and "FileScan text" not in plan and "FileScan csv" not in plan
+    ingest.ingest(spark, folder, str(tmp_path / "t"), str(tmp_path / "log"), "r1")
+    assert scans == [1, 1]
+
+
+def test_lines_that_look_odd(spark, tmp_path):
+    """A byte order mark, quotes, carriage returns, blank lines, a header that is not the first line, accents in a header."""
+    head = "NUM_INTRP_UCI|NUM_POSTO_UCI|NUM_UC_UCI|Descrição"
+    (tmp_path / "Interrupcoes_IQS_20240115120000_CSL.CSV").write_bytes(("\ufeffDESC|" + head + "\r\nx|1|P|10|\"a|b\"\r\n\r\n  \r\ny|2|P||\"\"\r\n").encode())
+    (tmp_path / "Interrupcoes_IQS_20240116120000_CSL.CSV").write_bytes(("preâmbulo\n" + head + "\n3|P|10|é\n").encode("cp1252"))
+    rows = files.read_outage_files(spark, [str(tmp_path)])
+    got = {r.NUM_INTRP_UCI: (r.DESC, r["Descrição"], r.NUM_UC_UCI) for r in files.good_rows(rows).collect()}
+    assert got == {"1": ("x", "a|b", "10"), "2": ("y", None, None), "3": (None, "é", "10")}
+    assert [r.linha for r in files.bad_rows(rows).collect()] == ["preâmbulo"]
+
+
 def test_a_folder_of_empty_files(spark, tmp_path):
     (tmp_path / "Interrupcoes_IQS_20240115120000_CSL.CSV").write_bytes(b"")
     assert files.read_outage_files(spark, [str(tmp_path)]).count() == 0

@@ -58,9 +58,10 @@ def ingest(spark: SparkSession, folder: str, table: str, log_path: str, run_ts:
     paths = [r.arquivo_path for r in todo.select("arquivo_path").toLocalIterator()]
     if not paths:
         return spark.createDataFrame([], S.CSV_LOG_SCHEMA)
-    kinds = materialize(src.classify(spark, paths), "cabecalhos")
-    # Staged once: the text is parsed a single time for rows, bad lines and counts.
-    rows = materialize(src.read_outage_files(spark, paths, kinds=kinds), "staged")
+    # The text is read once, and parsed once for rows, bad lines and counts.
+    lines = src.stage_lines(spark, paths)
+    kinds = materialize(src.classify(lines), "cabecalhos")
+    rows = materialize(src.with_file_columns(src.parse_lines(spark, lines, kinds)), "staged")
     good = src.good_rows(rows).drop("snapshot_ts")
     append_rows(new_rows(good.drop("arquivo_path"), table_or_none(spark, table)).drop("arquivo_nome"), table)
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..operators.relational import first_per_key, stack
+from ..session import materialize
 
 BAD = "_corrupt_record"
 
@@ -71,70 +72,87 @@ def status_counts(status: DataFrame) -> DataFrame:
     )
 
 
-def classify(spark: SparkSession, paths: list[str], key: list[str] | None = None) -> DataFrame:
-    """Per file: header line and encoding (UTF-8 when every line is, else 1252, else Latin-1).
+def scan_lines(spark: SparkSession, paths: list[str], key: list[str] | None = None) -> DataFrame:
+    """The lines of files with their path, byte for character (Latin-1), and what a line says about its file.
 
-    One distributed scan of lines, whatever the size of a file. The header is the line that names the record key.
+    ``cabecalho`` is the line where it names the record key; ``utf8`` and ``indefinido`` say whether its bytes are UTF-8 and, if
+    not, whether code page 1252 leaves one of them undefined. Blank lines are left out.
     """
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("arquivo_path"))
     tokens = F.split("value", r"\|")
     is_header = F.lit(True)
     for c in key or S.RECORD_KEY:
         is_header = is_header & F.array_contains(tokens, c)
-    # Bytes that code page 1252 leaves undefined, looked for only where a line is not UTF-8.
+    # Undefined bytes are looked for only where a line is not UTF-8.
     undefined = F.hex(F.col("value").cast("binary")).rlike("^(?:[0-9A-F]{2})*?(?:81|8D|8F|90|9D)")
-    valid = F.expr("is_valid_utf8(value)")
+    valid, plain = F.expr("is_valid_utf8(value)"), F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    return lines.select(
+        "arquivo_path", plain.alias("linha"), F.when(is_header, plain).alias("cabecalho"), valid.alias("utf8"),
+        F.when(~valid, undefined).otherwise(F.lit(False)).alias("indefinido"),
+    ).where(F.col("linha").rlike("[^\\x00-\\x20]"))
+
+
+def stage_lines(spark: SparkSession, paths: list[str], key: list[str] | None = None) -> DataFrame:
+    """``scan_lines``, stored: the one time the text itself is read."""
+    return materialize(scan_lines(spark, paths, key), "linhas")
+
+
+def classify(lines: DataFrame) -> DataFrame:
+    """Per file of ``scan_lines``: header line and encoding (UTF-8 when every line is, else 1252, else Latin-1)."""
     per_file = lines.groupBy("arquivo_path").agg(
-        F.min(F.when(is_header, F.col("value"))).alias("cabecalho"), F.min(valid).alias("_utf8"),
-        F.max(F.when(~valid, undefined).otherwise(F.lit(False))).alias("_undefined"),
-    )
-    return per_file.select(
-        "arquivo_path", "cabecalho",
-        F.when(F.col("_utf8"), F.lit("utf-8")).when(F.col("_undefined"), F.lit("latin-1")).otherwise(F.lit("cp1252")).alias("encoding"),
-    )
+        F.min("cabecalho").alias("cabecalho_bruto"), F.min("utf8").alias("_utf8"), F.max("indefinido").alias("_undefined"))
+    encoding = F.when(F.col("_utf8"), F.lit("utf-8")).when(F.col("_undefined"), F.lit("latin-1")).otherwise(F.lit("cp1252"))
+    known = per_file.select("arquivo_path", "cabecalho_bruto", encoding.alias("encoding"))
+    return known.withColumn("cabecalho", decoded("cabecalho_bruto"))
 
 
-def read_group(spark: SparkSession, paths: list[str], columns: list[str], encoding: str = "utf-8", mode: str = "PERMISSIVE") -> DataFrame:
-    """Files with one header and one encoding, all text, blanks as null, with path and bad-line column."""
-    fields = [T.StructField(c, T.StringType()) for c in columns]
-    if mode == "PERMISSIVE":
-        fields.append(T.StructField(BAD, T.StringType()))
-    reader = spark.read.schema(T.StructType(fields)).options(
-        sep=S.CSV_SEPARATOR, header=True, mode=mode, encoding="UTF-8" if encoding == "utf-8" else "ISO-8859-1", enforceSchema=mode != "FAILFAST"
-    )
-    if mode == "PERMISSIVE":
-        # Without pruning every column is parsed, so that the mark of a bad line does not depend on what is selected.
-        reader = reader.options(columnNameOfCorruptRecord=BAD, columnPruning=False)
-    rows = reader.csv(paths)
-    value = lambda c: F.nullif(F.translate(c, LATIN1_C1, CP1252_C1) if encoding == "cp1252" else F.col(c), F.lit(" "))
-    # Spark refuses to read the mark of a bad line alone, so it refers to a column as well; no text is shorter than nothing.
-    mark = F.coalesce(F.col(BAD), F.when(F.length(columns[0]) < 0, F.col(columns[0]))).alias(BAD) if mode == "PERMISSIVE" else None
-    return rows.select(
-        *[value(c).alias(c) for c in columns], *([] if mark is None else [mark]),
-        F.col("_metadata.file_path").alias("arquivo_path"),
-    )
+def decoded(line: str) -> Column:
+    """Text of a line that was read byte for character, by the ``encoding`` of its file."""
+    text = F.col(line)
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    utf8 = F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
+    return F.when(ascii_only, text).when(F.col("encoding") == "utf-8", utf8).when(
+        F.col("encoding") == "cp1252", F.translate(text, LATIN1_C1, CP1252_C1)).otherwise(text)
+
+
+def read_group(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
+    """Files with one header, all text, blanks as null, with their path; a line that does not fit fails the read."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    rows = spark.read.schema(schema).options(sep=S.CSV_SEPARATOR, header=True, mode="FAILFAST", encoding="UTF-8", enforceSchema=False).csv(paths)
+    return rows.select(*[F.nullif(F.col(c), F.lit(" ")).alias(c) for c in columns], F.col("_metadata.file_path").alias("arquivo_path"))
 
 
 def header_names(line: str) -> tuple[str, ...]:
     return tuple(n.strip().lstrip("\ufeff") for n in line.split(S.CSV_SEPARATOR))
 
 
-def read_outage_files(spark: SparkSession, paths: list[str], mode: str = "PERMISSIVE", kinds: DataFrame | None = None) -> DataFrame:
-    """Raw rows of many files: per header and encoding one read, stacked by name; absent columns are null.
+def parse_lines(spark: SparkSession, lines: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Rows of ``scan_lines`` by ``classify``: every line parsed by the header of its file, the columns of all headers by name.
 
-    A file without a header that names the record key has no rows here (``headerless`` lists those), and the others are
-    unaffected. What reaches the driver is one line per file: its path, header and encoding. ``kinds`` is ``classify`` of
-    the paths, where it is known already.
+    All text, blanks as null, absent columns null; ``BAD`` has the lines that do not fit their header. Files without a header have no
+    rows. What reaches the driver is the distinct header lines, one for each layout there is.
     """
-    groups: dict[tuple, list[str]] = {}
-    for row in (classify(spark, paths) if kinds is None else kinds).toLocalIterator():
-        if row.cabecalho is not None:
-            groups.setdefault((header_names(row.cabecalho), row.encoding), []).append(row.arquivo_path)
-    frames = [read_group(spark, files, list(names), enc, mode) for (names, enc), files in sorted(groups.items())]
-    if not frames:
-        bad = f", {BAD} string" if mode == "PERMISSIVE" else ""
-        frames = [spark.createDataFrame([], ", ".join(f"{c} string" for c in S.RECORD_KEY) + bad + ", arquivo_path string")]
-    return with_file_columns(stack(*frames))
+    layouts = [r[0] for r in kinds.where("cabecalho IS NOT NULL").select("cabecalho").distinct().toLocalIterator()]
+    joined = lines.select("arquivo_path", "linha").join(kinds, "arquivo_path").where("cabecalho IS NOT NULL AND linha <> cabecalho_bruto")
+    rows = joined.select("arquivo_path", "cabecalho", decoded("linha").alias("texto"))
+    options = {"sep": S.CSV_SEPARATOR, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    found: dict[str, list[Column]] = {c: [] for c in S.RECORD_KEY}
+    for i, layout in enumerate(sorted(layouts)):
+        names = header_names(layout)
+        schema = ", ".join("`{}` STRING".format(n.replace("`", "``")) for n in (*names, BAD))
+        rows = rows.withColumn(f"_p{i}", F.from_csv(F.when(F.col("cabecalho") == layout, F.col("texto")), schema, options))
+        for n in (*names, BAD):
+            found.setdefault(n, []).append(F.col(f"_p{i}")[n])
+    bad = found.pop(BAD, [])
+    text = lambda cells: F.coalesce(*cells) if cells else F.lit(None).cast("string")
+    return rows.select(*[F.nullif(text(cells), F.lit(" ")).alias(n) for n, cells in found.items()], text(bad).alias(BAD), "arquivo_path")
+
+
+def read_outage_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Raw rows of many files, whose text is read once: see ``parse_lines``. A file without a header has no rows here (``headerless``
+    lists those), and the others are unaffected."""
+    lines = stage_lines(spark, paths)
+    return with_file_columns(parse_lines(spark, lines, classify(lines)))
 
 
 def headerless(kinds: DataFrame) -> DataFrame:
@@ -184,7 +202,7 @@ def read_closing(spark: SparkSession, folder: str) -> DataFrame:
         groups.setdefault(header_names(row.cabecalho), []).append(row.arquivo_path)
     if not groups:
         raise ValueError(f"no closing file in {folder}")
-    frames = [read_group(spark, files, list(names), mode="FAILFAST") for names, files in sorted(groups.items())]
+    frames = [read_group(spark, files, list(names)) for names, files in sorted(groups.items())]
     return stack(*frames).withColumn("arquivo_origem", file_name(F.col("arquivo_path"))).drop("arquivo_path")
 
 
