@@ -37,18 +37,23 @@ def parse_ts(col, formats=(DMY, ISO), native: bool = True) -> Column:
     return F.when(text.rlike(fits), plain.try_cast("timestamp_ntz"))
 
 
-def minute_index(ts) -> Column:
-    """Minutes since 1970-01-01 00:00, floored; independent of the session zone."""
-    ts = F.col(ts) if isinstance(ts, str) else ts
-    return (
-        F.unix_date(ts.cast("date")).cast("long") * F.lit(1440) + F.hour(ts) * F.lit(60) + F.minute(ts)
-    )
+#: Times are told by their distance from here, which is never negative, so that cutting it off rounds down.
+_START = "0001-01-01 00:00:00"
+_SECONDS_TO_1970 = 62135596800
 
 
 def second_index(ts) -> Column:
     """Seconds since 1970-01-01 00:00:00, floored; independent of the session zone."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return minute_index(ts) * F.lit(60) + F.second(ts)
+    since = ts.cast("timestamp_ntz") - F.lit(_START).cast("timestamp_ntz")
+    return since.cast("interval second").cast("long") - F.lit(_SECONDS_TO_1970)
+
+
+def minute_index(ts) -> Column:
+    """Minutes since 1970-01-01 00:00, floored; independent of the session zone."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    since = ts.cast("timestamp_ntz") - F.lit(_START).cast("timestamp_ntz")
+    return since.cast("interval minute").cast("long") - F.lit(_SECONDS_TO_1970 // 60)
 
 
 def microsecond_index(ts) -> Column:

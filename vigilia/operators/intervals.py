@@ -193,7 +193,8 @@ def _staircases(df: DataFrame, key: list[str], event: str, order: str, ini: str,
     the second staircase where that exceeds what the others had. Of equal (key, start, event) only the first row counts, which partial
     aggregation finds; ``once`` leaves the second staircase out, and then one row per (key, start) is enough.
     """
-    top = F.min(F.struct((-microsecond_index(fim)).alias("d"), F.col(order).alias("o"), F.col(event).alias("e"), F.col(fim).alias("f"))).alias("_t")
+    back = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz") - F.col(fim)  # the shorter, the later the end
+    top = F.min(F.struct(back.alias("d"), F.col(order).alias("o"), F.col(event).alias("e"), F.col(fim).alias("f"))).alias("_t")
     rows = df.groupBy(*key, ini, *([] if once else [event])).agg(top).select(
         *key, F.col(ini).alias("_ri"), F.col("_t.f").alias("_rf"), F.col("_t.o").alias("_ro"), F.col("_t.e").alias("_re"), F.col("_t.d").alias("_rd"),
     ).withColumn("_cell", _cell("_ri", cell))
