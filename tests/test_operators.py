@@ -84,3 +84,23 @@ def test_mode(spark):
     rows = [("a", "x"), ("a", "x"), ("a", "b"), ("b", "z"), ("b", "y"), ("c", None)]
     out = R.mode_per_group(spark.createDataFrame(rows, "g string, v string"), ["g"], "v")
     assert sorted((r.g, r.v, r.ocorrencias) for r in out.collect()) == [("a", "x", 2), ("b", "y", 1)]
+
+
+def test_dedup_of_a_stored_table(spark, tmp_path):
+    """Same rows as the window gives, with nulls in key and order, one hot key, and no exchange or sort of the wide rows."""
+    rows = spark.range(4000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE CAST(id % 1500 AS STRING) END AS k", "CASE WHEN id % 7 = 0 THEN NULL ELSE CAST(id % 11 AS STRING) END AS o",
+        "id AS t", *[f"concat('wide', {i}, id) AS w{i}" for i in range(12)])
+    path = str(tmp_path / "t")
+    rows.repartition(5).write.parquet(path)
+    table = spark.read.parquet(path)
+    assert R.stored_rows(table.where("t > 1").select("k", "o")) and not R.stored_rows(rows) and not R.stored_rows(table.groupBy("k").count())
+    whole = lambda d: sorted(map(str, d.collect()))
+    assert whole(R.dedup_stored(table, ["k"], ["o"], ["t"])) == whole(R.dedup_by_key(table, ["k"], ["o"], ["t"]))
+    assert whole(R.dedup_stored(table.drop("t"), ["k"], ["o"])) == whole(R.dedup_by_key(table.drop("t"), ["k"], ["o"]))
+    twice = table.unionByName(table)
+    assert not R.stored_rows(twice) or R.dedup_stored(twice, ["k"], ["o"]).count() == R.dedup_by_key(twice, ["k"], ["o"]).count()
+    spark.read.parquet(path).unionByName(table).write.parquet(path + "2")
+    assert R.dedup_stored(spark.read.parquet(path + "2"), ["k"], ["o"]).count() == R.dedup_by_key(table, ["k"], ["o"]).count()
+    plan = R.dedup_stored(table, ["k"], ["o"], ["t"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Sort " not in plan

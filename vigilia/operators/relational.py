@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +87,39 @@ def dedup_by_key(df: DataFrame, key: list[str], order: list, tiebreak: list | No
     return first_per_key(hashed, key, [*order, "_h"]).drop("_h")
 
 
+def stored_rows(df: DataFrame) -> bool:
+    """Whether rows of ``df`` can be told by file and position: a scan of Parquet files, filtered or projected at most."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def dedup_stored(table: DataFrame, key: list[str], order: list[str], tiebreak: list[str] | None = None) -> DataFrame:
+    """``dedup_by_key`` for a table in storage (see ``stored_rows``): narrow rows are ranked, and wide ones read once more, without those found to repeat.
+
+    The first row of each key is a minimum over (order, tiebreak, file, position), which partial aggregation finds; only keys
+    with several rows come back to name the others by file and position, and those are stored and taken out of the scan by an
+    anti-join. While they are few they are broadcast and no wide row is exchanged or sorted; beyond that the wide rows take one
+    exchange. A key that holds any part of the rows is one row in the aggregation and split in the join.
+    """
+    place = ["_arquivo", "_linha"]
+    located = table.select("*", F.col("_metadata.file_path").alias(place[0]), F.col("_metadata.row_index").alias(place[1]))
+    if tiebreak is None:
+        rest = sorted(set(table.columns) - set(key) - set(order))
+        located, tiebreak = located.withColumn("_h", F.xxhash64(*rest) if rest else F.lit(0)), ["_h"]
+    last = lambda c: F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v"))  # noqa: E731  (nulls last)
+    ranked = F.struct(*[last(c).alias(f"o{i}") for i, c in enumerate([*order, *tiebreak])], *place)
+    narrow = located.select(*key, ranked.alias("_rank"))
+    best = narrow.groupBy(*key).agg(F.min("_rank").alias("_best"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    best = best.withColumnsRenamed({c: f"_k_{c}" for c in key})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key])
+    other = reduce(lambda a, b: a | b, [F.col(f"_rank.{c}") != F.col(f"_best.{c}") for c in place])
+    repeated = narrow.join(best, same).where(other).select(*[F.col(f"_rank.{c}").alias(c) for c in place])
+    return located.join(materialize(repeated, "repetidas"), place, "left_anti").select(*table.columns)
+
+
 def dedup_keep_incomplete(df: DataFrame, key: list[str], order: list, tiebreak: list | None = None) -> DataFrame:
     """Dedup rows with a full key; rows where a key part is blank all stay and take no part in the exchange."""
     complete = F.lit(True)

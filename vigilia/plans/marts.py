@@ -12,7 +12,7 @@ from ..functions.time import (
 )
 from ..operators.intervals import contained
 from ..operators.relational import (
-    backfill, dedup_by_key, find_column, first_per_key, require, stack, with_latest,
+    backfill, dedup_by_key, dedup_stored, find_column, first_per_key, require, stack, stored_rows, with_latest,
 )
 from ..session import materialize
 
@@ -42,7 +42,8 @@ def build_union(months: DataFrame, tiebreak: list[str] | None = None) -> DataFra
     require(months, [*S.RECORD_KEY, "DATA_HORA_INIC_INTRP", "DATA_HORA_FIM_INTRP"])
     months = backfill(months, {"SIGLA_REGIONAL": "string", "REGIONAL_ORIGEM": "string",
                                "DTHR_INICIO_INTRP_UC": "string"})
-    one = dedup_by_key(months, S.RECORD_KEY, ["DATA_HORA_INIC_INTRP", "DATA_HORA_FIM_INTRP"], tiebreak)
+    dedup = dedup_stored if stored_rows(months) else dedup_by_key
+    one = dedup(months, S.RECORD_KEY, ["DATA_HORA_INIC_INTRP", "DATA_HORA_FIM_INTRP"], tiebreak)
     typed = one.withColumns({ts: parse_ts(raw) for raw, ts in TIMES.items()})
     minutes = elapsed_minutes("DATA_HORA_INIC_INTRP_TS", "DATA_HORA_FIM_INTRP_TS")
     return typed.withColumn("duracao", minutes).withColumns({
