@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, line dedup, near duplicates, personal data, packing; each stage is stored and reread."""
+"""The corpus pipeline: quality rules, line dedup, near duplicates, personal data, packing; each stage is stored and reread.
+
+Each stage keeps the columns of documents, others included, whatever their names; an empty table stays empty. Null and empty texts fail
+the quality rules; repeated rows are judged alike and count as copies for near duplicates; rows without ``doc_id`` pass line dedup as they
+are and come last where a copy is chosen. Texts of any length are taken whole.
+"""
 
 from __future__ import annotations
 
@@ -28,10 +33,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest ``doc_id``, which names the component."""
-    groups = jaccard_join.jaccard_components(docs)
-    gone = groups.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of near duplicates, repeated rows and rows without ``doc_id`` included: the one with the smallest ``doc_id``,
+    none coming last. Rows without words link with nothing and stay."""
+    return jaccard_join.one_per_component(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,10 +190,28 @@ def test_against_sql(spark, sf_dir, con, name):
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in queries.MODULES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.MODULES} == {f"op{k}" for k in range(1, 14)}
     assert {*queries.MODULES, "pipeline"} <= set(entry.queries())
 
 
+def test_one_row_of_each_component(spark, odd_docs, no_docs):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (1, text), (2, text), (None, text), (None, text), (3, text + " x"), (None, "other " * 9), (None, "other " * 9), (None, "other " * 9),
+            (7, ""), (7, ""), (None, None), (9, "alone in the world of words"), (9, "quite another text under one id")]
+    df = spark.createDataFrame([(i, t, k, "h") for k, (i, t) in enumerate(rows)], "doc_id long, text string, _gone_id int, _place string").repartition(4)
+    kept = jaccard_join.one_per_component(df)
+    assert kept.columns == df.columns
+    want = [(1, text), (None, "other " * 9), (7, ""), (7, ""), (None, None), (9, rows[13][1]), (9, rows[14][1])]
+    assert sorted(pairs(kept), key=str) == sorted(want, key=str)
+    assert jaccard_join.one_per_component(no_docs).count() == 0
+    got, given = pairs(jaccard_join.one_per_component(odd_docs)), pairs(odd_docs)
+    ids = {}
+    for place, (_, _, component) in enumerate(grouped([(k, t) for k, (_, t) in enumerate(given)])):
+        ids.setdefault(component, []).append(given[place])
+    best = [min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] for g in ids.values()]
+    assert sorted(map(str, best)) == sorted(str(i) for i, _ in got)
+
+
 def test_pipeline_stages(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         kept = docs

@@ -33,7 +33,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import configure, materialize
@@ -96,13 +96,14 @@ def _set_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(texts)
         node = pa.array(sets.node, mask=sets.size == 0)
         small = [sets.hashes[a:b].view(np.int64) if b - a <= LONGEST_LIGHT else None for a, b in zip(sets.bounds, sets.bounds[1:])]
-        columns = [rows.column("doc_id"), pa.array(sets.size.astype(np.int64)), node, pa.array(small, pa.list_(pa.int64()))]
-        yield pa.record_batch(columns, ["doc_id", "n_shingles", "node", "small"])
+        columns = [rows.column("doc_id"), rows.column("text_hash"), pa.array(sets.size.astype(np.int64)), node, pa.array(small, pa.list_(pa.int64()))]
+        yield pa.record_batch(columns, ["doc_id", "text_hash", "n_shingles", "node", "small"])
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the size of the set, its node (null if empty) and, of sets that may be light, the shingles; for every row."""
-    return docs.select("doc_id", "text").mapInArrow(_set_task, "doc_id long, n_shingles long, node long, small array<long>")
+    """``doc_id``, a hash of the text, the size of the set, its node (null if empty) and, of sets that may be light, the shingles; for every row."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        _set_task, "doc_id long, text_hash long, n_shingles long, node long, small array<long>")
 
 
 # -- choices made on a sample ---------------------------------------------------------------------------------------------------
@@ -317,8 +318,8 @@ def heavy_links(sets: DataFrame) -> DataFrame:
 # -- the whole job --------------------------------------------------------------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (smallest ``doc_id`` reachable by links) of every row of ``docs`` (``doc_id``, ``text``)."""
+def component_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``n_shingles`` and ``root`` (a node that names the component; null without shingles) of every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sets = materialize(shingle_sets(docs), "shingle-sets")
@@ -331,12 +332,48 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     if boundary:
         links = links.unionByName(light_links(sets, boundary))
     roots = components(links)
-    rows = sets.drop("small").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return sets.drop("small").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` (smallest ``doc_id`` reachable by links) of every row of ``docs`` (``doc_id``, ``text``)."""
+    rows = component_rows(docs)
     # Stored, so that the join below deals its rows out anew and a component of many rows can be split.
     first = materialize(rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least_id")), "component-ids")
     return rows.join(first, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
 
 
+def one_per_component(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``, with all columns, and every row that links with nothing.
+
+    The row that stays has the smallest ``doc_id`` (none comes last), then the smallest hash of its text; where rows are equal in
+    both, one of them, by a hash of all columns. The choice is a minimum per component, which partial aggregation finds; rows that go are
+    named by ``doc_id`` and hash of the text, and only rows equal to one that stays are ranked, a row a task and key.
+    """
+    rows = component_rows(docs).where("root IS NOT NULL").select("root", "doc_id", "text_hash")
+    counted = materialize(rows.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("copies")), "component-rows")
+    chosen = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best")
+    best = materialize(counted.groupBy("root").agg(chosen, F.sum("copies").alias("rows")).where("rows > 1"), "component-choices")
+    ranked = counted.join(best, "root")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    gone_id, gone_hash, own_hash, place = (_free(n, docs.columns) for n in ("_gone_id", "_gone_hash", "_text_hash", "_place"))
+    named = [F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)]
+    gone = materialize(ranked.where(~stays).select(*named), "component-gone")
+    again = materialize(ranked.where(stays & (F.col("copies") > 1)).select(*named), "component-copies")
+    hashed = docs.withColumn(own_hash, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(own_hash) == F.col(gone_hash))
+    left = hashed.join(gone, same, "left_anti")
+    first = Window.partitionBy("doc_id", own_hash).orderBy(F.xxhash64(*docs.columns))
+    one = left.join(again, same, "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return left.join(again, same, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return jaccard_components(configure(spark).read.parquet(f"{sf_dir}/documents.parquet"))
