@@ -104,3 +104,24 @@ def test_dedup_of_a_stored_table(spark, tmp_path):
     assert R.dedup_stored(spark.read.parquet(path + "2"), ["k"], ["o"]).count() == R.dedup_by_key(table, ["k"], ["o"]).count()
     plan = R.dedup_stored(table, ["k"], ["o"], ["t"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Sort " not in plan
+
+
+def test_pages_by_cursor(spark, tmp_path):
+    """All pages in a row are the whole listing, with nulls and ties, ascending and descending; the cursor reaches the scan."""
+    rows = [(rnd if rnd else None, k % 3 or None, k) for k, rnd in enumerate([random.Random(3).randrange(5) for _ in range(1)] + [k * 7 % 5 for k in range(60)])]
+    spark.createDataFrame(rows, "a int, b int, id int").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for up in (True, False):
+        order, cursor, got = [("a", up), ("b", not up), ("id", True)], None, []
+        while True:
+            page = R.page_after(df, order, 7, cursor)
+            got += [tuple(r) for r in page.collect()]
+            cursor = R.last_of(page, order)
+            if cursor is None:
+                break
+        whole = sorted(rows, key=lambda r: (r[0] is None, (r[0] or 0) * (1 if up else -1), r[1] is None, (r[1] or 0) * (-1 if up else 1), r[2]))
+        assert got == whole
+    plan = R.page_after(df, [("id", True)], 5, {"id": 40})._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,40)" in plan
+    with pytest.raises(ValueError):
+        R.page_after(df, order, 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilia import schema as S
 from vigilia.plans import ingest
-from vigilia.sources import files, sinks
+from vigilia.sources import files, sinks, versions
 from vigilia.streaming import ingest as live
 
 HEAD = "NUM_INTRP_UCI|NUM_POSTO_UCI|NUM_UC_UCI|DESC_INTRP|KVA_INTRP"
@@ -248,3 +248,19 @@ def test_month_params(spark):
     p = files.month_params("202412")
     assert (p["inicio"], p["proximo"]) == ("2024-12-01", "2025-01-01")
     assert spark.sql("SELECT :anomes AS a, date(:proximo) AS b", args=p).first()[0] == "202412"
+
+
+def test_a_publish_that_dies_half_way(spark, tmp_path):
+    """Parts of a new state, and a commit cut short, are never seen; the next publish goes on from the old state."""
+    table = versions.VersionedTable(spark, str(tmp_path / "t"))
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    held = table.publish(spark.range(10))
+    table.prepare(spark.range(99))
+    (tmp_path / "t" / "_commits" / "0000000002").write_text("v-cut")
+    assert table.read().count() == 10 and [n for n, _ in table.commits()] == [1]
+    # The new state is read from the old one, in one job.
+    assert table.publish(table.read().where("id > 2")).count() == 7 and table.commits()[0][0] == 3
+    assert held.count() == 10
+    assert len(table.release(keep=2)) == 1 and held.count() == 10
+    assert len(table.release()) == 1 and table.read().count() == 7 and [n for n, _ in table.commits()] == [3]

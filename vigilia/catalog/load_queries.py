@@ -11,6 +11,7 @@ from ..operators.relational import stack
 from ..plans import ingest, marts, trail
 from ..session import work_path
 from ..sources import files, sinks
+from ..sources.versions import VersionedTable
 from ..streaming import ingest as live
 from . import relations as B
 from .quality_queries import FMT, UCCONT, UCROWS, UCTRIM
@@ -323,6 +324,18 @@ def run_trail(t):
     return stack(*[df.agg(F.count("*").alias("linhas")).select(F.lit(step).alias("etapa"), "linhas") for step, df in done.items()])
 
 
+@query("publish_half_way", B.with_(B.RAW, B.UNI, _APU) + f"""
+SELECT {", ".join(S.RECORD_KEY)}, SIGLA_REGIONAL, strftime({B.INI}, {FMT}) AS inicio, strftime({B.FIM}, {FMT}) AS fim, duracao FROM apu""")
+def publish_half_way(t):
+    """SNK-01, SNK-12: a month published whole; a rewrite that loses rows dies before its commit and is not seen."""
+    month = marts.assess_month(B.uni(t), "202402", B.RUN_TS, drop_cancelled=True)
+    table = VersionedTable(t.spark, work_path(t.spark, "published"))
+    table.publish(month.limit(0))
+    table.publish(month)
+    table.prepare(table.read().where("duracao > 60"))
+    return table.read().select(*S.RECORD_KEY, "SIGLA_REGIONAL", iso_text(B.INI).alias("inicio"), iso_text(B.FIM).alias("fim"), "duracao")
+
+
 _APU91 = """apu91 AS (
   SELECT * REPLACE (CASE WHEN NUM_INTRP_UCI || '|' || NUM_POSTO_UCI || '|' || NUM_UC_UCI IN (SELECT chave_registro FROM uccont WHERE chave_registro IS NOT NULL)
                          THEN '91' ELSE NUM_MOTIVO_TRAT_DIF_UCI END AS NUM_MOTIVO_TRAT_DIF_UCI) FROM apu)"""

@@ -170,6 +170,33 @@ def paged(df: DataFrame, order: list, limit: int, offset: int = 0, where: Column
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], limit: int, cursor: dict | None = None, max_limit: int = 5000) -> DataFrame:
+    """The page of a listing that follows ``cursor``, the sort key of the last row seen (none: the first page).
+
+    ``order`` names columns, true for ascending, nulls last in either case; together they must tell rows apart, or rows equal to the cursor
+    are left out. The cursor is a filter: its first column reaches the scan, and no page pays for those before it.
+    """
+    if not 1 <= limit <= max_limit:
+        raise ValueError(f"a page has 1 to {max_limit} rows, not {limit}")
+    by = [F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in order]
+    if cursor is None:
+        return df.orderBy(*by).limit(limit)
+    here = lambda c: F.lit(cursor[c]).cast(df.schema[c].dataType)
+    past = lambda c, up: F.lit(False) if cursor[c] is None else (F.col(c) > here(c) if up else F.col(c) < here(c)) | F.col(c).isNull()
+    after, equal = F.lit(False), F.lit(True)
+    for c, up in order:
+        after, equal = after | (equal & past(c, up)), equal & F.col(c).eqNullSafe(here(c))
+    first, up = order[0]
+    bound = F.col(first).isNull() if cursor[first] is None else (F.col(first) >= here(first) if up else F.col(first) <= here(first)) | F.col(first).isNull()
+    return df.where(bound & after).orderBy(*by).limit(limit)
+
+
+def last_of(page: DataFrame, order: list[tuple[str, bool]]) -> dict | None:
+    """The cursor after a page (no more rows than a page has), or none after an empty one."""
+    rows = page.select(*[c for c, _ in order]).collect()
+    return rows[-1].asDict() if rows else None
+
+
 def mode_per_group(df: DataFrame, group: list[str], value: str, name: str | None = None) -> DataFrame:
     """Most frequent non-null value per group (ties: smallest), counted before anything is ranked."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..sources.sinks import append_log, snapshot_once
+from ..sources.versions import VersionedTable
 from . import compensation as comp
 from . import deploy, indicators, marts, quality
 
@@ -17,7 +18,7 @@ DEFAULT_STEPS = [s for s in STEPS if not s.startswith("sobreposicao_uc")]
 
 
 class Trail:
-    """Runs the steps of a month in order; every stage is a table below ``root`` that the next one reads."""
+    """Runs the steps of a month in order; every stage is a table below ``root``, published whole, that the next one reads."""
 
     def __init__(self, spark: SparkSession, root: str, anomes: str, run_ts: str, run_id: str = "run") -> None:
         self.spark, self.root, self.anomes, self.run_ts, self.run_id = spark, root.rstrip("/"), anomes, run_ts, run_id
@@ -26,12 +27,19 @@ class Trail:
     def path(self, stage: str) -> str:
         return f"{self.root}/{stage}" if stage == "uniao" else f"{self.root}/{stage}/anomes={self.anomes}"
 
+    def table(self, stage: str) -> VersionedTable:
+        return VersionedTable(self.spark, self.path(stage))
+
     def read(self, stage: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(stage))
+        return self.table(stage).read()
 
     def save(self, stage: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(stage))
-        return self.read(stage)
+        return self.table(stage).publish(df)
+
+    def release(self, stages: list[str]) -> None:
+        """Deletes all but the current state of the stages; frames read from earlier ones can be read no more."""
+        for stage in stages:
+            self.table(stage).release()
 
     def log(self, step: str, status: str, message: str = "") -> None:
         self.order += 1
@@ -75,9 +83,7 @@ class Trail:
         changed, any_change = deploy.deploy(rows, saved, kind)
         if any_change:
             snapshot_once(rows, f"{self.root}/apuracao_antes_{stage}/anomes={self.anomes}")
-            # A table cannot be overwritten while it is read, so the new state takes the way over a staging table.
-            staged = self.save(f"apuracao_{stage}", changed)
-            staged.write.mode("overwrite").parquet(self.path("apuracao"))
+            self.save("apuracao", changed)
         return saved
 
     def _treat(self) -> DataFrame:
