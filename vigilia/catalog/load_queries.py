@@ -278,6 +278,38 @@ def mixed_files(t):
     return good.unionByName(bad.select(F.lit("rejeitada").alias("tipo"), number.alias("num_intrp"), F.lit(None).cast("string").alias("texto"), F.lit(None).cast("string").alias("posto")))
 
 
+@query("closing_files", """
+SELECT CAST(o_orderkey AS VARCHAR) AS numero, o_orderstatus AS estado, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || ' é' END AS texto FROM orders""")
+def closing_files(t):
+    """SRC-09: closing files of two headers in one folder, each read by its own, bad lines failing the read."""
+    folder = work_path(t.spark, "closing")
+    rows = t.orders.select(
+        F.col("o_orderkey").alias("numero"), F.col("o_orderstatus").alias("estado"), F.concat("o_orderpriority", F.lit(" é")).alias("texto"))
+    for part in (rows.where("numero % 2 = 0"), rows.where("numero % 2 = 1").select("estado", "numero")):
+        part.write.mode("append").options(header=True, sep=S.CSV_SEPARATOR).csv(folder)
+    return files.read_closing(t.spark, folder).select("numero", "estado", "texto")
+
+
+@query("snapshot_kept", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def snapshot_kept(t):
+    """SNK-08: the state before a change is kept once; a later snapshot leaves it as it is."""
+    path, rows = work_path(t.spark, "before"), t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    for state in ("F", "O"):
+        sinks.snapshot_once(rows.where(F.col("o_orderstatus") == state), path)
+    return t.spark.read.parquet(path)
+
+
+@query("reset_of_a_month", """
+SELECT CAST(o_orderkey AS VARCHAR) AS arquivo_path, strftime(o_orderdate, '%Y%m') AS anomes FROM orders
+WHERE strftime(o_orderdate, '%Y%m') = '199503' OR o_orderkey % 3 = 0""")
+def reset_of_a_month(t):
+    """SNK-11, SRC-02: after its month leaves the log, a file is pending again, as are those that were never processed."""
+    found = t.orders.select(F.col("o_orderkey").cast("string").alias("arquivo_path"), F.lit(1).cast("long").alias("arquivo_tamanho_bytes"),
+                            F.col("o_orderdate").alias("arquivo_modificado_em"), F.date_format("o_orderdate", "yyyyMM").alias("anomes"), F.col("o_orderkey").alias("_k"))
+    log = found.withColumn("status", F.when(F.col("_k") % 3 == 0, F.lit("erro")).otherwise(F.lit("processado")))
+    return files.pending(found, files.without_month(log, "199503")).select("arquivo_path", "anomes")
+
+
 @query("stream_load", B.with_(B.RAW) + f"""
 SELECT DISTINCT "ANOMES_PROCESSAMENTO" AS anomes, {", ".join(f"nullif({c}, ' ') AS {c}" for c in S.RECORD_KEY)} FROM raw""")
 def stream_load(t):
