@@ -467,16 +467,24 @@ def outlier_summary(outliers: DataFrame) -> DataFrame:
     )
 
 
+def _status(df: DataFrame) -> Column:
+    return F.lower(F.trim(text("status_validacao"))) if "status_validacao" in df.columns else F.lit(None).cast("string")
+
+
+def rejected_by_activity(df: DataFrame) -> DataFrame:
+    """Rejected rows per activity, a table of its own whatever the number of activities."""
+    activity = text("atividade_validacao") if "atividade_validacao" in df.columns else F.lit(None).cast("string")
+    named = F.coalesce(blank_to_null(activity), F.lit("Sem atividade")).alias("atividade")
+    return df.where(_status(df) == "rejeitado").groupBy(named).agg(F.count("*").alias("rejeitados"))
+
+
 def stage_summary(df: DataFrame, anomes: str, run_ts: str, source: str) -> DataFrame:
     """One row of counts over a stage.
 
-    Negative time counts events, missing codes count rows, both as published. Rejected rows per activity
-    are a JSON object built from one row per activity.
+    Negative time counts events, missing codes count rows, both as published. Rejected rows per activity, as a JSON object in
+    the row, are for a list of activities of the usual length; ``rejected_by_activity`` has them as a table.
     """
-    has_status = "status_validacao" in df.columns
-    status = F.lower(F.trim(text("status_validacao"))) if has_status else F.lit(None).cast("string")
-    activity = text("atividade_validacao") if "atividade_validacao" in df.columns else F.lit(None).cast("string")
-    rows = df.withColumns({"_status": status, "_activity": F.coalesce(blank_to_null(activity), F.lit("Sem atividade"))})
+    rows = df.withColumn("_status", _status(df))
     base = rows.agg(
         F.count("*").alias("total_registros"),
         _count(is_blank("COD_CAUSA_INTRP") | is_blank("COD_COMP_INTRP")).alias("sem_causa_componente"),
@@ -485,8 +493,7 @@ def stage_summary(df: DataFrame, anomes: str, run_ts: str, source: str) -> DataF
     negative = negative_events(df).agg(F.count("*").alias("horario_negativo"))
     device = overlapped_event_count(df)
     uc = uc_contained(df).select("num_seq").distinct().agg(F.count("*").alias("sobreposicao_uc"))
-    per_activity = rows.where(F.col("_status") == "rejeitado").groupBy("_activity").agg(F.count("*").alias("n"))
-    as_json = per_activity.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_activity", "n"))))).alias(
+    as_json = rejected_by_activity(df).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("atividade", "rejeitados"))))).alias(
         "rejeitados_por_atividade_json"
     ))
     # Every side is a single row by construction (global aggregate), so joining them on a constant is safe.
