@@ -11,6 +11,7 @@ from ..functions.text import (
 )
 from ..functions.time import dmy_text, iso_text, minute_boundaries, parse_ts, plus_hours
 from ..operators.intervals import best_container, contained, overlap_pairs, overlaps_other, trim_partial
+from ..operators.overlaps import overlap_counts, pairs_of
 from ..operators.relational import first_per_key, stack
 from ..session import materialize
 
@@ -94,6 +95,21 @@ def device_pairs(events: DataFrame) -> DataFrame:
     )
 
 
+def device_overlaps(events: DataFrame) -> DataFrame:
+    """Events to reject, one row each: how many events of the device with a lower order number they overlap, and which ends last.
+
+    No pairs are listed; ``device_pairs_of`` lists those of a page.
+    """
+    numbered = events.withColumn("_n", F.nullif(F.col("ordem"), F.lit(MAX_SEQ)))
+    return overlap_counts(numbered, ["device"], "_n", "num_seq").drop("_n")
+
+
+def device_pairs_of(page: DataFrame, events: DataFrame) -> DataFrame:
+    """The pairs of the events of a page of ``device_overlaps``, in the columns of ``device_pairs``."""
+    pairs = pairs_of(page, events.where(F.col("ordem") < MAX_SEQ), ["device"], "ordem", "num_seq")
+    return pairs.select("device", "num_seq", "inicio", "fim", "regional_origem", "qtd_ucs_afetadas", "num_seq_sobreposta", "inicio_sobreposta", "fim_sobreposta")
+
+
 def overlapped_event_count(df: DataFrame) -> DataFrame:
     """Number of distinct events that overlap another event of their device."""
     marked = overlaps_other(device_events(df), ["device"]).where("sobrepoe").select("num_seq").distinct()
@@ -159,8 +175,9 @@ def event_facts(df: DataFrame) -> DataFrame:
 def issue_queue(df: DataFrame, run_ts: str, suggest_base: str = "inicio") -> DataFrame:
     """The four rules as one queue of 18 text columns.
 
-    Negative time and missing codes are one row per event, device overlap one row per (rejected event, event
-    it overlaps), UC overlap one row per contained record. The three event rules share one stored roll-up of the stage.
+    Negative time and missing codes are one row per event, UC overlap one row per contained record. Device overlap is as many
+    equal rows per rejected event as it overlaps events, as published: they are counted and repeated, not paired. The three
+    event rules share one stored roll-up of the stage.
     """
     seq = F.col("num_seq")
     facts = materialize(event_facts(df), "fatos")
@@ -181,9 +198,10 @@ def issue_queue(df: DataFrame, run_ts: str, suggest_base: str = "inicio") -> Dat
         acao_sugerida=F.when(F.col("duracao_minutos") >= -180, F.lit("corrigir_fuso")).otherwise(F.lit("revisao_manual")),
         justificativa_sistema=F.concat(F.lit(S.MSG_NEGATIVE), text("qtd_ucs_afetadas")),
     )
+    repeated = device_overlaps(device_rows).withColumn("_", F.explode(F.sequence(F.lit(1), "sobrepostas")))
     device_key = F.concat(F.col("device"), F.lit("|"), seq)
     device = _issue(
-        device_pairs(device_rows), run_ts, regra=F.lit("sobreposicao_interrupcao"), gravidade=F.lit("alta"),
+        repeated, run_ts, regra=F.lit("sobreposicao_interrupcao"), gravidade=F.lit("alta"),
         grao=F.lit("NUM_OPER_CHV_INTRP|NUM_SEQ_INTRP"), chave_evento=device_key, chave_registro=device_key,
         num_seq_intrp=seq, num_oper_chv_intrp=F.col("device"), regional_origem=F.col("regional_origem"),
         campo_sugerido=F.lit("NUM_MOTIVO_TRAT_DIF_UCI"), valor_sugerido=F.lit(S.REASON_OVERLAP),
