@@ -125,3 +125,18 @@ def test_pages_by_cursor(spark, tmp_path):
     assert "GreaterThanOrEqual(id,40)" in plan
     with pytest.raises(ValueError):
         R.page_after(df, order, 0)
+
+
+def test_dedup_of_a_stored_table_without_small_sides(spark, tmp_path):
+    """Most rows repeat and no side counts as small: the table is still neither exchanged nor sorted, and its unused columns are not read."""
+    spark.range(3000).selectExpr("CAST(id % 700 AS STRING) AS k", "CAST(id % 11 AS STRING) AS o", "id AS t", "concat('wide', id) AS w").repartition(3).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = R.dedup_stored(table, ["k"], ["o"], ["t"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "Sort " not in plan
+        assert "w#" not in out.select("k")._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, out.collect())) == sorted(map(str, R.dedup_by_key(table, ["k"], ["o"], ["t"]).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
