@@ -161,3 +161,30 @@ def test_rows_without_a_key(spark):
     assert flags(I.overlaps_any(df, df.where("ev % 2 = 0"), ["k"]), "sobrepoe") == [(1, False), (2, False), (3, True), (4, True)]
     assert sorted((r.k or 0, r.linhas) for r in I.islands(df, ["k"]).collect()) == [(0, 2), (1, 2)]
     assert I.temporal_blocks(df, ["k"], "ev").where("status_bloco = 'LIDER'").count() == 2
+
+
+@pytest.mark.parametrize("light", [0, 5, 256])
+def test_keys_of_few_rows_and_of_many_agree(spark, monkeypatch, light):
+    """The lists of light keys, the ways for keys of any size, and both in one table give the same rows; nulls in the key included."""
+    from pyspark.sql import functions as F
+
+    from vigilia.operators import intervals as I
+
+    rows = spark.range(160).selectExpr(
+        "CASE WHEN id % 19 = 0 THEN NULL WHEN id % 3 = 0 THEN 0 ELSE id % 40 END AS k", "CAST(id % 45 AS STRING) AS seq", "id % 45 AS o", "id AS t",
+        "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, CAST(pmod(xxhash64(id), 48) AS INT)) AS inicio",
+        "CAST(pmod(xxhash64(id, 3), 30) - 3 AS INT) AS h").selectExpr("k", "seq", "o", "t", "inicio", "inicio + make_dt_interval(0, h) AS fim")
+
+    def all_of():
+        frames = [I.best_container(rows, ["k"], "seq", "o"), I.trim_partial(rows, ["k"], ["o", "seq"], origin={"de": "seq"}),
+                  I.overlap_pairs(rows, ["k"], "seq", ["o", "t"]), I.overlaps_other(rows, ["k"])]
+        return [sorted(map(str, f.select(*sorted(f.columns)).collect())) for f in frames]
+
+    monkeypatch.setattr(I, "LIGHT", 10**6)
+    lists = all_of()
+    monkeypatch.setattr(I, "LIGHT", light)
+    assert all_of() == lists and all(lists)
+    monkeypatch.setattr(I, "LIGHT", 10**6)
+    for out in (I.overlap_pairs(rows, ["k"], "seq", ["o"]), I.best_container(rows, ["k"], "seq", "o")):
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.where(F.col("k").isNull()).count()
