@@ -140,3 +140,15 @@ def test_dedup_of_a_stored_table_without_small_sides(spark, tmp_path):
         assert sorted(map(str, out.collect())) == sorted(map(str, R.dedup_by_key(table, ["k"], ["o"], ["t"]).collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_alone_with_their_key_move_as_numbers(spark, tmp_path):
+    """Only rows whose key repeats are compared by key and order; whether it does is told by four numbers a row."""
+    spark.range(900).selectExpr("concat('key', id % 800) AS k", "CASE WHEN id % 5 = 0 THEN NULL ELSE concat('order', id) END AS o").repartition(3).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    located = table.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("arquivo"), F.col("_metadata.row_index").alias("linha")).alias("_lugar"))
+    alone = R._alone(located, ["k"])
+    assert alone.count() == 700
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert sorted(map(str, R.dedup_stored(table, ["k"], ["o"]).collect())) == sorted(map(str, R.dedup_by_key(table, ["k"], ["o"]).collect()))
