@@ -115,3 +115,28 @@ def test_plan_stays_in_generated_code(spark):
     df = spark.range(10).select(F.lit("01/02/2024 03:04:05").alias("s"), F.col("id").cast("string").alias("n"))
     plan = df.select(T.parse_ts("s"), X.num_br("n"), X.region("n", "s"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_columns_occur_once_in_times_and_regions(spark):
+    """A time or region made of other columns is worked out once, and a region of a region does not square its text."""
+    df = spark.createDataFrame([("x", "y")], "s string, n string")
+    shown = lambda c: df.select(c)._jdf.queryExecution().analyzed().toString().splitlines()[0]
+    assert shown(T.parse_ts("s")).count("s#") == 1
+    assert shown(X.region("n", "s")).count("s#") <= 2 and shown(X.region("n", X.region("n", "s"))).count("s#") <= 4
+
+
+@pytest.mark.parametrize("text", ["1/2/2024 3:4:5", " 01/02/2024 03:04:05 ", "2024-2-1 3:4:5", "2024-02-01", "2024-02-01T03:04:05.123", "31/02/2024 00:00:00", "2024", "", "1/2/2024", "12:00:00",
+                                  "2024-02-01 03:04:05+01:00", "invalido", None])
+def test_parse_ts_by_one_expression(spark, text):
+    """The same as by cutting the text at its slashes."""
+    rows = spark.createDataFrame([(text,)], "s string")
+    s = F.trim("s")
+    tail = F.substring_index(s, "/", -1)
+    iso = F.concat(F.substring(tail, 1, 4), F.lit("-"), F.substring_index(F.substring_index(s, "/", 2), "/", -1), F.lit("-"), F.substring_index(s, "/", 1), F.substr(tail, F.lit(5)))
+    fits = "^(?:" + "|".join([T._FITS[T.DMY], T._FITS[T.ISO], T._NATIVE]) + ")$"
+    want = F.when(s.rlike(fits), F.when(s.contains("/"), iso).otherwise(s).try_cast("timestamp_ntz"))
+    assert rows.select(T.parse_ts("s")).first()[0] == rows.select(want).first()[0]
+
+
+def test_stages_of_long_code_are_compiled(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
