@@ -188,3 +188,12 @@ def test_keys_of_few_rows_and_of_many_agree(spark, monkeypatch, light):
     for out in (I.overlap_pairs(rows, ["k"], "seq", ["o"]), I.best_container(rows, ["k"], "seq", "o")):
         assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert rows.where(F.col("k").isNull()).count()
+
+
+def test_lists_of_a_key_do_not_repeat_it(spark):
+    """The key moves once for its list, not once more with every row; rows come out as they went in."""
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), (None, 3, "z")], "k string, n int, t string")
+    got = I.listed(rows, ["k"])
+    assert got.schema["_all"].dataType.elementType.names == ["n", "t"]
+    back = got.select("k", F.explode("_all").alias("r")).select(*I._out_of_list(rows, ["k"], "r"))
+    assert back.columns == rows.columns and sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
