@@ -149,6 +149,25 @@ def test_the_text_is_read_once(spark, folder, tmp_path, monkeypatch):
     assert scans == [1, 1]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_neither_sorted_nor_exchanged(spark, folder):
+    """Files are told apart by counts and a look-up: the text of a line stays in the task that reads it."""
+    put(folder, "Interrupcoes_IQS_20240118120000_LES.CSV", ["60|P|1|NUM_INTRP_UCI NUM_POSTO_UCI NUM_UC_UCI|1", HEAD, "61|P|1|ação|1"], "cp1252")
+    lines = files.stage_lines(spark, paths(spark, folder))
+    kinds = files.classify(lines)
+    per_line = [x for x in plan_of(kinds).splitlines() if "indefinido" in x]
+    assert any("HashAggregate" in x for x in per_line) and not any("Sort" in x for x in per_line)
+    plan = plan_of(files.parse_lines(spark, lines, kinds))
+    assert "BroadcastHashJoin [arquivo_path" in plan and "SortMergeJoin [arquivo_path" not in plan
+    assert not any("linha" in x for x in plan.splitlines() if "Exchange" in x)
+    # The names of the key within a value make no header; a header that comes again is no row.
+    text = {r.NUM_INTRP_UCI: r.DESC_INTRP for r in files.read_outage_files(spark, paths(spark, folder)).collect()}
+    assert text["60"] == "NUM_INTRP_UCI NUM_POSTO_UCI NUM_UC_UCI" and text["61"] == "ação" and "NUM_INTRP_UCI" not in text
+
+
 def test_lines_that_look_odd(spark, tmp_path):
     """A byte order mark, quotes, carriage returns, blank lines, a header that is not the first line, accents in a header."""
     head = "NUM_INTRP_UCI|NUM_POSTO_UCI|NUM_UC_UCI|Descrição"
