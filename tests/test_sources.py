@@ -230,6 +230,23 @@ def test_export_and_closing_read(spark, tmp_path):
     assert [p for p in os.listdir(one) if p.startswith("regional_part=")] == ["regional_part=NRT"]
 
 
+def test_packed_export_is_the_same_lines(spark, tmp_path):
+    names = S.EXPORT_LAYOUT
+    rows = [tuple(f"{r} ação {i}" if c == "DESC_INTRP" else "v" for c in names) + (r,) for r in ("CSL", "NRT") for i in range(50)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in [*names, "REGIONAL_ORIGEM"]))
+    lines, size = {}, {}
+    for kind in ("none", "gzip"):
+        out = tmp_path / kind
+        sinks.export_regional(df, str(out), compression=kind)
+        found = [str(p) for p in out.rglob("part-*")]
+        assert found and all(p.endswith(".csv.gz" if kind == "gzip" else ".csv") for p in found)
+        size[kind] = sum(os.path.getsize(p) for p in found)
+        lines[kind] = sorted(r[0] for r in files.scan_lines(spark, found).select("linha").collect())
+        back = files.good_rows(files.read_outage_files(spark, found))
+        assert sorted(r[0] for r in back.select("DESC_INTRP").collect()) == sorted(r[names.index("DESC_INTRP")] for r in rows)
+    assert lines["gzip"] == lines["none"] and size["gzip"] < size["none"] / 2
+
+
 def test_month_tables(spark, tmp_path):
     path = str(tmp_path / "m")
     df = spark.createDataFrame([("202401", 1), ("202402", 2)], "anomes string, n int")
