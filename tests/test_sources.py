@@ -247,6 +247,31 @@ def test_packed_export_is_the_same_lines(spark, tmp_path):
     assert lines["gzip"] == lines["none"] and size["gzip"] < size["none"] / 2
 
 
+def test_only_keys_that_may_be_staged_move(spark, tmp_path):
+    """A small batch against a large table: the table's keys are filtered as they are read, and the answer is the anti-join's."""
+    path = str(tmp_path / "t")
+    row = "CAST(id AS STRING) AS a, CASE WHEN id % 5 = 0 THEN NULL ELSE CAST(id % 7 AS STRING) END AS b, CAST(202401 + id % 2 AS STRING) AS anomes, id AS v"
+    spark.range(0, 40000).selectExpr(*row.split(", ")).write.partitionBy("anomes").parquet(path)
+    batch = spark.range(39900, 40100).selectExpr(*row.split(", "))
+    staged = batch.unionByName(batch.withColumn("v", F.col("v") + 1))
+    table = spark.read.parquet(path)
+    out = ingest.new_rows(staged, table, ["a", "b"])
+    got = sorted((r.a, r.b or "", r.anomes) for r in out.collect())
+    assert got == sorted((str(i), "" if i % 5 == 0 else str(i % 7), str(202401 + i % 2)) for i in range(40000, 40100)) and out.columns == staged.columns
+    first = ingest.new_rows(staged, None, ["a", "b"]).where("CAST(a AS INT) >= 40000")
+    assert sorted(map(str, out.collect())) == sorted(map(str, first.select(*out.columns).collect()))
+    assert "LeftSemi" in plan_of(out) and "LeftAnti" not in plan_of(out)
+    known = table.withColumn("anomes", F.col("anomes").cast("string")).select("anomes", "a", "b")
+    moved = ingest._perhaps_staged(known, staged, ["anomes", "a", "b"], 400)
+    assert 100 <= moved.count() < 2000 and moved.join(batch, ["anomes", "a"], "left_semi").count() == 100
+    # Too many rows for that: every key of the table takes part.
+    few, ingest.FEW_ROWS = ingest.FEW_ROWS, 10
+    try:
+        assert sorted(map(str, ingest.new_rows(staged, table, ["a", "b"]).collect())) == sorted(map(str, out.collect()))
+    finally:
+        ingest.FEW_ROWS = few
+
+
 def test_month_tables(spark, tmp_path):
     path = str(tmp_path / "m")
     df = spark.createDataFrame([("202401", 1), ("202402", 2)], "anomes string, n int")
