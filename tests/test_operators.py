@@ -152,3 +152,17 @@ def test_rows_alone_with_their_key_move_as_numbers(spark, tmp_path):
     plan = alone._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
     assert sorted(map(str, R.dedup_stored(table, ["k"], ["o"]).collect())) == sorted(map(str, R.dedup_by_key(table, ["k"], ["o"]).collect()))
+
+
+def test_repeated_rows_leave_before_columns_are_worked_out(spark, tmp_path):
+    """The rows that stay are told at the scan: no block of places is part of a row, and what is made of stored columns is made after."""
+    path = str(tmp_path / "t")
+    spark.range(70000).selectExpr("id % 60000 AS n", "id % 3 AS o").repartition(2).write.parquet(path)
+    table = spark.read.parquet(path).selectExpr("CAST(n AS STRING) AS k", "CAST(o AS STRING) AS o", "concat('texto ', n) AS w")
+    out = R.dedup_stored(table, ["k"], ["o"])
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    join = [i for i, line in enumerate(plan) if "BroadcastHashJoin" in line]
+    made = [i for i, line in enumerate(plan) if "concat(texto" in line]
+    assert len(join) == 1 and "LeftSemi" in plan[join[0]] and made and max(made) < join[0]
+    rows = out.collect()
+    assert len(rows) == 60000 and len({r.k for r in rows}) == 60000 and all(r.w == f"texto {r.k}" for r in rows)
